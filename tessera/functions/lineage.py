@@ -34,9 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder: columnar, so that later readers prune columns."""
-    path = scratch(df.sparkSession, label)
+def written(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
+    """The frame as a Parquet table in the shared folder: columnar, so that later readers prune columns.
+
+    under: a scratch folder that the caller discards.
+    """
+    path = f"{under}/{label}" if under else scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ from tessera.llm import logistic, ragged, samples
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 SAMPLE_ROWS = 6_000
-MOST_TERMS = 300
+MOST_TERMS = 100
 STEM_LETTERS, STEM_WORDS = range(4, 9), 6
 TWO_EDITS = 8
 LEAST_LETTERS = 4
@@ -57,15 +57,15 @@ class Automaton:
     edits: np.ndarray
 
     @classmethod
-    def of(cls, terms: list[bytes], stems: frozenset[bytes] = frozenset()) -> Automaton:
-        """Words that equal or nearly equal a term, or begin with one of the stems among them."""
+    def of(cls, terms: list[bytes], stems: frozenset[bytes] = frozenset(), exact: frozenset[bytes] = frozenset()) -> Automaton:
+        """Words that equal or nearly equal a term (equal one of the exact ones), or begin with one of the stems among them."""
         letters = sorted({b for t in terms for b in t})
         classes = np.zeros(256, np.int64)
         classes[letters] = np.arange(1, len(letters) + 1)
         children: list[dict[int, int]] = [{}]
         most, ends, absorbing = [0], {}, set()
         for k, t in enumerate(terms):
-            node, bound = 0, 0 if t in stems else 2 if len(t) >= TWO_EDITS else 1
+            node, bound = 0, 0 if t in stems or t in exact else 2 if len(t) >= TWO_EDITS else 1
             most[0] = max(most[0], bound)
             for b in t:
                 c = int(classes[b])
@@ -218,48 +218,54 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     empty = Model([], np.zeros(0), np.zeros(0), Automaton.of([]), frozenset(), np.zeros(0))
     if not rows or not 0 < toxic < len(rows):
         return empty
-    split = [(_words(t), y) for t, y in rows]
-    contexts: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
+    known: dict[bytes, bytes] = {}  # one object a word: the sample's words are mostly repeated ones
+    split = [([known.setdefault(w, w) for w in _words(t)], y) for t, y in rows]
+    seen_in: tuple[Counter, Counter] = (Counter(), Counter())  # documents of each label that hold a word
     for words, y in split:
-        for a, w, b in zip([b""] + words[:-1], words, words[1:] + [b""], strict=True):
-            if len(w) >= LEAST_LETTERS:
-                contexts[y][w].add(hash((a, b)))
-    totals = [max(1, sum(map(len, c.values()))) for c in contexts]
-    odds = {w: math.log((len(c) + 0.5) / totals[1]) - math.log((len(contexts[0].get(w, ())) + 0.5) / totals[0]) for w, c in contexts[1].items() if len(c) >= least_contexts}
-    # a term shows in toxic texts of its own right: it is not found in other texts more than once in ten times
-    terms = {w: len(contexts[1][w]) for w, o in odds.items() if o >= least_odds and 10 * len(contexts[0].get(w, ())) <= len(contexts[1][w])}
-    support: Counter = Counter()
+        seen_in[y].update(w for w in set(words) if len(w) >= LEAST_LETTERS)
+    share = len(rows) / toxic - 1
+    odds = {w: math.log((n + 0.5) / (seen_in[0][w] + 0.5)) + math.log(share) for w, n in seen_in[1].items() if n >= least_contexts}
+    hopeful = {w for w, o in odds.items() if o >= least_odds and 25 * seen_in[0][w] <= seen_in[1][w]}
+    contexts: dict[bytes, set] = defaultdict(set)  # in toxic texts
     for words, y in split:
-        if y:
-            support.update(terms.keys() & set(words))
-    terms = {w: n for w, n in terms.items() if support[w] >= max(least_contexts, 0.01 * toxic)}
-    begun: dict[bytes, list[int]] = defaultdict(lambda: [0, 0, 0])  # contexts in other and in toxic texts, words
-    for y, side in enumerate(contexts):
-        for w, c in side.items():
-            for n in STEM_LETTERS:
-                if len(w) >= n:
-                    begun[w[:n]][y] += len(c)
-                    begun[w[:n]][2] += y
+        if y and not hopeful.isdisjoint(words):
+            for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
+                if w in hopeful:
+                    contexts[w].add((a, b))
+    # a term shows in many toxic texts and contexts; words of copies of one text share theirs
+    terms = {w: seen_in[1][w] for w in hopeful if len(contexts[w]) >= least_contexts and seen_in[1][w] >= 0.02 * toxic}
+    mine_of: Counter = Counter()
+    for w, n in seen_in[1].items():
+        mine_of.update({w[:m]: n for m in STEM_LETTERS if len(w) >= m})
+    begun = {p: [0.0, n, 0] for p, n in mine_of.items() if n >= max(2 * STEM_WORDS, 0.01 * toxic)}  # weight in other texts, number in toxic texts, words there
+    del mine_of
+    for y, side in enumerate(seen_in):
+        for w, n in side.items():
+            for m in STEM_LETTERS:
+                if len(w) >= m and (found := begun.get(w[:m])):
+                    found[0] += 0 if y else n / share
+                    found[2] += y
     stems: set[bytes] = set()
     for stem, (other, mine, words) in sorted(begun.items(), key=lambda x: (len(x[0]), x[0])):
         if words >= STEM_WORDS and mine >= max(2 * STEM_WORDS, 0.01 * toxic) and 10 * other <= mine and not any(stem[:n] in stems for n in STEM_LETTERS):
             longest = max((p for p, b in begun.items() if p[: len(stem)] == stem and 50 * b[1] >= 49 * mine), key=len)
-            if 2 * len(contexts[1].get(longest, ())) < mine:  # else it is one word with a few endings
+            if 2 * seen_in[1][longest] < mine:  # else it is one word with a few endings
                 stems.add(longest)
     terms |= {s: begun[s][1] for s in stems}
     terms = sorted((w for w in terms if w in stems or not any(w[:n] in stems for n in STEM_LETTERS)), key=lambda w: (-terms[w], w))[:MOST_TERMS]
     if not terms:
         return empty
-    others = [begun[w][0] / begun[w][1] if w in stems else len(contexts[0].get(w, ())) / len(contexts[1][w]) for w in terms]
-    automaton = Automaton.of(terms, frozenset(stems))
+    others = [begun[w][0] / begun[w][1] if w in stems else seen_in[0][w] / share / seen_in[1][w] for w in terms]
+    # only words that are established as terms are looked for in other spellings
+    automaton = Automaton.of(terms, frozenset(stems), frozenset(w for w in terms if w not in stems and seen_in[1][w] < 0.05 * toxic))
     # misspellings in the sample: those of harmless texts are words of their own, and cast doubt on others of the term
-    seen = sorted(contexts[0].keys() | contexts[1].keys())
+    seen = sorted(seen_in[0].keys() | seen_in[1].keys())
     flat = ragged.words_of(pa.array([b" ".join(seen).decode("utf-8", "replace")]))
     term, edits = automaton.run(flat.data, flat.start, flat.length)
     tally, harmless = np.zeros((len(terms), 2)), set()
     for k in np.flatnonzero((term >= 0) & (edits > 0)).tolist():
         word = flat.text(k)
-        bad = 2 * len(contexts[0].get(word, ())) < len(contexts[1].get(word, ()))
+        bad = 2 * seen_in[0][word] < share * seen_in[1][word]
         tally[term[k], int(bad)] += 1
         if not bad:
             harmless.add(word)
@@ -267,7 +273,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     doubts[doubts < 0.5] = 0
     model = Model(terms, 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
     y = np.array([v for _, v in rows], float)
-    x, _ = model.features(pa.array([t for t, _ in rows]))
+    x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
     model.beta = logistic.fit(x, y, np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))))
     return model
 

@@ -47,3 +47,74 @@ def palettes(blocks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array([None if c is None else len(c) for c in out], pa.int32()), pa.array([None if c is None else ",".join(map(str, c)) for c in out], pa.string())], ["blk", "n", "colours"])
 
     return blocks.mapInArrow(run, "blk long, n int, colours string")
+
+
+def lfsr_noise(seed: int, n: int, bits: int = 11) -> np.ndarray:
+    """The top bits of a 16-bit register with taps 0, 1, 3 and 12 after each of n shifts."""
+    out, r = np.empty(n, np.int64), seed
+    for k in range(n):
+        r = (r >> 1) | (((r ^ r >> 1 ^ r >> 3 ^ r >> 12) & 1) << 15)
+        out[k] = r >> (16 - bits)
+    return out
+
+
+def grain_template(seed: int, rows: int = 73, columns: int = 82, lag: int = 2, shift: int = 7) -> np.ndarray:
+    """Noise filtered along the raster order: each sample takes an eighth of each of its neighbours before it,
+    given here in place of a table; the register's centred values stand in for Gaussian ones."""
+    grain = ((lfsr_noise(seed, rows * columns) - 1024) >> 2).reshape(rows, columns)
+    taps = [(-dy, dx, 16 - 4 * (dy + abs(dx))) for dy in range(lag + 1) for dx in range(-lag, lag + 1) if dy or dx < 0]
+    for y in range(lag, rows):
+        for x in range(lag, columns - lag):
+            total = sum(w * int(grain[y + dy, x + dx]) for dy, dx, w in taps)
+            grain[y, x] = min(255, max(-256, int(grain[y, x]) + ((total + (1 << (shift - 1))) >> shift)))
+    return grain
+
+
+def grain_templates(frames: DataFrame) -> DataFrame:
+    """frame, total, size: sums of each frame's template, seeded by its number."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [grain_template((int(f) * 331 + 1) & 0xFFFF) for f in batch.column("frame").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("frame"), pa.array([int(g.sum()) for g in made], pa.int64()), pa.array([int(np.abs(g).sum()) for g in made], pa.int64())], ["frame", "total", "size"])
+
+    return frames.mapInArrow(run, "frame long, total long, size long")
+
+
+def fit_symmetric(source: np.ndarray, prediction: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Outer taps (three each, of 128) of the vertical and horizontal filters that bring a prediction to its source."""
+
+    def spread(plane: np.ndarray, axis: int) -> list[np.ndarray]:
+        """Sums of neighbours at distances 3, 2, 1 less twice the sample."""
+        padded = np.pad(plane, [(3, 3) if a == axis else (0, 0) for a in (0, 1)], mode="edge")
+        cut = lambda k: np.take(padded, np.arange(plane.shape[axis]) + 3 + k, axis)
+        return [cut(-d) + cut(d) - 2 * plane for d in (3, 2, 1)]
+
+    def apply(plane: np.ndarray, taps: np.ndarray, axis: int) -> np.ndarray:
+        return plane + sum(t / 128 * s for t, s in zip(taps, spread(plane, axis), strict=True))
+
+    taps = [np.zeros(3), np.zeros(3)]
+    for _ in range(rounds):
+        for axis in (0, 1):
+            base = apply(prediction, taps[1 - axis], 1 - axis)
+            a = np.stack([s.ravel() for s in spread(base, axis)], 1)
+            found = np.linalg.lstsq(a.T @ a + 1e-6 * np.eye(3), a.T @ (source - base).ravel(), rcond=None)[0]
+            taps[axis] = np.clip(np.round(found * 128), -64, 63)
+    return taps[0], taps[1]
+
+
+def wiener_fits(samples: DataFrame) -> DataFrame:
+    """frame, v0 .. v2, h0 .. h2: fitted taps from rows (frame, y, x, s, r). A group is one frame."""
+    names = [f"{a}{k}" for a in "vh" for k in range(3)]
+
+    def fit(table: pa.Table) -> pa.Table:
+        y, x, s, r = (table.column(c).to_numpy() for c in ("y", "x", "s", "r"))
+        planes = []
+        for values in (s, r):
+            plane = np.zeros((y.max() + 1, x.max() + 1))
+            plane[y, x] = values
+            planes.append(plane)
+        found = np.concatenate(fit_symmetric(*planes))
+        return pa.table({"frame": table.column("frame")[:1], **{n: pa.array([int(v)], pa.int32()) for n, v in zip(names, found, strict=True)}})
+
+    return samples.groupBy("frame").applyInArrow(fit, "frame long, " + ", ".join(f"{n} int" for n in names))

@@ -118,3 +118,125 @@ def wiener_fits(samples: DataFrame) -> DataFrame:
         return pa.table({"frame": table.column("frame")[:1], **{n: pa.array([int(v)], pa.int32()) for n, v in zip(names, found, strict=True)}})
 
     return samples.groupBy("frame").applyInArrow(fit, "frame long, " + ", ".join(f"{n} int" for n in names))
+
+
+def inverse_2d(coefficients: np.ndarray, matrix_12: np.ndarray, row_shift: int = 1, column_shift: int = 4, depth: int = 8) -> np.ndarray:
+    """Rows then columns through a matrix in 12-bit fixed point, each pass rounded and clamped, for a stack of blocks."""
+    limit = 1 << max(depth + 6, 16) - 1
+    rows = (coefficients.astype(np.int64) @ matrix_12 + 2048 >> 12) + (1 << row_shift >> 1) >> row_shift
+    rows = np.clip(rows, -limit, limit - 1)
+    return (np.swapaxes(matrix_12, 0, 1) @ rows + 2048 >> 12) + (1 << column_shift >> 1) >> column_shift
+
+
+def fixed_basis(basis: list[list[float]], scale: float) -> np.ndarray:
+    """An orthonormal basis times a scale, in 12 bits."""
+    return np.floor(np.array(basis) * scale * 4096 + 0.5).astype(np.int64)
+
+
+def inverse_blocks(blocks: DataFrame, basis: list[list[float]]) -> DataFrame:
+    """blk, total, size of the residual of coefficients c (arrays of 64): the whole stack of a batch at once."""
+    matrix_12 = fixed_basis(basis, 8**0.5)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = inverse_2d(matrix(batch.column("c")).reshape(-1, 8, 8), matrix_12)
+                yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array(out.sum((1, 2))), pa.array(np.abs(out).sum((1, 2)))], ["blk", "total", "size"])
+
+    return blocks.mapInArrow(run, "blk long, total long, size long")
+
+
+def recursive_intra(above: np.ndarray, left: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """8x8 prediction in units of 4x2 samples, each from seven neighbours by a table of taps (8 x 7, of 16)."""
+    plane = np.zeros((9, 9), np.int64)
+    plane[0], plane[1:, 0] = above, left
+    for y in range(0, 8, 2):
+        for x in range(0, 8, 4):
+            edge = np.concatenate((plane[y, x : x + 5], plane[y + 1 : y + 3, x]))
+            plane[y + 1 : y + 3, x + 1 : x + 5] = np.clip((taps @ edge + 8 >> 4).reshape(2, 4), 0, 255)
+    return plane[1:, 1:]
+
+
+def even_taps() -> np.ndarray:
+    """Taps given in place of the format's table: each sample takes from the neighbours by nearness, 16 in all."""
+    out = np.zeros((8, 7), np.int64)
+    for k in range(8):
+        y, x = divmod(k, 4)
+        out[k, x + 1] += 8 - 2 * y
+        out[k, 5 + y] += 8 + 2 * y
+    return out
+
+
+def recursive_predictions(edges: DataFrame) -> DataFrame:
+    """blk, total, weighted of predictions from rows blk, above (9, with the corner), left (8)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        taps = even_taps()
+        for batch in batches:
+            if batch.num_rows:
+                made = [recursive_intra(a, l, taps) for a, l in zip(matrix(batch.column("above"), 9), matrix(batch.column("left"), 8), strict=True)]
+                flat = np.stack(made).reshape(-1, 64)
+                yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array(flat.sum(1)), pa.array(flat @ np.arange(64))], ["blk", "total", "weighted"])
+
+    return edges.mapInArrow(run, "blk long, total long, weighted long")
+
+
+def fast_search(target: np.ndarray, past: np.ndarray, y: int, x: int, reach: int = 4, moves: int = 8) -> tuple[int, int, int]:
+    """Whole-sample vector by shrinking squares around the best so far, and its cost: differences plus 4 a step."""
+    padded = np.pad(past, 2 * reach + 8, mode="edge")
+    n = target.shape[0]
+
+    def cost(v: tuple[int, int]) -> int:
+        a, b = y + v[0] + 2 * reach + 8, x + v[1] + 2 * reach + 8
+        return int(np.abs(target - padded[a : a + n, b : b + n]).sum()) + 4 * (abs(v[0]) + abs(v[1]))
+
+    best, least, step = (0, 0), cost((0, 0)), reach // 2
+    while step:
+        for _ in range(moves):
+            around = [(best[0] + dy * step, best[1] + dx * step) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+            found = min(((cost(v), k, v) for k, v in enumerate(around) if max(map(abs, v)) <= reach), default=(least, 0, best))
+            if found[0] >= least:
+                break
+            least, best = found[0], found[2]
+        step //= 2
+    return best[0], best[1], least
+
+
+def fast_searches(samples: DataFrame) -> DataFrame:
+    """frame, by, bx, dy, dx, cost of each 8x8 block against the frame before: rows (frame, y, x, s, r), a group a frame."""
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, s, r = (table.column(c).to_numpy() for c in ("y", "x", "s", "r"))
+        now, past = np.zeros((2, int(y.max()) + 1, int(x.max()) + 1), np.int64)
+        now[y, x], past[y, x] = s, r
+        rows = [(by, bx, *fast_search(now[8 * by : 8 * by + 8, 8 * bx : 8 * bx + 8], past, 8 * by, 8 * bx)) for by in range(now.shape[0] // 8) for bx in range(now.shape[1] // 8)]
+        columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+        frame = pa.array([table.column("frame")[0].as_py()] * len(rows), pa.int64())
+        return pa.Table.from_arrays([frame, *columns], ["frame", "by", "bx", "dy", "dx", "cost"])
+
+    return samples.groupBy("frame").applyInArrow(run, "frame long, by long, bx long, dy long, dx long, cost long")
+
+
+def warp(past: np.ndarray, y: int, x: int, matrix_16: tuple[int, int, int, int, int, int], n: int = 8) -> np.ndarray:
+    """A block sampled along an affine map in 16-bit fixed point, bilinear between samples."""
+    rows, columns = np.mgrid[y : y + n, x : x + n]
+    a, b, c, d, e, f = matrix_16
+    px, py = a + c * columns + d * rows, b + e * columns + f * rows
+    ix, iy, fx, fy = px >> 16, py >> 16, px >> 8 & 255, py >> 8 & 255
+    at = lambda dy, dx: past[np.clip(iy + dy, 0, past.shape[0] - 1), np.clip(ix + dx, 0, past.shape[1] - 1)]
+    top, low = at(0, 0) * (256 - fx) + at(0, 1) * fx, at(1, 0) * (256 - fx) + at(1, 1) * fx
+    return top * (256 - fy) + low * fy + (1 << 15) >> 16
+
+
+def warps(samples: DataFrame) -> DataFrame:
+    """frame, total, error: frames predicted by a small rotation of the frame before, block by block."""
+    matrix_16 = (1 << 15, -(1 << 14), 1 << 16, 1 << 9, -(1 << 9), 1 << 16)
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, s, r = (table.column(c).to_numpy() for c in ("y", "x", "s", "r"))
+        now, past = np.zeros((2, int(y.max()) + 1, int(x.max()) + 1), np.int64)
+        now[y, x], past[y, x] = s, r
+        made = np.block([[warp(past, by, bx, matrix_16) for bx in range(0, now.shape[1], 8)] for by in range(0, now.shape[0], 8)])
+        return pa.table({"frame": table.column("frame")[:1], "total": pa.array([int(made.sum())], pa.int64()), "error": pa.array([int(np.abs(made - now).sum())], pa.int64())})
+
+    return samples.groupBy("frame").applyInArrow(run, "frame long, total long, error long")

@@ -110,10 +110,10 @@ def reference_update(spark: SparkSession, folder: str) -> DataFrame:
     return S.slots_before(_masked(spark, folder), "user_id", "n", "mask").select("event_id", "mask", *[f"slot{k}" for k in range(8)])
 
 
-@query("j5_show_existing", f"{SLOTS} SELECT event_id, n % 8 AS slot, CASE n % 8 {' '.join(f'WHEN {k} THEN slot{k}' for k in range(8))} END AS shown FROM slots WHERE bits % 5 = 0")
+@query("j5_show_existing", f"{SLOTS} SELECT event_id, n % 8 AS slot, CASE n % 8 {' '.join(f'WHEN {k} THEN slot{k}' for k in range(8))} END AS shown FROM slots")
 def show_existing(spark: SparkSession, folder: str) -> DataFrame:
     """What a slot holds when a frame asks for it: an as-of join on the slot's history."""
-    own = S.slots_before(_masked(spark, folder), "user_id", "n", "mask").where("bits % 5 = 0")
+    own = S.slots_before(_masked(spark, folder), "user_id", "n", "mask")
     return own.select("event_id", (F.col("n") % 8).alias("slot"), F.get(F.array(*[f"slot{k}" for k in range(8)]), (F.col("n") % 8).cast("int")).alias("shown"))
 
 

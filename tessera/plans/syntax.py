@@ -132,6 +132,9 @@ _SEQUENCE = {"color": {"mono": 0, "ssx": 1, "ssy": 1, "separate_uv_delta_q": 1,
 _part("b9_quantisation", X.quantisation, {}, _SEQUENCE)
 _part("b9_segmentation", X.segmentation, {"primary": X.PRIMARY_NONE}, None)
 _part("b9_loop_filter", X.loop_filter, {"lossless": 0, "intrabc": 0}, _SEQUENCE, None)
+_part("b9_deltas", X.deltas, {"quant": {"base": 1}, "intrabc": 0})
+_part("b9_cdef", X.cdef, {"lossless": 0, "intrabc": 0}, _SEQUENCE)
+_part("b9_restoration", X.restoration, {"all_lossless": 0, "intrabc": 0}, _SEQUENCE)
 _part("b11_global_motion", X.global_motion, {"intra": 0, "high_precision": 1}, None)
 _part("b12_film_grain", X.film_grain, {"show": 1, "showable": 0, "type": X.KEY}, _SEQUENCE, whole=False)
 

@@ -133,15 +133,30 @@ class Automaton:
 
 
 def trimmed(words: ragged.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Start and length of each word without punctuation at its ends; inside it stays, as letters may be replaced by it."""
+    """Start and length of each word without punctuation and quotation marks at its ends; what is inside stays, as letters may be replaced by it."""
     start, length = words.start.copy(), words.length.copy()
+    data = words.data
+
+    def edge(at: np.ndarray, live: np.ndarray) -> np.ndarray:
+        """Bytes of the mark that begins at ``at``: one, two (C2 AB, C2 BB) or three (E2 80 xx); 0 without."""
+        a, b = data[at], data[np.minimum(at + 1, len(data) - 1)]
+        wide = np.where((a == 0xC2) & ((b == 0xAB) | (b == 0xBB)), 2, np.where((a == 0xE2) & (b == 0x80), 3, 0))
+        return np.where(_EDGE[a], 1, np.where(wide <= length[live], wide, 0))
+
     live = np.arange(len(start))
-    while len(live := live[(length[live] > 0) & _EDGE[words.data[start[live]]]]):
-        start[live] += 1
-        length[live] -= 1
+    while len(live := live[length[live] > 0]):
+        n = edge(start[live], live)
+        live, n = live[n > 0], n[n > 0]
+        start[live] += n
+        length[live] -= n
     live = np.arange(len(start))
-    while len(live := live[(length[live] > 0) & _EDGE[words.data[np.maximum(start[live] + length[live] - 1, 0)]]]):
-        length[live] -= 1
+    while len(live := live[length[live] > 0]):
+        n = np.zeros(len(live), np.int64)
+        for size in (1, 2, 3):
+            at = np.maximum(start[live] + length[live] - size, start[live])
+            n = np.where((n == 0) & (edge(at, live) == size) & (length[live] >= size), size, n)
+        live, n = live[n > 0], n[n > 0]
+        length[live] -= n
     return start, length
 
 
@@ -274,7 +289,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     model = Model(terms, 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
     y = np.array([v for _, v in rows], float)
     x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
-    model.beta = logistic.fit(x, y, np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum()))))
+    model.beta = logistic.fit(x, y, np.ones(len(y)))
     return model
 
 

@@ -8,7 +8,6 @@ from tessera.functions import adapters as A, fx
 from tessera.operators import blocks as B, kernels
 from tessera.plans.registry import query
 
-V, REF = F.col("v"), F.col("ref")
 SAD = "CAST(sum(abs(a.s - b.s)) AS BIGINT)"
 LAMBDA, BITS = 0.1 * 4.0 * 4.0, 3 * 256
 
@@ -27,14 +26,14 @@ FROM pixels a JOIN (SELECT blk + k AS at, blk, p, s FROM pixels, (SELECT unnest(
 @query("k1_sad_best_match", f"{CANDIDATES} SELECT blk, arg_min(blk - back, (sad, back)) AS match, min(sad) AS sad FROM cand GROUP BY blk")
 def sad_best_match(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest of the four blocks before with the least sum of absolute differences."""
-    cost = F.struct(B.sad(V, REF).alias("sad"), F.col("back"))
+    cost = F.struct(B.sad(F.col("v"), F.col("ref")).alias("sad"), F.col("back"))
     best = _candidates(spark, folder).groupBy("blk").agg(F.min(cost).alias("best"))
     return best.select("blk", (F.col("blk") - F.col("best.back")).alias("match"), F.col("best.sad").alias("sad"))
 
 
 @query("k2_sse", f"WITH {A.PAIRS} SELECT blk, CAST(sum((s - r) * (s - r)) AS BIGINT) AS sse FROM pairs GROUP BY blk")
 def sse(spark: SparkSession, folder: str) -> DataFrame:
-    return A.pairs(spark, folder).select("blk", B.sse(V, REF).alias("sse"))
+    return A.pairs(spark, folder).select("blk", B.sse(F.col("v"), F.col("ref")).alias("sse"))
 
 
 def _hadamard_sql() -> str:
@@ -44,12 +43,12 @@ def _hadamard_sql() -> str:
 
 @query("k3_satd", f"WITH {A.PAIRS}, {_hadamard_sql()} SELECT blk, CAST(sum(abs(c)) // 2 AS BIGINT) AS satd FROM coef GROUP BY blk")
 def satd(spark: SparkSession, folder: str) -> DataFrame:
-    return B.fixed(A.pairs(spark, folder), "blk", d=B.difference(V, REF)).select("blk", B.satd(F.col("d")).alias("satd"))
+    return B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref"))).select("blk", B.satd(F.col("d")).alias("satd"))
 
 
 @query("g14_hadamard4x4", f"WITH {A.PAIRS}, {_hadamard_sql()} SELECT blk, CAST(sum(CASE WHEN u = 0 AND w = 0 THEN c ELSE 0 END) AS BIGINT) AS dc, CAST(sum(CASE WHEN u = 1 AND w = 2 THEN c ELSE 0 END) AS BIGINT) AS c12, CAST(max(abs(c)) AS BIGINT) AS largest FROM coef WHERE qy = 0 AND qx = 0 GROUP BY blk")
 def hadamard(spark: SparkSession, folder: str) -> DataFrame:
-    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(V, REF))
+    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
     own = B.fixed(own, "blk", d=F.array(*[B.at(F.col("d"), i, j) for i in range(4) for j in range(4)]))
     c = B.hadamard4([F.col("d")[k] for k in range(16)])
     return own.select("blk", c[0].cast("long").alias("dc"), c[6].cast("long").alias("c12"), F.greatest(*[F.abs(x) for x in c]).cast("long").alias("largest"))
@@ -58,7 +57,7 @@ def hadamard(spark: SparkSession, folder: str) -> DataFrame:
 @query("k4_rd_cost", f"{CANDIDATES}, cost AS (SELECT blk, back, sse + {LAMBDA} * (back * {BITS}) / 256.0 AS cost FROM cand) SELECT blk, arg_min(back, (cost, back)) AS back, round(min(cost), 6) AS cost FROM cost GROUP BY blk")
 def rd_cost(spark: SparkSession, folder: str) -> DataFrame:
     """Least squared error plus lambda times bits; lambda follows from a step of 32."""
-    cost = B.sse(V, REF) + LAMBDA * (F.col("back") * BITS) / 256.0
+    cost = B.sse(F.col("v"), F.col("ref")) + LAMBDA * (F.col("back") * BITS) / 256.0
     best = _candidates(spark, folder).groupBy("blk").agg(F.min(F.struct(cost.alias("cost"), F.col("back").cast("long").alias("back"))).alias("best"))
     return best.select("blk", "best.back", F.round("best.cost", 6).alias("cost"))
 
@@ -72,7 +71,7 @@ CASE WHEN split_sse + {LAMBDA} * (parts * {BITS} + 512) / 256.0 < whole_sse + {L
 )
 def partition_search(spark: SparkSession, folder: str) -> DataFrame:
     """One level of the bottom-up tree: the cost of a square's parts against its cost as a whole (its worst part throughout)."""
-    own = A.pairs(spark, folder).select("frame", F.expr("pmod(blk, 50) div 10 div 2").alias("py"), F.expr("pmod(blk, 10) div 2").alias("px"), B.sse(V, REF).alias("sse"))
+    own = A.pairs(spark, folder).select("frame", F.expr("pmod(blk, 50) div 10 div 2").alias("py"), F.expr("pmod(blk, 10) div 2").alias("px"), B.sse(F.col("v"), F.col("ref")).alias("sse"))
     parent = own.groupBy("frame", "py", "px").agg(F.count("*").alias("parts"), F.sum("sse").alias("s"), F.max("sse").alias("m"))
     split = F.col("s") + LAMBDA * (F.col("parts") * BITS + 512) / 256.0
     whole = F.col("m") * F.col("parts") + LAMBDA * BITS / 256.0
@@ -88,8 +87,8 @@ SELECT blk, round(whole, 6) AS whole, round(quads, 6) AS quads, whole > 0.6 * 90
 )
 def partition_greedy(spark: SparkSession, folder: str) -> DataFrame:
     """Split where the variance is above what a step of 30 keeps and the quarters vary less, or it is far above."""
-    quads = sum((B.variance(V, y, x, 4) for y in (0, 4) for x in (0, 4)), F.lit(0.0)) / 4.0
-    own = A.blocks(spark, folder).select("blk", B.variance(V).alias("w"), quads.alias("q"))
+    quads = sum((B.variance(F.col("v"), y, x, 4) for y in (0, 4) for x in (0, 4)), F.lit(0.0)) / 4.0
+    own = A.blocks(spark, folder).select("blk", B.variance(F.col("v")).alias("w"), quads.alias("q"))
     split = (F.col("w") > 0.6 * 900.0) & ((F.col("q") < F.col("w") * 0.75) | (F.col("w") > 4.0 * 900.0))
     return own.select("blk", F.round("w", 6).alias("whole"), F.round("q", 6).alias("quads"), split.alias("split"))
 
@@ -97,9 +96,9 @@ def partition_greedy(spark: SparkSession, folder: str) -> DataFrame:
 @query("k7_block_decision", f"{CANDIDATES}, all_c AS (SELECT blk, 'match' || back AS kind, back AS ord, sad + 8 * back AS cost FROM cand UNION ALL SELECT blk, 'flat', 0, CAST(sum(abs(s - m)) AS BIGINT) + 40 FROM (SELECT blk, s, (sum(s) OVER (PARTITION BY blk) + 32) // 64 AS m FROM pixels) GROUP BY blk) SELECT blk, arg_min(kind, (cost, ord)) AS kind, CAST(min(cost) AS BIGINT) AS cost FROM all_c GROUP BY blk")
 def block_decision(spark: SparkSession, folder: str) -> DataFrame:
     """Union of candidates of several kinds, argmin with ties to the first."""
-    match = _candidates(spark, folder).select("blk", F.concat(F.lit("match"), F.col("back")).alias("kind"), F.col("back").alias("ord"), (B.sad(V, REF) + 8 * F.col("back")).alias("cost"))
+    match = _candidates(spark, folder).select("blk", F.concat(F.lit("match"), F.col("back")).alias("kind"), F.col("back").alias("ord"), (B.sad(F.col("v"), F.col("ref")) + 8 * F.col("back")).alias("cost"))
     mean = F.col("mean")
-    flat = B.fixed(A.blocks(spark, folder), "blk", v=V, mean=fx.idiv(B.total(V) + 32, 64)).select("blk", F.lit("flat").alias("kind"), F.lit(0).alias("ord"), (B.total(F.transform("v", lambda x: F.abs(x - mean))) + 40).alias("cost"))
+    flat = B.fixed(A.blocks(spark, folder), "blk", v=F.col("v"), mean=fx.idiv(B.total(F.col("v")) + 32, 64)).select("blk", F.lit("flat").alias("kind"), F.lit(0).alias("ord"), (B.total(F.transform("v", lambda x: F.abs(x - mean))) + 40).alias("cost"))
     best = match.unionByName(flat).groupBy("blk").agg(F.min(F.struct("cost", "ord", "kind")).alias("best"))
     return best.select("blk", "best.kind", "best.cost")
 
@@ -107,7 +106,7 @@ def block_decision(spark: SparkSession, folder: str) -> DataFrame:
 @query("k8_preselection", f"{CANDIDATES} SELECT blk, back, sad, rank FROM (SELECT blk, back, sad, row_number() OVER (PARTITION BY blk ORDER BY sad, back) AS rank FROM cand) WHERE rank <= 2")
 def preselection(spark: SparkSession, folder: str) -> DataFrame:
     """The two best candidates by the cheap cost, for the dear one."""
-    cost = _candidates(spark, folder).select("blk", F.col("back").cast("long").alias("back"), B.sad(V, REF).alias("sad"))
+    cost = _candidates(spark, folder).select("blk", F.col("back").cast("long").alias("back"), B.sad(F.col("v"), F.col("ref")).alias("sad"))
     return cost.withColumn("rank", F.row_number().over(Window.partitionBy("blk").orderBy("sad", "back"))).where("rank <= 2")
 
 
@@ -136,7 +135,7 @@ def motion_full(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("k11_mv_bits", f"WITH {A.BLOCKS}, d AS (SELECT blk, v[1] - v[2] AS d FROM blocks), e AS (SELECT *, abs(d) + 2 AS v, length(bin(CAST(abs(d) + 2 AS BIGINT))) - 1 AS e FROM d) SELECT blk, d, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 2.0::DOUBLE * (e + CAST(v - (1 << e) AS DOUBLE) / CAST(1 << e AS DOUBLE)) END AS bits FROM e")
 def mv_bits(spark: SparkSession, folder: str) -> DataFrame:
-    return A.blocks(spark, folder).select("blk", (V[0] - V[1]).alias("d")).withColumn("bits", fx.mv_bits(F.col("d")))
+    return A.blocks(spark, folder).select("blk", (F.col("v")[0] - F.col("v")[1]).alias("d")).withColumn("bits", fx.mv_bits(F.col("d")))
 
 
 @query("k12_compound_satd", f"""WITH {A.PIXELS}, pairs AS (SELECT a.blk, a.p // 8 AS i, a.p % 8 AS j, a.s, (b.s + c.s + 1) >> 1 AS r FROM pixels a JOIN pixels b ON a.blk = b.blk + 1 AND a.p = b.p JOIN pixels c ON a.blk = c.blk + 2 AND a.p = c.p), {_hadamard_sql()} SELECT blk, CAST(sum(abs(c)) // 2 AS BIGINT) AS satd FROM coef GROUP BY blk""")
@@ -145,7 +144,7 @@ def compound_satd(spark: SparkSession, folder: str) -> DataFrame:
     own = A.blocks(spark, folder).select("blk", "v")
     ref = lambda k: own.select((F.col("blk") + k).alias("blk"), F.col("v").alias(f"r{k}"))
     both = own.join(ref(1), "blk").join(ref(2), "blk")
-    return B.fixed(both, "blk", d=B.difference(V, B.compound_average(F.col("r1"), F.col("r2")))).select("blk", B.satd(F.col("d")).alias("satd"))
+    return B.fixed(both, "blk", d=B.difference(F.col("v"), B.compound_average(F.col("r1"), F.col("r2")))).select("blk", B.satd(F.col("d")).alias("satd"))
 
 
 @query("k14_palette_colours", f"WITH {A.PIXELS}, c AS (SELECT blk, list_sort(list(DISTINCT s)) AS d FROM pixels GROUP BY blk) SELECT blk, len(d) AS n, CASE WHEN len(d) >= 2 AND d[-1] - d[1] >= 48 THEN true ELSE false END AS usable, CASE WHEN len(d) BETWEEN 2 AND 8 AND d[-1] - d[1] >= 48 THEN d[1] END AS first FROM c")
@@ -164,7 +163,7 @@ def palette_kmeans(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("k15_palette_map", f"WITH {A.PIXELS}, c AS (SELECT * FROM (VALUES (0, 96), (1, 120), (2, 136), (3, 170)) t(k, c)), m AS (SELECT blk, p, arg_min(k, (abs(s - c), k)) AS k FROM pixels, c GROUP BY blk, p) SELECT blk, CAST(sum(k * (p + 1)) AS BIGINT) AS checksum, CAST(sum(CASE WHEN k = 0 THEN 1 ELSE 0 END) AS BIGINT) AS zeros FROM m GROUP BY blk")
 def palette_map(spark: SparkSession, folder: str) -> DataFrame:
-    places = B.palette_map(V, F.array(*[F.lit(c) for c in (96, 120, 136, 170)]))
+    places = B.palette_map(F.col("v"), F.array(*[F.lit(c) for c in (96, 120, 136, 170)]))
     own = A.blocks(spark, folder).select("blk", places.alias("m"))
     return own.select("blk", B.total(F.transform("m", lambda k, p: k * (p + 1))).alias("checksum"), B.total(F.transform("m", lambda k: F.when(k == 0, 1).otherwise(0))).alias("zeros"))
 
@@ -172,19 +171,19 @@ def palette_map(spark: SparkSession, folder: str) -> DataFrame:
 @query("f8_palette_predict", f"WITH {A.PIXELS}, c AS (SELECT * FROM (VALUES (0, 96), (1, 120), (2, 136), (3, 170)) t(k, c)), m AS (SELECT blk, p, arg_min(c, (abs(s - c), k)) AS c FROM pixels, c GROUP BY blk, p) SELECT blk, CAST(sum(c) AS BIGINT) AS total, CAST(sum(c * p) AS BIGINT) AS weighted FROM m GROUP BY blk")
 def palette_predict(spark: SparkSession, folder: str) -> DataFrame:
     colours = F.array(*[F.lit(c) for c in (96, 120, 136, 170)])
-    own = A.blocks(spark, folder).select("blk", F.transform(B.palette_map(V, colours), lambda k: F.element_at(colours, k + 1)).alias("m"))
+    own = A.blocks(spark, folder).select("blk", F.transform(B.palette_map(F.col("v"), colours), lambda k: F.element_at(colours, k + 1)).alias("m"))
     return own.select("blk", B.total(F.col("m")).alias("total"), B.total(F.transform("m", lambda c, p: c * p)).alias("weighted"))
 
 
 @query("k16_cfl_alpha", f"WITH {A.PAIRS}, m AS (SELECT blk, CAST(sum(s * 8) AS BIGINT) // 64 AS lm, CAST(sum(r) AS BIGINT) // 64 AS cm FROM pairs GROUP BY blk), f AS (SELECT blk, CAST(sum((r - cm) * (s * 8 - lm)) AS BIGINT) AS num, CAST(sum((s * 8 - lm) * (s * 8 - lm)) AS BIGINT) AS den FROM pairs JOIN m USING (blk) GROUP BY blk) SELECT blk, CASE WHEN den <> 0 THEN CAST(greatest(-16.0, least(16.0, sign(num) * floor(abs(CAST(64 * num AS DOUBLE) / den) + 0.5))) AS INTEGER) END AS alpha FROM f")
 def cfl_alpha(spark: SparkSession, folder: str) -> DataFrame:
-    return B.cfl_alpha(A.pairs(spark, folder), "blk", V, REF)
+    return B.cfl_alpha(A.pairs(spark, folder), "blk", F.col("v"), F.col("ref"))
 
 
 @query("f9_chroma_from_luma", f"WITH {A.PAIRS}, m AS (SELECT blk, (CAST(sum(s * 8) AS BIGINT) + 32) >> 6 AS lm, (CAST(sum(r) AS BIGINT) + 32) >> 6 AS dc FROM pairs GROUP BY blk), o AS (SELECT blk, p, greatest(0, least(255, dc + CASE WHEN 5 * (s * 8 - lm) >= 0 THEN (5 * (s * 8 - lm) + 32) >> 6 ELSE -((-5 * (s * 8 - lm) + 32) >> 6) END)) AS c FROM pairs JOIN m USING (blk)) SELECT blk, CAST(sum(c) AS BIGINT) AS total, CAST(sum(c * p) AS BIGINT) AS weighted FROM o GROUP BY blk")
 def chroma_from_luma(spark: SparkSession, folder: str) -> DataFrame:
-    own = B.fixed(A.pairs(spark, folder), "blk", v=V, dc=fx.round2(B.total(REF), 6), mean=fx.round2(B.total(V) * 8, 6))
-    own = own.select("blk", B.chroma_from_luma(F.col("dc"), V, F.col("mean"), F.lit(5).cast("long")).alias("c"))
+    own = B.fixed(A.pairs(spark, folder), "blk", v=F.col("v"), dc=fx.round2(B.total(F.col("ref")), 6), mean=fx.round2(B.total(F.col("v")) * 8, 6))
+    own = own.select("blk", B.chroma_from_luma(F.col("dc"), F.col("v"), F.col("mean"), F.lit(5).cast("long")).alias("c"))
     return own.select("blk", B.total(F.col("c")).alias("total"), B.total(F.transform("c", lambda c, p: c * p)).alias("weighted"))
 
 
@@ -206,7 +205,7 @@ TYPES = ((0, "identity", 1.0), (1, "half", 2.0), (2, "double", 0.5))
 def tx_type_search(spark: SparkSession, folder: str) -> DataFrame:
     """Trial cost of each type of a list: squared error plus lambda times bits of about 2 + 2 log2(level + 1)."""
     kinds = F.array(*[F.struct(F.lit(o).alias("ord"), F.lit(k).alias("kind"), F.lit(s).alias("step")) for o, k, s in TYPES])
-    own = A.pairs(spark, folder).select("blk", B.difference(V, REF).alias("d"), F.explode(kinds).alias("t"))
+    own = A.pairs(spark, folder).select("blk", B.difference(F.col("v"), F.col("ref")).alias("d"), F.explode(kinds).alias("t"))
     q = 16.0 * F.col("t.step")
     level = lambda x: F.floor(F.abs(x) / q + 0.38)
     bits = lambda x: F.when(level(x) > 0, 2.0 + 2.0 * (F.length(F.bin(level(x) + 1)) - 1)).otherwise(0.0)
@@ -221,7 +220,7 @@ FORWARD = f"WITH {A.PAIRS}, bas AS (SELECT * FROM (VALUES {_BASIS}) t(k, n, w)),
 
 
 def _forward(spark: SparkSession, folder: str) -> DataFrame:
-    d = F.transform(B.difference(V, REF), lambda x: x.cast("double"))
+    d = F.transform(B.difference(F.col("v"), F.col("ref")), lambda x: x.cast("double"))
     return B.transform_2d(A.pairs(spark, folder), "blk", d, B.basis())
 
 
@@ -268,20 +267,20 @@ _R12 = "(({0}) + 2048) >> 12"
 
 @query("g8_inverse_adst4", f"WITH {A.PAIRS}, d AS (SELECT blk, CAST(max(CASE WHEN p = 0 THEN s - r END) AS BIGINT) AS a, CAST(max(CASE WHEN p = 1 THEN s - r END) AS BIGINT) AS b, CAST(max(CASE WHEN p = 2 THEN s - r END) AS BIGINT) AS c, CAST(max(CASE WHEN p = 3 THEN s - r END) AS BIGINT) AS d FROM pairs GROUP BY blk), k AS (SELECT blk, 1321 * a + 3803 * c + 2482 * d AS x, 2482 * a - 1321 * c - 3803 * d AS y, 3344 * (a - c + d) AS z, 3344 * b AS w FROM d) SELECT blk, {_R12.format('x + w')} AS o0, {_R12.format('y + w')} AS o1, {_R12.format('z')} AS o2, {_R12.format('x + y - w')} AS o3 FROM k")
 def inverse_adst4(spark: SparkSession, folder: str) -> DataFrame:
-    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(V, REF))
+    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
     out = B.inverse_adst4([F.col("d")[k] for k in range(4)])
     return own.select("blk", *[x.alias(f"o{k}") for k, x in enumerate(out)])
 
 
 @query("g9_inverse_identity", f"WITH {A.PAIRS} SELECT blk, CAST(sum(((s - r) * 5793 + 2048) >> 12) AS BIGINT) AS n4, CAST(sum((s - r) * 2) AS BIGINT) AS n8, CAST(sum(((s - r) * 11586 + 2048) >> 12) AS BIGINT) AS n16, CAST(sum((s - r) * 4) AS BIGINT) AS n32 FROM pairs GROUP BY blk")
 def inverse_identity(spark: SparkSession, folder: str) -> DataFrame:
-    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(V, REF))
+    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
     return own.select("blk", *[B.total(B.inverse_identity(F.col("d"), n)).alias(f"n{1 << n}") for n in (2, 3, 4, 5)])
 
 
 @query("g10_walsh", f"WITH {A.PAIRS}, q AS (SELECT blk, max(CASE WHEN p = 0 THEN s - r END) >> 2 AS t0, max(CASE WHEN p = 1 THEN s - r END) >> 2 AS t1, max(CASE WHEN p = 2 THEN s - r END) >> 2 AS t2, max(CASE WHEN p = 3 THEN s - r END) >> 2 AS t3 FROM pairs GROUP BY blk), e AS (SELECT *, t0 + t1 AS a, t2 - t3 AS d, ((t0 + t1) - (t2 - t3)) >> 1 AS e FROM q) SELECT blk, CAST(a - (e - t3) AS BIGINT) AS o0, CAST(e - t3 AS BIGINT) AS o1, CAST(e - t1 AS BIGINT) AS o2, CAST(d + (e - t1) AS BIGINT) AS o3 FROM e")
 def walsh(spark: SparkSession, folder: str) -> DataFrame:
-    own = A.pairs(spark, folder).select("blk", F.transform(B.difference(V, REF), lambda x: x.cast("long")).alias("d"))
+    own = A.pairs(spark, folder).select("blk", F.transform(B.difference(F.col("v"), F.col("ref")), lambda x: x.cast("long")).alias("d"))
     return own.select("blk", *[x.alias(f"o{k}") for k, x in enumerate(B.walsh4([F.col("d")[k] for k in range(4)], 2))])
 
 
@@ -290,8 +289,8 @@ def _edges(spark: SparkSession, folder: str) -> DataFrame:
     own = A.blocks(spark, folder)
     row = lambda v, k: F.slice(v, F.lit(8 * k + 1), F.lit(8))
     above = own.select("frame", (F.col("by") + 1).alias("by"), "bx", row("v", 7).alias("above"))
-    left = own.select("frame", "by", (F.col("bx") + 1).alias("bx"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: V[i * 8 + 7]).alias("left"))
-    corner = own.select("frame", (F.col("by") + 1).alias("by"), (F.col("bx") + 1).alias("bx"), V[63].alias("corner"))
+    left = own.select("frame", "by", (F.col("bx") + 1).alias("bx"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("v")[i * 8 + 7]).alias("left"))
+    corner = own.select("frame", (F.col("by") + 1).alias("by"), (F.col("bx") + 1).alias("bx"), F.col("v")[63].alias("corner"))
     at = ["frame", "by", "bx"]
     return own.join(above, at, "left").join(left, at, "left").join(corner, at, "left")
 
@@ -321,7 +320,7 @@ def intra_v_h(spark: SparkSession, folder: str) -> DataFrame:
     own = _edges(spark, folder).where("above is not null and left is not null")
     across = F.flatten(F.array_repeat(F.col("above"), 8))
     down = F.flatten(F.transform("left", lambda s: F.array_repeat(s, 8)))
-    return own.select("blk", B.sad(V, across).alias("vertical"), B.sad(V, down).alias("horizontal"))
+    return own.select("blk", B.sad(F.col("v"), across).alias("vertical"), B.sad(F.col("v"), down).alias("horizontal"))
 
 
 @query("f6_intra_paeth", f"""{EDGES}, n AS (SELECT p.blk, p.p, a.s AS a, l.s AS l, c.s AS c FROM pixels p JOIN above a ON p.frame = a.frame AND p."by" = a."by" AND p.bx = a.bx AND a.k = p.p % 8 JOIN left_ l ON p.frame = l.frame AND p."by" = l."by" AND p.bx = l.bx AND l.k = p.p // 8 JOIN corner c ON p.frame = c.frame AND p."by" = c."by" AND p.bx = c.bx),
@@ -335,7 +334,7 @@ def intra_paeth(spark: SparkSession, folder: str) -> DataFrame:
 def compound(spark: SparkSession, folder: str) -> DataFrame:
     """Average, and blend with a mask that rises from 1 to 64 over the block."""
     mask = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda m: m.cast("long"))
-    return A.pairs(spark, folder).select("blk", B.total(B.compound_average(V, REF)).alias("average"), B.total(B.mask_blend(V, REF, mask)).alias("blend"))
+    return A.pairs(spark, folder).select("blk", B.total(B.compound_average(F.col("v"), F.col("ref"))).alias("average"), B.total(B.mask_blend(F.col("v"), F.col("ref"), mask)).alias("blend"))
 
 
 @query("d11_palette_cache", f"WITH {A.BLOCKS}, c AS (SELECT a.blk, list_sort(list_distinct(list_concat(list_slice(a.v, 1, 4), list_slice(b.v, 1, 4)))) AS c FROM blocks a JOIN blocks b ON a.blk = b.blk + 1) SELECT blk, len(c) AS n, CAST(list_sum(c) AS BIGINT) AS total FROM c")
@@ -356,4 +355,4 @@ c AS (SELECT blk, d, CAST(sum(t * t * (840 // n)) AS BIGINT) AS cost FROM sums G
 SELECT b.blk, CAST(direction AS INTEGER) AS direction, CAST((best - cost) >> 10 AS BIGINT) AS variance FROM b JOIN c ON b.blk = c.blk AND c.d = (direction + 4) % 8""",
 )
 def cdef_direction(spark: SparkSession, folder: str) -> DataFrame:
-    return B.cdef_direction(A.blocks(spark, folder), "blk", V)
+    return B.cdef_direction(A.blocks(spark, folder), "blk", F.col("v"))

@@ -9,11 +9,10 @@ from tessera.operators import headers as H
 from tessera.plans.registry import query
 from tessera.plans.scalars import WITH, _hex
 
-DATA = F.col("data")
 
 
 def _fields(spark: SparkSession, folder: str, **at: tuple[int, int]) -> DataFrame:
-    return A.digests(spark, folder).select("doc_id", "data", *[bits.f(DATA, a, n).alias(k) for k, (a, n) in at.items()])
+    return A.digests(spark, folder).select("doc_id", "data", *[bits.f(F.col("data"), a, n).alias(k) for k, (a, n) in at.items()])
 
 
 def _sql(**at: tuple[int, int]) -> str:
@@ -244,7 +243,7 @@ def motion_field(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("i2_lfsr16", f"{WITH}, s AS (SELECT doc_id, {_hex(0, 16)} AS r FROM digests), t AS (SELECT doc_id, r, (xor(xor(r, r >> 1), xor(r >> 3, r >> 12)) & 1) AS b FROM s) SELECT doc_id, (r >> 1) + (b << 15) AS state, ((r >> 1) + (b << 15)) >> 8 AS top8 FROM t")
 def lfsr16(spark: SparkSession, folder: str) -> DataFrame:
-    own = A.digests(spark, folder).select("doc_id", bits.lfsr16(bits.f(DATA, 0, 16), 1)[0].alias("state"))
+    own = A.digests(spark, folder).select("doc_id", bits.lfsr16(bits.f(F.col("data"), 0, 16), 1)[0].alias("state"))
     return own.select("doc_id", "state", fx.shr(F.col("state"), 8).alias("top8"))
 
 

@@ -9,7 +9,6 @@ from tessera.operators import blocks as B, kernels, tiles
 from tessera.plans.blocks import EDGES, _edges, _forward
 from tessera.plans.registry import query
 
-V, REF = F.col("v"), F.col("ref")
 
 
 @query("d2_decode_tile", "SELECT vec_id // 250 AS gop, count(DISTINCT vec_id // 50) AS frames, true AS same FROM embeddings GROUP BY ALL")
@@ -26,7 +25,7 @@ def block_modes(spark: SparkSession, folder: str) -> DataFrame:
 
 def _vectors(spark: SparkSession, folder: str) -> DataFrame:
     """frame, by, bx, blk, mv, ref: a vector and a reference for each block, functions of its samples."""
-    total = B.total(V)
+    total = B.total(F.col("v"))
     return A.blocks(spark, folder).select("blk", "frame", "by", "bx", (total % 7 - 3).alias("mv"), (total % 2).alias("ref"))
 
 
@@ -171,14 +170,14 @@ def wedge_masks(spark: SparkSession, folder: str) -> DataFrame:
     """Two predictions blended along an edge: masks are built once from a rule, four directions, and looked up."""
     rule = (lambda i, j: j - 4, lambda i, j: i - 4, lambda i, j: i + j - 7, lambda i, j: i - j)
     masks = F.array(*[F.array(*[F.lit(max(0, min(64, 32 + 8 * f(p // 8, p % 8)))).cast("long") for p in range(64)]) for f in rule])
-    own = B.fixed(A.pairs(spark, folder), "blk", v=V, ref=REF, mask=F.get(masks, (F.col("blk") % 4).cast("int")))
-    return own.select("blk", (F.col("blk") % 4).alias("direction"), B.total(B.mask_blend(V, REF, F.col("mask"))).alias("total"))
+    own = B.fixed(A.pairs(spark, folder), "blk", v=F.col("v"), ref=F.col("ref"), mask=F.get(masks, (F.col("blk") % 4).cast("int")))
+    return own.select("blk", (F.col("blk") % 4).alias("direction"), B.total(B.mask_blend(F.col("v"), F.col("ref"), F.col("mask"))).alias("total"))
 
 
 @query("g1_transform_blocks", f"WITH {A.PAIRS} SELECT blk, i // 4 AS ty, j // 4 AS tx, CAST(sum(s - r) AS BIGINT) AS dc, CAST(max(abs(s - r)) AS INTEGER) AS largest FROM pairs GROUP BY ALL")
 def transform_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each 4x4 transform block of a residual."""
-    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(V, REF))
+    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
     part = lambda y, x: F.array(*[B.at(F.col("d"), y + i, x + j) for i in range(4) for j in range(4)])
     cells = F.array(*[F.struct(F.lit(y // 4).alias("ty"), F.lit(x // 4).alias("tx"), part(y, x).alias("d")) for y in (0, 4) for x in (0, 4)])
     own = own.select("blk", F.explode(cells).alias("c"))

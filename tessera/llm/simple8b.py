@@ -39,7 +39,9 @@ def _selectors(values: np.ndarray, row: np.ndarray, column: np.ndarray, blocks:
     widest[row, column] = _bits(values)
     chosen = np.full((blocks, BLOCK), ESCAPE, np.uint8)
     reach, n = widest.copy(), 1
-    for s in range(ESCAPE - 1, -1, -1):
+    # of the selectors that any value fits, the one with the most values
+    wide = int(np.searchsorted(WIDTH[:ESCAPE], widest.max(initial=1)))
+    for s in range(min(wide, ESCAPE - 1), -1, -1):
         while n < COUNT[s]:  # reach[i]: the widest of n values from i
             more = min(n, int(COUNT[s]) - n)
             reach[:, : -more or None] = np.maximum(reach[:, : -more or None], reach[:, more:])
@@ -47,7 +49,7 @@ def _selectors(values: np.ndarray, row: np.ndarray, column: np.ndarray, blocks:
         fits = reach[:, :BLOCK] <= WIDTH[s]
         if not fits.any():
             break
-        chosen[fits] = s
+        np.copyto(chosen, np.uint8(s), where=fits)
     return chosen[row, column]
 
 

@@ -19,7 +19,9 @@ columns of the input, whatever their names, are ignored.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, repeat
@@ -34,84 +36,134 @@ from tessera.llm import ragged, simple8b
 END_ID = 1
 FRAME_IDS = 1 << 20
 FRAMES_PER_FILE = 16
-CACHED_CHUNKS = 1_000_000
+CACHED_CHUNKS = 1_200_000
+HOT_CHUNKS = 16_000
+JOINED = 256
 _HEAD = struct.Struct("<4sIIQIQ")
 _MAGIC = b"TS8F"
 
 
+MARKS = ".,;:!?"
+_DOUBLE = re.compile(rf"[{MARKS}](?<=[^\w\s].|_.)")
+_UNCERTAIN = re.compile("[\u0130\u03a3\u2000-\U0010ffff]")
+SEPARATOR = "\x01"
+
+
+def chunks_of(text: str) -> list[str]:
+    """Pieces of a text that are tokenised one by one: between blanks and line feeds, without closing marks.
+
+    Lower case is taken where the normaliser would make nothing else of it: each letter by itself, composed
+    before and after. Marks are taken off where no other mark stands before them.
+    """
+    text = text.replace("\n", " ")
+    if "<|" not in text:  # the names of special tokens are written in lower case
+        low = text.lower()
+        if text.isascii():
+            text = low
+        elif not _UNCERTAIN.search(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
+            text = low
+    if not _DOUBLE.search(text):
+        text += " "
+        for mark in MARKS:
+            if mark in text:
+                text = text.replace(f"{mark} ", f" {mark} ")
+    return text.split(" ")
+
+
+def _normal(chunk: str) -> bool:
+    """Whether the normaliser (composition, single blanks, lower case) surely leaves a chunk as it is."""
+    return chunk.isascii() and chunk.isprintable() and chunk == chunk.lower()
+
+
 class ChunkTokenizer:
-    """A tokenizer of the tokenizers library behind a cache of chunks between blanks and line feeds.
+    """A tokenizer of the tokenizers library behind a cache of chunks.
 
-    For tokenizers that keep no token across white space or between a letter or digit and the marks
-    ``.,;:!?``, and that lower-case, which ``word_bpe_49k.json`` does: a chunk's ids are those of its stem
-    and of its closing marks, and an ASCII stem may be lower-cased first. The library encodes each
-    distinct stem once for as long as the cache holds it.
+    For tokenizers that lower-case and keep no token across white space or between a letter or digit and the
+    marks ``.,;:!?``, which ``word_bpe_49k.json`` does. The library encodes each distinct chunk once for as
+    long as the cache holds it.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
+        # for what the normaliser leaves as it is: the same tokenizer without one
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        alone = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.separator = alone[0] if len(alone) == 1 else None
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.hot: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _add(self, chunk: str, ids: np.ndarray | list[int]) -> None:
+    def _add(self, chunks: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        """New chunks with the numbers of their ids, and all these ids."""
         k = len(self.known)
-        if k == len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * k), np.resize(self.size, 2 * k)
+        while k + len(chunks) > len(self.size):
+            self.start, self.size = np.resize(self.start, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.known[chunk], self.start[k], self.size[k] = k, self.used, len(ids)
+        self.size[k : k + len(chunks)] = size
+        self.start[k : k + len(chunks)] = self.used + np.cumsum(size) - size
+        self.known.update(zip(chunks, range(k, k + len(chunks)), strict=True))
         self.used += len(ids)
 
-    def _ids(self, chunk: str) -> np.ndarray:
-        k = self.known[chunk]
-        return self.ids[self.start[k] : self.start[k] + self.size[k]]
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """Ids of the known chunks ``at``, one after the other."""
+        size = self.size[at]
+        shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
+        return self.ids[np.arange(len(shift)) + shift]
 
     def _learn(self, chunks: list[str]) -> None:
-        composed, parts = [], set()
-        for chunk in chunks:
-            stem = chunk.rstrip(".,;:!?")
-            tail = chunk[len(stem) :]
-            if not stem or "<" in stem or not stem[-1].isalnum():
-                stem, tail = chunk, ""
-            elif stem.isascii():
-                stem = stem.lower()
-            parts.update((stem, tail))
-            if stem != chunk:
-                composed.append((chunk, stem, tail))
-        missing = [p for p in parts if p not in self.known]
-        for part, one in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self._add(part, one.ids)
-        for chunk, stem, tail in composed:
-            self._add(chunk, np.concatenate((self._ids(stem), self._ids(tail))))
+        """Encode new chunks, joined by a separator whose single id no other chunk has."""
+        groups: dict[str, list[str]] = {"clean": [], "plain": [], "odd": []}
+        for c in chunks:
+            odd = self.separator is None or SEPARATOR in c
+            groups["odd" if odd else "clean" if _normal(c) else "plain"].append(c)
+        for kind, library in (("clean", self.bare), ("plain", self.library)):
+            own = groups[kind]
+            found = library.encode_batch_fast([f" {SEPARATOR} ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)], add_special_tokens=False)
+            ids = [np.append(np.array(one.ids, np.uint32), np.uint32(self.separator)) for one in found]
+            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+            ends = np.flatnonzero(flat == self.separator)
+            self._add(own, np.diff(ends, prepend=-1) - 1, flat[flat != self.separator])
+        found = [one.ids for one in self.library.encode_batch_fast(groups["odd"], add_special_tokens=False)]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        self._add(groups["odd"], size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the number of each."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        total = sum(map(len, split))
+        split = [chunks_of(t) for t in texts]
+        flat = list(chain.from_iterable(split))
         if len(self.known) > CACHED_CHUNKS:
             self.clear()
-        at = np.fromiter(map(self.known.get, chain.from_iterable(split), repeat(-1)), np.int64, total)
-        if len(unknown := np.flatnonzero(at < 0)):
-            flat = list(chain.from_iterable(split))
-            missed = [flat[k] for k in unknown.tolist()]
-            self._learn(list(dict.fromkeys(missed)))
-            at[unknown] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        at = np.fromiter(map(self.hot.get, flat, repeat(-1)), np.int64, len(flat))
+        if len(rare := np.flatnonzero(at < 0)):
+            chunks = [flat[k] for k in rare.tolist()]
+            found = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+            if len(new := np.flatnonzero(found < 0)):
+                missed = [chunks[k] for k in new.tolist()]
+                self._learn(list(dict.fromkeys(missed)))
+                found[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+            at[rare] = found
+        if not self.hot and len(self.known) > HOT_CHUNKS:
+            # a small table of the most frequent chunks stays in the processor's caches
+            often = np.argsort(-np.bincount(at, minlength=len(self.known)), kind="stable")[:HOT_CHUNKS]
+            chunks = list(self.known)
+            self.hot = {chunks[k]: k for k in often.tolist()}
         size = self.size[at]
         per_text = np.add.reduceat(size, np.cumsum([0, *map(len, split)])[:-1]) if texts else np.zeros(0, np.int64)
         n = per_text + 1
         out = np.full(int(n.sum()), end_id, np.uint32)
         body = np.ones(len(out), bool)
         body[np.cumsum(n) - 1] = False
-        shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
-        out[body] = self.ids[np.arange(len(shift)) + shift]
+        out[body] = self._gather(at)
         return out, n
 
 
@@ -172,7 +224,7 @@ def frames(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nd
     while at < len(content):
         magic, docs, vocabulary, n_ids, blocks, n_words = _HEAD.unpack_from(content, at)
         size = _HEAD.size + 13 * docs + 4 * vocabulary + 4 * blocks + 8 * n_words
-        if magic != _MAGIC or zlib.crc32(content[at : at + size]) != struct.unpack_from("<I", content, at + size)[0]:
+        if magic != _MAGIC or at + size + 5 > len(content) or zlib.crc32(content[at : at + size]) != struct.unpack_from("<I", content, at + size)[0]:
             raise ValueError(f"no intact frame at byte {at}")
         pos = at + _HEAD.size
         table = np.frombuffer(content, np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u4")]), docs, pos)

@@ -168,12 +168,12 @@ def units_in_frame(spark: SparkSession, folder: str) -> DataFrame:
 _TURNED = " + ".join(f"(((x >> {k}) & 1) << {7 - k})" for k in range(8))
 
 
-@query("n8_brev_cos", f"{WITH}, n AS (SELECT doc_id, {_hex(0, 8)} AS x FROM digests) SELECT doc_id, x, {_TURNED} AS turned, CAST(round(cos(x * pi() / 128), 6) AS DOUBLE) AS cos128, CAST(round(sin(x * pi() / 128), 6) AS DOUBLE) AS sin128 FROM n")
+@query("n8_brev_cos", f"{WITH}, n AS (SELECT doc_id, {_hex(0, 8)} AS x FROM digests) SELECT doc_id, x, {_TURNED} AS turned, CAST(round(cos(x * pi() / 128), 6) + 0.0 AS DOUBLE) AS cos128, CAST(round(sin(x * pi() / 128), 6) + 0.0 AS DOUBLE) AS sin128 FROM n")
 def brev_cos(spark: SparkSession, folder: str) -> DataFrame:
     """Bit reversal, and the angle functions as real numbers (the fixed-point tables are not part of this library)."""
     own = A.digests(spark, folder).select("doc_id", bits.f(F.col("data"), 0, 8).alias("x"))
     angle = F.col("x") * F.pi() / 128
-    return own.select("doc_id", "x", fx.reverse_bits(F.col("x"), 8).alias("turned"), F.round(F.cos(angle), 6).alias("cos128"), F.round(F.sin(angle), 6).alias("sin128"))
+    return own.select("doc_id", "x", fx.reverse_bits(F.col("x"), 8).alias("turned"), (F.round(F.cos(angle), 6) + 0.0).alias("cos128"), (F.round(F.sin(angle), 6) + 0.0).alias("sin128"))
 
 
 @query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.lineage import written
+from tessera.functions.lineage import cut, discard, scratch, written
 from tessera.llm import decontamination, mixing, ngram_join, quality_classifier, token_files
 from tessera.llm.queries import ENCODED, table, vocabulary
 
@@ -46,9 +46,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder; what a stage keeps is a table before the next one reads it."""
+    own = scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = written(stage(spark, docs, sf_dir), f"stage{k}", own)
+    found = cut(STAGES[-1][1](spark, docs, sf_dir))
+    discard(spark, own)
+    return found

@@ -58,25 +58,25 @@ def encode(values: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     values, lengths = values.astype(np.uint64), np.asarray(lengths, np.int64)
     ends = np.cumsum(lengths)
     starts = ends - lengths
-    row = np.repeat(np.arange(len(lengths)), lengths)
+    row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
     column = np.arange(len(values)) - np.repeat(starts, lengths)
     selector = _selectors(values, row, column, len(lengths))
-    step = np.minimum(COUNT[selector], np.repeat(lengths, lengths) - column)
     # all blocks walk from word to word at the same time
-    at, block, is_head = starts, np.arange(len(lengths)), np.zeros(len(values), bool)
-    while len(at := at[live := at < ends[block]]):
-        block = block[live]
+    at, end, is_head = starts, ends, np.zeros(len(values), bool)
+    while len(at := at[live := at < end]):
+        end = end[live]
         is_head[at] = True
-        at = at + step[at]
+        at = at + COUNT[selector[at]]
     head = np.flatnonzero(is_head)
     used = selector[head].astype(np.int64)
     escaped = used == ESCAPE
     slot = np.arange(len(head)) + np.cumsum(escaped) - escaped
     words = np.zeros(len(head) + int(escaped.sum()), np.uint64)
     if len(head):
-        word_of = np.cumsum(is_head) - 1
-        shift = (np.arange(len(values)) - head[word_of]) * np.where(escaped, 0, WIDTH[used])[word_of]
-        words[slot] = np.bitwise_or.reduceat(values << shift.astype(np.uint64), head)
+        n = np.diff(head, append=len(values))
+        within = np.arange(len(values)) - np.repeat(head, n)
+        shift = (within * np.repeat(np.where(escaped, 0, WIDTH[used]), n)).view(np.uint64)
+        words[slot] = np.bitwise_or.reduceat(values << shift, head)
         words[slot[escaped] + 1] = values[head[escaped]]
         words[slot[escaped]] = 0
         words[slot] |= used.astype(np.uint64) << np.uint64(60)

@@ -12,7 +12,7 @@ block offsets. The text writer puts frames in files (its line end is the frame's
 Spark's commit protocol and on any store that Spark can write to.
 
 Nulls and edge cases: a null text is empty; a null doc_id sorts first and stays null; documents with equal
-doc_id (or none) follow each other, ordered by the CRC of their ids; an empty table gives no rows. Other
+doc_id (or none) follow each other, the shorter ones first; an empty table gives no rows. Other
 columns of the input, whatever their names, are ignored.
 """
 
@@ -34,9 +34,9 @@ from tessera.functions.lineage import cut, discard, scratch
 from tessera.llm import ragged, simple8b
 
 END_ID = 1
-FRAME_IDS = 1 << 20
-FRAMES_PER_FILE = 16
-CACHED_CHUNKS = 1_200_000
+FRAME_IDS = 1 << 19
+FRAMES_PER_FILE = 32
+CACHED_CHUNKS = 600_000
 HOT_CHUNKS = 16_000
 JOINED = 256
 _HEAD = struct.Struct("<4sIIQIQ")
@@ -72,7 +72,9 @@ def chunks_of(text: str) -> list[str]:
 
 def _normal(chunk: str) -> bool:
     """Whether the normaliser (composition, single blanks, lower case) surely leaves a chunk as it is."""
-    return chunk.isascii() and chunk.isprintable() and chunk == chunk.lower()
+    if not chunk.isprintable() or chunk != chunk.lower():
+        return False
+    return chunk.isascii() or not _UNCERTAIN.search(chunk) and unicodedata.is_normalized("NFC", chunk)
 
 
 class ChunkTokenizer:
@@ -99,13 +101,22 @@ class ChunkTokenizer:
         self.known: dict[str, int] = {}
         self.hot: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.size, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
+
+    def prune(self) -> None:
+        """Keep what was asked for twice or more since the last time; most chunks of a corpus never come again."""
+        often = np.flatnonzero(self.hits[: len(self.known)] > 1)
+        if 2 * len(often) > CACHED_CHUNKS:
+            often = often[np.argsort(-self.hits[often], kind="stable")[: CACHED_CHUNKS // 2]]
+        chunks, ids, size = list(self.known), self._gather(often), self.size[often].astype(np.int64)
+        self.clear()
+        self._add([chunks[k] for k in often.tolist()], size, ids)
 
     def _add(self, chunks: list[str], size: np.ndarray, ids: np.ndarray) -> None:
         """New chunks with the numbers of their ids, and all these ids."""
         k = len(self.known)
         while k + len(chunks) > len(self.size):
-            self.start, self.size = np.resize(self.start, 2 * len(self.size)), np.resize(self.size, 2 * len(self.size))
+            self.start, self.size, self.hits = (np.concatenate((a, np.zeros_like(a))) for a in (self.start, self.size, self.hits))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
@@ -116,7 +127,7 @@ class ChunkTokenizer:
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """Ids of the known chunks ``at``, one after the other."""
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
         return self.ids[np.arange(len(shift)) + shift]
 
@@ -142,7 +153,7 @@ class ChunkTokenizer:
         split = [chunks_of(t) for t in texts]
         flat = list(chain.from_iterable(split))
         if len(self.known) > CACHED_CHUNKS:
-            self.clear()
+            self.prune()
         at = np.fromiter(map(self.hot.get, flat, repeat(-1)), np.int64, len(flat))
         if len(rare := np.flatnonzero(at < 0)):
             chunks = [flat[k] for k in rare.tolist()]
@@ -152,12 +163,13 @@ class ChunkTokenizer:
                 self._learn(list(dict.fromkeys(missed)))
                 found[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
             at[rare] = found
+        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
         if not self.hot and len(self.known) > HOT_CHUNKS:
             # a small table of the most frequent chunks stays in the processor's caches
             often = np.argsort(-np.bincount(at, minlength=len(self.known)), kind="stable")[:HOT_CHUNKS]
             chunks = list(self.known)
             self.hot = {chunks[k]: k for k in often.tolist()}
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         per_text = np.add.reduceat(size, np.cumsum([0, *map(len, split)])[:-1]) if texts else np.zeros(0, np.int64)
         n = per_text + 1
         out = np.full(int(n.sum()), end_id, np.uint32)
@@ -177,22 +189,18 @@ def tokenizer(path: str) -> ChunkTokenizer:
 
 
 def tokenised(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, crc (of the ids as u32), ids (u16 if all fit, else u32, little-endian)."""
+    """doc_id, n_tokens, ids (u16 if all of a run of documents fit, else u32, little-endian)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 ids, n = tokenizer(path).encode([t or "" for t in part.column("text").to_pylist()], end_id)
-                raw, ends = ids.astype("<u4").tobytes(), np.cumsum(n).tolist()
-                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip([0, *ends], ends, strict=False)]
-                narrow = len(ids) == 0 or int(ids.max()) < 1 << 16
-                if narrow:
-                    raw = ids.astype("<u2").tobytes()
-                w = 2 if narrow else 4
-                packed = [raw[w * a : w * b] for a, b in zip([0, *ends], ends, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "crc", "ids"])
+                w = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
+                raw, ends = pa.py_buffer(ids.astype(f"<u{w}")), np.concatenate(([0], np.cumsum(n) * w)).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), raw])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), packed], ["doc_id", "n_tokens", "ids"])
 
-    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, crc long, ids binary")
+    return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -250,7 +258,7 @@ def write_ranges(tokens: DataFrame, path: str, bounds: list[int]) -> None:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
-            arrays = [np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4") for _, n, raw in held]
+            arrays = [np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4") for _, n, raw in held]  # n is 1 at least
             made = frame([d for d, _, _ in held], [n for _, n, _ in held], np.concatenate(arrays))
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["frame"])
 
@@ -263,9 +271,10 @@ def write_ranges(tokens: DataFrame, path: str, bounds: list[int]) -> None:
                     held, size = [], 0
         if held:
             yield flush()
+        ragged.give_back()
 
     dealt = tokens.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, "part")
-    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "crc")
+    ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
     coded = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "frame binary")
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 

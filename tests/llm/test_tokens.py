@@ -87,7 +87,7 @@ def want_rows(frame):
     tool, out, start = library(ENCODED), [], 0
     rows = [(r.doc_id, tool.encode(r.text or "", add_special_tokens=False).ids + [1]) for r in frame.collect()]
     crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
-    for d, ids in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, crc(x[1]))):
+    for d, ids in sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, len(x[1]), np.array(x[1], "<u2").tobytes())):
         out.append((d, start, len(ids), crc(ids)))
         start += len(ids)
     return out

@@ -16,19 +16,26 @@ def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
     Rows are (text, label), or (text, extra, label). Which ones follows from a hash of their ids. Texts are whole. Labels that are null or contradict each
     other are left out.
     """
+    return weighted(documents, labels, label, folds, held_out, rows, id_column, text_column, extra)[0]
+
+
+def weighted(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, id_column: str = "doc_id", text_column: str = "text", extra: str | None = None) -> tuple[list[tuple], dict[int, float]]:
+    """The rows of ``labelled``, and by label how many labelled rows each of its rows stands for."""
     id_of = F.col(id_column).cast("long")
     clean = labels.select(id_of.alias("id"), F.col(label).cast("int").alias("label")).where("id is not null and label in (0, 1)").groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
     clean = clean.where(fold(F.col("id"), folds) != held_out).select("id", "label", F.pmod(F.xxhash64("id"), F.lit(1 << 20)).alias("draw"))
     counts = {r["label"]: r["n"] for r in clean.groupBy("label").agg(F.count("*").alias("n")).collect()}
     few = min((n for n in counts.values()), default=0)
     quota = {k: max(rows // 2, rows - few) if n > rows // 2 else n for k, n in counts.items()}
-    wanted = F.lit(False)
+    wanted, stands_for = F.lit(False), {}
     for k, n in counts.items():
-        wanted = wanted | ((F.col("label") == k) & (F.col("draw") < int((1 << 20) * min(1.0, quota[k] / n))))
+        below = int((1 << 20) * min(1.0, quota[k] / n))
+        wanted = wanted | ((F.col("label") == k) & (F.col("draw") < below))
+        stands_for[k] = (1 << 20) / max(below, 1)
     chosen = clean.where(wanted).limit(rows + rows // 10).select("id", "label")
     more = [extra] if extra else []
     texts = documents.select(id_of.alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *more)
     # chosen has at most 1.1 x rows rows of two numbers
     found = texts.join(F.broadcast(chosen), "id").select("id", "text", *more, "label").limit(rows + rows // 10).toPandas()
     found = found.sort_values(["id", "text"], kind="stable")
-    return list(zip(*(found[c].tolist() for c in ("text", *more, "label")), strict=True))
+    return list(zip(*(found[c].tolist() for c in ("text", *more, "label")), strict=True)), stands_for

@@ -227,8 +227,11 @@ def _words(text: str) -> list[bytes]:
     return [words.data[a : a + n].tobytes() for a, n in zip(start.tolist(), length.tolist(), strict=True) if n]
 
 
-def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: float = 2.0) -> Model:
-    """Lexicon and weights from labelled texts. Contexts are pairs of neighbouring words, so that copies of a text count once."""
+def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: float = 2.0, stands_for: dict[int, float] | None = None) -> Model:
+    """Lexicon and weights from labelled texts. Contexts are pairs of neighbouring words, so that copies of a text count once.
+
+    stands_for: by label, how many labelled texts each row stands for, where the rows are a sample of uneven shares.
+    """
     toxic = sum(y for _, y in rows)
     empty = Model([], np.zeros(0), np.zeros(0), Automaton.of([]), frozenset(), np.zeros(0))
     if not rows or not 0 < toxic < len(rows):
@@ -239,8 +242,10 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     for words, y in split:
         seen_in[y].update(w for w in set(words) if len(w) >= LEAST_LETTERS)
     share = len(rows) / toxic - 1
+    each = stands_for or {0: 1.0, 1: 1.0}
+    uneven = each[0] / each[1]  # so many times more clean texts than there are in the sample, to each toxic one
     odds = {w: math.log((n + 0.5) / (seen_in[0][w] + 0.5)) + math.log(share) for w, n in seen_in[1].items() if n >= least_contexts}
-    hopeful = {w for w, o in odds.items() if o >= least_odds and 25 * seen_in[0][w] <= seen_in[1][w]}
+    hopeful = {w for w, o in odds.items() if o >= least_odds and 25 * uneven * seen_in[0][w] <= seen_in[1][w]}
     contexts: dict[bytes, set] = defaultdict(set)  # in toxic texts
     for words, y in split:
         if y and not hopeful.isdisjoint(words):
@@ -289,13 +294,15 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     model = Model(terms, 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
     y = np.array([v for _, v in rows], float)
     x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
-    model.beta = logistic.fit(x, y, np.ones(len(y)))
+    weight = np.where(y > 0, each[1], each[0]) / min(each.values())
+    model.beta = logistic.fit(x, y, weight)
     return model
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, cut: float = CUT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Learn from about ``sample_rows`` labelled texts outside the held-out fold, then score every document."""
-    model = learn(samples.labelled(documents, labels, "toxic", FOLDS, HELD_OUT, sample_rows, id_column, text_column))
+    rows, stands_for = samples.weighted(documents, labels, "toxic", FOLDS, HELD_OUT, sample_rows, id_column, text_column)
+    model = learn(rows, stands_for=stands_for)
     return scored(documents, model, cut, id_column, text_column)
 
 

@@ -103,3 +103,24 @@ def test_samples_are_bounded_and_leave_the_fold_out(docs, labels, spark):
     assert 0 < len(rows) <= 44 and not known & {t for t, _ in rows}
     clash = spark.createDataFrame([(0, 0), (0, 1), (1, None), (None, 1)], "doc_id long, quality int")
     assert samples.labelled(docs, clash, "quality", 5, 0, 40) == []
+
+
+def test_scores_do_not_depend_on_the_share_that_is_sampled():
+    rng = random.Random(7)
+    bad = ["blockhead", "dimwit", "numbskull"]
+    clean = [(sentence(rng, ["dimwit"] * (k % 15 == 0)), 0) for k in range(4000)]
+    toxic = [(sentence(rng, [rng.choice(bad)] if k % 2 else rng.sample(bad, 2)), 1) for k in range(400)]
+    texts = pa.array([sentence(rng, ["numbskull"]), sentence(rng)])
+    found = [m.scores(m.features(texts)[0]) for m in (X.learn(clean + toxic), X.learn(clean[::4] + toxic, stands_for={0: 4.0, 1: 1.0}), X.learn(clean[::4] + toxic))]
+    odds = [np.log(p / (1 - p)) for p in found]
+    assert np.abs(odds[0] - odds[1]).max() < 0.7 < np.abs(odds[0] - odds[2]).max()
+
+
+def test_sampled_rows_stand_for_all(docs, labels):
+    all_of = {r.toxic: r["count"] for r in labels.join(docs.select("doc_id"), "doc_id").groupBy("toxic").count().collect()}
+    rows, stands_for = samples.weighted(docs, labels, "toxic", 4, 2, 10**6)
+    assert stands_for == {0: 1.0, 1: 1.0}
+    few, stands_for = samples.weighted(docs, labels, "toxic", 4, 2, 40)
+    for k in (0, 1):
+        whole, part = sum(y == k for _, y in rows), sum(y == k for _, y in few)
+        assert whole <= all_of[k] and (stands_for[k] == 1 and part == whole or abs(part * stands_for[k] - whole) < 0.6 * whole)

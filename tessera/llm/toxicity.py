@@ -1,11 +1,12 @@
 """Toxicity: a learned lexicon, looked up through Levenshtein automata, with context-window scores.
 
 The lexicon is learned from labelled texts: words that stand in many different contexts of toxic texts and
-in next to none of the others, and stems (beginnings shared by several such words, which stand for any
-continuation and allow no edits). They form a trie, which is intersected with the Levenshtein automata of
+in next to none of the others, so that chance among all words does not explain it, and stems (beginnings
+shared by several such words, which stand for any continuation). They form a trie, which is intersected with the Levenshtein automata of
 its words (one edit, two from ``TWO_EDITS`` letters on); the product is made deterministic once, and all
 words of a batch walk through it together, one letter a step, so that nearly all leave it after a few
-letters. Misspellings that the labelled texts use harmlessly are taken off the hits.
+letters. Misspellings that the labelled texts use harmlessly are taken off the hits; a term or stem of which
+most are harmless is looked for as it is.
 
 Each hit is scored in the window of words around it: quotation marks around it and words of report count
 towards quotation, words of address towards abuse. A logistic model weighs the hits of each kind.
@@ -33,10 +34,9 @@ from tessera.llm import logistic, ragged, samples
 
 FOLDS, HELD_OUT, CUT = 4, 2, 0.3
 SAMPLE_ROWS = 6_000
-MOST_TERMS = 100
+CHANCE = 0.01  # that any word of the sample becomes a term without being one
 STEM_LETTERS, STEM_WORDS = range(4, 9), 6
 TWO_EDITS = 8
-LEAST_LETTERS = 4
 WINDOW = 6
 #: Quotation marks, and words of report and of address in the languages of the corpus.
 QUOTES = "\"'“”„«»‘’‹›"
@@ -57,15 +57,15 @@ class Automaton:
     edits: np.ndarray
 
     @classmethod
-    def of(cls, terms: list[bytes], stems: frozenset[bytes] = frozenset(), exact: frozenset[bytes] = frozenset()) -> Automaton:
-        """Words that equal or nearly equal a term (equal one of the exact ones), or begin with one of the stems among them."""
+    def of(cls, terms: list[bytes], stems: frozenset[bytes] = frozenset(), exact: frozenset[bytes] = frozenset(), near: frozenset[bytes] = frozenset()) -> Automaton:
+        """Words that equal or nearly equal a term (equal one of the exact ones), or begin with one of the stems among them (nearly with one of ``near``)."""
         letters = sorted({b for t in terms for b in t})
         classes = np.zeros(256, np.int64)
         classes[letters] = np.arange(1, len(letters) + 1)
         children: list[dict[int, int]] = [{}]
         most, ends, absorbing = [0], {}, set()
         for k, t in enumerate(terms):
-            node, bound = 0, 0 if t in stems or t in exact else 2 if len(t) >= TWO_EDITS else 1
+            node, bound = 0, 0 if t in exact or t in stems and t not in near else 2 if len(t) >= TWO_EDITS else 1
             most[0] = max(most[0], bound)
             for b in t:
                 c = int(classes[b])
@@ -102,8 +102,8 @@ class Automaton:
             for c in range(len(letters) + 1):
                 then: dict[int, int] = {}
                 for node, e in state:
-                    if node in absorbing and not e:
-                        then[node] = 0
+                    if node in absorbing:
+                        then[node] = min(then.get(node, 9), e)
                     if e + 1 <= most[node]:  # a letter too many
                         then[node] = min(then.get(node, 9), e + 1)
                     for letter, child in children[node].items():
@@ -227,6 +227,13 @@ def _words(text: str) -> list[bytes]:
     return [words.data[a : a + n].tobytes() for a, n in zip(start.tolist(), length.tolist(), strict=True) if n]
 
 
+def _chance(mine: int, other: int, toxic: float) -> float:
+    """Log of how likely at most ``other`` of the texts that hold a word are clean, if a text is toxic with that probability whatever it holds."""
+    n = mine + other
+    parts = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log1p(-toxic) + (n - k) * math.log(toxic) for k in range(other + 1)]
+    return max(parts) + math.log(sum(math.exp(p - max(parts)) for p in parts))
+
+
 def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: float = 2.0, stands_for: dict[int, float] | None = None) -> Model:
     """Lexicon and weights from labelled texts. Contexts are pairs of neighbouring words, so that copies of a text count once.
 
@@ -240,7 +247,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     split = [([known.setdefault(w, w) for w in _words(t)], y) for t, y in rows]
     seen_in: tuple[Counter, Counter] = (Counter(), Counter())  # documents of each label that hold a word
     for words, y in split:
-        seen_in[y].update(w for w in set(words) if len(w) >= LEAST_LETTERS)
+        seen_in[y].update(set(words))
     share = len(rows) / toxic - 1
     each = stands_for or {0: 1.0, 1: 1.0}
     uneven = each[0] / each[1]  # so many times more clean texts than there are in the sample, to each toxic one
@@ -252,12 +259,13 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
             for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
                 if w in hopeful:
                     contexts[w].add((a, b))
-    # a term shows in many toxic texts and contexts; words of copies of one text share theirs
-    terms = {w: seen_in[1][w] for w in hopeful if len(contexts[w]) >= least_contexts and seen_in[1][w] >= 0.02 * toxic}
+    # a term shows in more toxic texts and contexts than chance gives any word; words of copies of one text share theirs
+    beyond = math.log(CHANCE / len(seen_in[1]))
+    terms = {w: seen_in[1][w] for w in hopeful if len(contexts[w]) >= least_contexts and _chance(min(seen_in[1][w], len(contexts[w])), seen_in[0][w], toxic / len(rows)) <= beyond}
     mine_of: Counter = Counter()
     for w, n in seen_in[1].items():
         mine_of.update({w[:m]: n for m in STEM_LETTERS if len(w) >= m})
-    begun = {p: [0.0, n, 0] for p, n in mine_of.items() if n >= max(2 * STEM_WORDS, 0.01 * toxic)}  # weight in other texts, number in toxic texts, words there
+    begun = {p: [0.0, n, 0] for p, n in mine_of.items() if n >= 2 * STEM_WORDS}  # weight in other texts, number in toxic texts, words there
     del mine_of
     for y, side in enumerate(seen_in):
         for w, n in side.items():
@@ -267,17 +275,16 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
                     found[2] += y
     stems: set[bytes] = set()
     for stem, (other, mine, words) in sorted(begun.items(), key=lambda x: (len(x[0]), x[0])):
-        if words >= STEM_WORDS and mine >= max(2 * STEM_WORDS, 0.01 * toxic) and 10 * other <= mine and not any(stem[:n] in stems for n in STEM_LETTERS):
+        if words >= STEM_WORDS and 10 * other <= mine and _chance(mine, round(other * share), toxic / len(rows)) <= beyond and not any(stem[:n] in stems for n in STEM_LETTERS):
             longest = max((p for p, b in begun.items() if p[: len(stem)] == stem and 50 * b[1] >= 49 * mine), key=len)
             if 2 * seen_in[1][longest] < mine:  # else it is one word with a few endings
                 stems.add(longest)
     terms |= {s: begun[s][1] for s in stems}
-    terms = sorted((w for w in terms if w in stems or not any(w[:n] in stems for n in STEM_LETTERS)), key=lambda w: (-terms[w], w))[:MOST_TERMS]
+    terms = sorted((w for w in terms if w in stems or not any(w[:n] in stems for n in STEM_LETTERS)), key=lambda w: (-terms[w], w))
     if not terms:
         return empty
     others = [begun[w][0] / begun[w][1] if w in stems else seen_in[0][w] / share / seen_in[1][w] for w in terms]
-    # only words that are established as terms are looked for in other spellings
-    automaton = Automaton.of(terms, frozenset(stems), frozenset(w for w in terms if w not in stems and seen_in[1][w] < 0.05 * toxic))
+    automaton = Automaton.of(terms, frozenset(stems), near=frozenset(stems))
     # misspellings in the sample: those of harmless texts are words of their own, and cast doubt on others of the term
     seen = sorted(seen_in[0].keys() | seen_in[1].keys())
     flat = ragged.words_of(pa.array([b" ".join(seen).decode("utf-8", "replace")]))
@@ -291,6 +298,8 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
             harmless.add(word)
     doubts = (tally[:, 1] + 1) / (tally.sum(1) + 1)
     doubts[doubts < 0.5] = 0
+    exact = frozenset(w for w, sure in zip(terms, doubts, strict=True) if not sure)
+    automaton = Automaton.of(terms, frozenset(stems), exact, frozenset(stems))
     model = Model(terms, 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
     y = np.array([v for _, v in rows], float)
     x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
@@ -307,7 +316,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
 
 
 def scored(documents: DataFrame, model: Model, cut: float = CUT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    held = documents.sparkSession.sparkContext.broadcast(model)  # MOST_TERMS words and their automaton
+    held = documents.sparkSession.sparkContext.broadcast(model)  # terms of a bounded sample and their automaton
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -124,3 +124,16 @@ def test_sampled_rows_stand_for_all(docs, labels):
     for k in (0, 1):
         whole, part = sum(y == k for _, y in rows), sum(y == k for _, y in few)
         assert whole <= all_of[k] and (stands_for[k] == 1 and part == whole or abs(part * stands_for[k] - whole) < 0.6 * whole)
+
+
+def test_rare_terms_and_stems_are_looked_up_with_edits():
+    """A long-tailed lexicon: 130 terms, each in 0.8% of the toxic texts, and a stem with many endings."""
+    rng = random.Random(13)
+    bad = [f"{a}{b}" for a in ("bx", "vg", "qd", "wz", "fj") for b in ("acow", "epiy", "ihat", "otub", "usop", "yvas", "adew", "ebip", "icoh", "odut", "ufys", "yhav", "azew", "evoc", "iwuz", "opyg", "ubax", "yceh", "ahiv", "eyob", "iguw", "ovyd", "uzap", "ypec", "awis", "ufoh")]
+    rows = [(sentence(rng, [bad[k % 130], f"schwatz{rng.choice('aeiou')}{rng.choice('bdfgh')}{rng.choice('aeiou')}"]), 1) for k in range(2600)] + [(sentence(rng), 0) for _ in range(2600)]
+    model = X.learn(rows)
+    terms = {t.decode() for t in model.terms}
+    assert len(terms & set(bad)) == 130 and any(t.startswith("schwatz") for t in terms)
+    texts = [sentence(rng, [bad[7] + "p", bad[90][:-1]]), sentence(rng, ["schwotzubi"])]
+    _, counts = model.features(pa.array(texts))
+    assert counts[:, 1].tolist() == [2, 1]

@@ -1,6 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are the \\n-split lines of a text. A template is a set of words; a block meets it when it holds at
+Blocks are the \\n-split lines of a text and, as notices are wrapped, windows of words across line ends: as
+many words as a template has, over the threshold. A line of one word is an item of its own, whose end no
+window crosses. A template is a set of words; a block meets it when it holds at
 least THRESHOLD of the template's words. Words are ordered by the number of documents of the whole table
 that hold them, rarest first. A block that meets a template of s words holds one of the first
 s - ceil(t s) + 1 words of the template (prefix filter), has ceil(t s) words or more (length filter), and,
@@ -80,6 +82,7 @@ class Templates:
     rank: np.ndarray  # of each of them
     sets: list[tuple[str, np.ndarray]]  # label, sorted ranks
     threshold: tuple[int, int]
+    lengths: list[int]  # words of each template, repeated ones too
 
     @classmethod
     def of(cls, templates: dict[str, list[str]], counts: dict[int, int], threshold: tuple[int, int]) -> Templates:
@@ -88,11 +91,12 @@ class Templates:
         rank = np.empty(len(words), np.int64)
         rank[order] = np.arange(len(words))
         sets = [(label, np.unique(rank[np.searchsorted(words, _hashes(t))])) for label, texts in templates.items() for t in texts]
-        return cls(words, rank, sets, threshold)
+        return cls(words, rank, sets, threshold, [len(_hashes(t)) for texts in templates.values() for t in texts])
 
     def __post_init__(self):
         p, q = self.threshold
         self.needed = [-(-p * len(s) // q) for _, s in self.sets]
+        self.windows = [-(-n * q // p) for n in self.lengths]
         self.by_prefix: dict[int, list[int]] = {}
         for k, (_, s) in enumerate(self.sets):
             for r in s[: len(s) - self.needed[k] + 1].tolist():
@@ -105,6 +109,29 @@ class Templates:
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
         return np.where(self.words[at] == word, self.rank[at], len(self.words))
 
+    def wrapped(self, rank: np.ndarray, line: np.ndarray, hits: np.ndarray) -> dict[str, float]:
+        """Labels of the templates that a window of a run of lines meets; hits: places of prefix words in the run."""
+        found: dict[str, float] = {}
+        near: dict[int, list[int]] = {}
+        for at in hits.tolist():
+            for k in self.by_prefix[int(rank[at])]:
+                near.setdefault(k, []).append(at)
+        for k, places in near.items():
+            (label, template), size = self.sets[k], self.windows[k]
+            for at in places:
+                a, b = max(at - size + 1, 0), min(at + size, len(rank))
+                if a >= b or line[a] == line[b - 1]:
+                    continue
+                mine = np.flatnonzero(np.isin(rank[a:b], template)) + a
+                if len(np.unique(rank[mine])) < self.needed[k]:
+                    continue
+                for first in mine.tolist():  # the fullest window begins with a word of the template
+                    inside = mine[(mine >= first) & (mine < first + size)]
+                    shared = len(np.unique(rank[inside]))
+                    if shared >= self.needed[k]:
+                        found[label] = max(found.get(label, 0.0), shared / len(template))
+        return found
+
     def met(self, block: list[int], n_words: int) -> dict[str, float]:
         """Labels of the templates that a block meets; block: its sorted distinct template ranks."""
         found: dict[str, float] = {}
@@ -194,6 +221,17 @@ def _scanned(part: pa.RecordBatch, base: Phrases, known: Templates) -> pa.Record
             for label, share in known.met(block, len(np.unique(word[a:b]))).items():
                 labels[d].add(label)
                 score[d] = max(score[d], share)
+        lone = np.bincount(line)[line] == 1
+        ends = np.flatnonzero((line[1:] != line[:-1]) & ((doc[1:] != doc[:-1]) | lone[:-1]))
+        run = np.searchsorted(ends + 1, np.arange(len(word)), side="right")
+        for number in np.unique(run[hits]).tolist():
+            a, b = np.searchsorted(run, [number, number + 1])
+            if line[a] != line[b - 1]:
+                d = int(doc[a])
+                own = hits[(hits >= a) & (hits < b)] - a
+                for label, share in known.wrapped(rank[a:b], line[a:b], own).items():
+                    labels[d].add(label)
+                    score[d] = max(score[d], share)
     text = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(n_base, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), text(base_labels), text(labels), pa.array(score, pa.float64())],

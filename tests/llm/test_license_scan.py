@@ -54,3 +54,12 @@ def test_order_of_words_changes_no_result():
             h = L._hashes(t + " and more words")
             x, y = ({k for k in s.ranks(h) if k < len(s.words)} for s in (a, b))
             assert a.met(sorted(x), len(h)) == b.met(sorted(y), len(h))
+
+
+def test_notices_that_are_wrapped_over_lines(spark):
+    words = L.TEMPLATES["mit"][1].split()
+    mit = "MIT License\n\n" + "\n".join(" ".join(words[k : k + 11]) for k in range(0, len(words), 11))
+    apache = "# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n"
+    rows = [(1, mit), (2, apache), (3, "You may obtain a copy of the License at\nthe office."), (4, "All\nrights\nreserved")]
+    found = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ("mit", 1.0), 2: ("apache-2", 1.0), 3: ("", 0.0), 4: ("", 0.0)}

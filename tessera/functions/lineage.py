@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,11 +14,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset, as in local tests, a
-    temporary folder is made and set for the rest of the session.
+    A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local, as in
+    tests, a temporary folder is made and set for the rest of the session.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -44,6 +49,23 @@ def written(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def bucketed(df: DataFrame, label: str, column: str) -> Iterator[DataFrame]:
+    """The frame as a table in the shared folder, dealt out by a column, for as long as the block lasts.
+
+    Joins and aggregates on the column read it without another shuffle of its rows.
+    """
+    spark = df.sparkSession
+    path = scratch(spark, label)
+    name, parts = f"tessera_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(parts, column).write.bucketBy(parts, column).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard(spark, path)
+
+
 def discard(spark: SparkSession, *paths: str) -> None:
     """Delete scratch folders through Hadoop's file system, whatever store they are in."""
     jvm = spark.sparkContext._jvm

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +17,14 @@ def shared_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset and the master is local, as in
     tests, a temporary folder is made and set for the rest of the session.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    defined = spark.sparkContext._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or (defined.get() if defined.isDefined() else None)
     if not named:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tessera-shared-")
         spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not defined.isDefined():
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
@@ -50,15 +51,16 @@ def written(df: DataFrame, label: str, under: str | None = None) -> DataFrame:
 
 
 @contextmanager
-def bucketed(df: DataFrame, label: str, column: str) -> Iterator[DataFrame]:
-    """The frame as a table in the shared folder, dealt out by a column, for as long as the block lasts.
+def bucketed(df: DataFrame, label: str, column: str, then: Callable[[DataFrame], DataFrame]) -> Iterator[DataFrame]:
+    """A table in the shared folder, for as long as the block lasts: the frame dealt out by a column, and what ``then``
+    makes of it by aggregates and joins on that column.
 
-    Joins and aggregates on the column read it without another shuffle of its rows.
+    Joins and aggregates on the column read the table without another shuffle of its rows.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
     name, parts = f"tessera_{label}_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(parts, column).write.bucketBy(parts, column).option("path", path).saveAsTable(name)
+    then(df.repartition(parts, column)).write.bucketBy(parts, column).option("path", path).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

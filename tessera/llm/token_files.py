@@ -3,12 +3,12 @@
 An archive is a folder of part files in ascending order of doc_id. A part is a run of frames, and a frame
 is little-endian:
 
-    b"TS8F", u32 documents, u32 vocabulary, u64 ids, u32 blocks, u64 words,
+    b"TS8G", u32 part, u32 frame of the part, u32 documents, u32 vocabulary, u64 ids, u32 blocks, u64 words,
     documents x (u8 has an id, i64 doc_id, u32 ids), vocabulary x u32, blocks x u32, words x u64, u32 crc32, "\\n"
 
 The vocabulary lists the frame's distinct ids, most frequent first, and what Simple-8b packs are places in
 it: frequent ids take few bits. Blocks end with documents, so that any document decodes alone from its
-block offsets. The text writer puts frames in files (its line end is the frame's last byte), hence through
+block offsets. Parts and frames are numbered in their heads, so that the order does not hang on names of files. The text writer puts frames in files (its line end is the frame's last byte), hence through
 Spark's commit protocol and on any store that Spark can write to.
 
 Nulls and edge cases: a null text is empty; a null doc_id sorts first and stays null; documents with equal
@@ -18,6 +18,7 @@ columns of the input, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -36,16 +37,23 @@ from tessera.llm import ragged, simple8b
 END_ID = 1
 FRAME_IDS = 1 << 19
 FRAMES_PER_FILE = 32
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 300_000
+KEPT_CHUNKS = 100_000
 HOT_CHUNKS = 16_000
 JOINED = 256
-_HEAD = struct.Struct("<4sIIQIQ")
-_MAGIC = b"TS8F"
+_HEAD = struct.Struct("<4sIIIIQIQ")
+_MAGIC = b"TS8G"
 
+#: What the normaliser and the pre-tokeniser of a file must be for its texts to be encoded in chunks.
+NORMALISER = ["NFC", (r"\s+", " "), "Lowercase"]
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 MARKS = ".,;:!?"
-_DOUBLE = re.compile(rf"[{MARKS}](?<=[^\w\s].|_.)")
-_UNCERTAIN = re.compile("[\u0130\u03a3\u2000-\U0010ffff]")
+#: Letters and digits that stay letters and digits, one each, when they are composed and lower-cased.
+PLAIN = "0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f"
+_JOINED = re.compile(rf"[{MARKS}](?= )(?<=[^{PLAIN} ].)")
+_CLOSING = re.compile(rf"(?<=[{PLAIN}])[{MARKS}](?= )")
+_UNCERTAIN = re.compile("[\u0130\u03a3\u0530-\U0010ffff]")
 SEPARATOR = "\x01"
 
 
@@ -53,7 +61,8 @@ def chunks_of(text: str) -> list[str]:
     """Pieces of a text that are tokenised one by one: between blanks and line feeds, without closing marks.
 
     Lower case is taken where the normaliser would make nothing else of it: each letter by itself, composed
-    before and after. Marks are taken off where no other mark stands before them.
+    before and after. Marks before a blank are taken off where a plain letter, a digit or a blank stands before them;
+    what else may stand there makes one piece with the mark, or does so once it is normalised.
     """
     text = text.replace("\n", " ")
     if "<|" not in text:  # the names of special tokens are written in lower case
@@ -62,14 +71,26 @@ def chunks_of(text: str) -> list[str]:
             text = low
         elif not _UNCERTAIN.search(text) and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low):
             text = low
-    if not _DOUBLE.search(text):
-        text += " "
+    text += " "
+    if _JOINED.search(text):
+        text = _CLOSING.sub(r" \g<0>", text)
+    else:
         for mark in MARKS:
             if mark in text:
                 text = text.replace(f"{mark} ", f" {mark} ")
     return text.split(" ")
 
 
+def in_chunks(file: dict) -> bool:
+    """Whether a tokenizer file's texts may be encoded chunk by chunk, from what it says of itself."""
+    normal = [(n["pattern"].get("Regex"), n["content"]) if n["type"] == "Replace" else n["type"] for n in (file.get("normalizer") or {}).get("normalizers", [])]
+    first, *others = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    split = first.get("type") == "Split" and first["pattern"].get("Regex") == PIECES and first["behavior"] == "Removed" and first["invert"]
+    bytewise = [(k["type"], k["add_prefix_space"], k["use_regex"]) for k in others if k["type"] == "ByteLevel"] == [("ByteLevel", False, False)] and len(others) == 1
+    added = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or re.search(rf"[\s{MARKS}]|[^<].*<\|", t["content"])) and t["content"].startswith("<|") for t in file.get("added_tokens", []))
+    return normal == NORMALISER and bool(split) and bytewise and added and not file.get("post_processor")
+
+
 def _normal(chunk: str) -> bool:
     """Whether the normaliser (composition, single blanks, lower case) surely leaves a chunk as it is."""
     if not chunk.isprintable() or chunk != chunk.lower():
@@ -80,9 +101,9 @@ def _normal(chunk: str) -> bool:
 class ChunkTokenizer:
     """A tokenizer of the tokenizers library behind a cache of chunks.
 
-    For tokenizers that lower-case and keep no token across white space or between a letter or digit and the
-    marks ``.,;:!?``, which ``word_bpe_49k.json`` does. The library encodes each distinct chunk once for as
-    long as the cache holds it.
+    Tokenizers that lower-case and keep no token across white space or between a letter or digit and the
+    marks ``.,;:!?``, as their files say (``in_chunks``), encode each distinct chunk once for as long as the cache
+    holds it. With any other file whole texts go to the library.
     """
 
     def __init__(self, path: str):
@@ -90,10 +111,11 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer, normalizers
 
         self.library = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.whole = not in_chunks(json.load(f))
         # for what the normaliser leaves as it is: the same tokenizer without one
-        self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = normalizers.Sequence([])
-        alone = self.library.encode(SEPARATOR, add_special_tokens=False).ids
+        self.normaliser, self.bare = self.library.normalizer, normalizers.Sequence([])
+        alone = [] if self.whole else self.library.encode(SEPARATOR, add_special_tokens=False).ids
         self.separator = alone[0] if len(alone) == 1 else None
         self.clear()
 
@@ -103,11 +125,16 @@ class ChunkTokenizer:
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
-    def prune(self) -> None:
+    def release(self) -> None:
+        """Forget what will hardly be asked for again: a worker that is done with a task may serve other operators for long."""
+        self.prune(KEPT_CHUNKS)
+        ragged.give_back()
+
+    def prune(self, most: int) -> None:
         """Keep what was asked for twice or more since the last time; most chunks of a corpus never come again."""
         often = np.flatnonzero(self.hits[: len(self.known)] > 1)
-        if 2 * len(often) > CACHED_CHUNKS:
-            often = often[np.argsort(-self.hits[often], kind="stable")[: CACHED_CHUNKS // 2]]
+        if len(often) > most:
+            often = often[np.argsort(-self.hits[often], kind="stable")[:most]]
         chunks, ids, size = list(self.known), self._gather(often), self.size[often].astype(np.int64)
         self.clear()
         self._add([chunks[k] for k in often.tolist()], size, ids)
@@ -137,9 +164,12 @@ class ChunkTokenizer:
         for c in chunks:
             odd = self.separator is None or SEPARATOR in c
             groups["odd" if odd else "clean" if _normal(c) else "plain"].append(c)
-        for kind, library in (("clean", self.bare), ("plain", self.library)):
+        for kind in ("clean", "plain"):
             own = groups[kind]
-            found = library.encode_batch_fast([f" {SEPARATOR} ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)], add_special_tokens=False)
+            if kind == "clean":
+                self.library.normalizer = self.bare
+            found = self.library.encode_batch_fast([f" {SEPARATOR} ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)], add_special_tokens=False)
+            self.library.normalizer = self.normaliser
             ids = [np.append(np.array(one.ids, np.uint32), np.uint32(self.separator)) for one in found]
             flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
             ends = np.flatnonzero(flat == self.separator)
@@ -150,10 +180,14 @@ class ChunkTokenizer:
 
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by ``end_id``, and the number of each."""
+        if self.whole:
+            found = [[*one.ids, end_id] for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+            n = np.fromiter(map(len, found), np.int64, len(found))
+            return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
         split = [chunks_of(t) for t in texts]
         flat = list(chain.from_iterable(split))
         if len(self.known) > CACHED_CHUNKS:
-            self.prune()
+            self.prune(CACHED_CHUNKS // 2)
         at = np.fromiter(map(self.hot.get, flat, repeat(-1)), np.int64, len(flat))
         if len(rare := np.flatnonzero(at < 0)):
             chunks = [flat[k] for k in rare.tolist()]
@@ -192,9 +226,16 @@ def tokenised(documents: DataFrame, path: str, id_column: str = "doc_id", text_c
     """doc_id, n_tokens, ids (u16 if all of a run of documents fit, else u32, little-endian)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = tokenizer(path)
+        try:
+            yield from encoded(held, batches)
+        finally:
+            held.release()
+
+    def encoded(held: ChunkTokenizer, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
-                ids, n = tokenizer(path).encode([t or "" for t in part.column("text").to_pylist()], end_id)
+                ids, n = held.encode([t or "" for t in part.column("text").to_pylist()], end_id)
                 w = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
                 raw, ends = pa.py_buffer(ids.astype(f"<u{w}")), np.concatenate(([0], np.cumsum(n) * w)).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends), raw])
@@ -203,8 +244,8 @@ def tokenised(documents: DataFrame, path: str, id_column: str = "doc_id", text_c
     return documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
-def frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """One frame without the line end that closes it."""
+def frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray, part: int = 0, number: int = 0) -> bytes:
+    """One frame, the given one of its part, without the line end that closes it."""
     counts = np.asarray(counts, np.int64)
     if len(ids) and int(ids.max()) < 1 << 20:
         often, place = np.bincount(ids), ids
@@ -222,15 +263,15 @@ def frame(doc_ids: list[int | None], counts: np.ndarray, ids: np.ndarray) -> byt
     words, offsets = simple8b.encode(rank[place], lengths)
     table = np.zeros(len(counts), np.dtype([("known", "u1"), ("id", "<i8"), ("n", "<u4")]))
     table["known"], table["id"], table["n"] = [d is not None for d in doc_ids], [d or 0 for d in doc_ids], counts
-    body = _HEAD.pack(_MAGIC, len(counts), len(vocabulary), len(ids), len(lengths), len(words)) + table.tobytes() + vocabulary.astype("<u4").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
+    body = _HEAD.pack(_MAGIC, part, number, len(counts), len(vocabulary), len(ids), len(lengths), len(words)) + table.tobytes() + vocabulary.astype("<u4").tobytes() + offsets.astype("<u4").tobytes() + words.astype("<u8").tobytes()
     return body + struct.pack("<I", zlib.crc32(body))
 
 
-def frames(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.ndarray]]:
-    """doc_ids, their numbers of ids, and all ids, of each frame of a part file."""
+def frames(content: bytes) -> Iterator[tuple[tuple[int, int], list[int | None], np.ndarray, np.ndarray]]:
+    """Part and frame number, doc_ids, their numbers of ids, and all ids, of each frame of a part file."""
     at = 0
     while at < len(content):
-        magic, docs, vocabulary, n_ids, blocks, n_words = _HEAD.unpack_from(content, at)
+        magic, part, number, docs, vocabulary, n_ids, blocks, n_words = _HEAD.unpack_from(content, at)
         size = _HEAD.size + 13 * docs + 4 * vocabulary + 4 * blocks + 8 * n_words
         if magic != _MAGIC or at + size + 5 > len(content) or zlib.crc32(content[at : at + size]) != struct.unpack_from("<I", content, at + size)[0]:
             raise ValueError(f"no intact frame at byte {at}")
@@ -244,7 +285,7 @@ def frames(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray, np.nd
         lengths = np.full(blocks, simple8b.BLOCK, np.int64)
         lengths[np.cumsum(per_doc)[per_doc > 0] - 1] = (counts - (per_doc - 1) * simple8b.BLOCK)[per_doc > 0]
         places = simple8b.decode(np.frombuffer(content, "<u8", n_words, words_at).astype(np.uint64), offsets, lengths)
-        yield [i if k else None for k, i in zip(table["known"].tolist(), table["id"].tolist(), strict=True)], counts, names[places.astype(np.int64)]
+        yield (part, number), [i if k else None for k, i in zip(table["known"].tolist(), table["id"].tolist(), strict=True)], counts, names[places.astype(np.int64)]
         at += size + 5
 
 
@@ -255,53 +296,54 @@ def write_ranges(tokens: DataFrame, path: str, bounds: list[int]) -> None:
     part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, 0
 
         def flush() -> pa.RecordBatch:
-            arrays = [np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4") for _, n, raw in held]  # n is 1 at least
-            made = frame([d for d, _, _ in held], [n for _, n, _ in held], np.concatenate(arrays))
+            arrays = [np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4") for _, n, raw, _ in held]  # n is 1 at least
+            made = frame([r[0] for r in held], [r[1] for r in held], np.concatenate(arrays), held[0][3], number)
             return pa.RecordBatch.from_arrays([pa.array([made], pa.binary())], ["frame"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_tokens", "ids", "part")), strict=True):
                 held.append(row)
                 size += row[1]
                 if size >= FRAME_IDS:
                     yield flush()
-                    held, size = [], 0
+                    held, size, number = [], 0, number + 1
         if held:
             yield flush()
         ragged.give_back()
 
     dealt = tokens.withColumn("part", part.cast("int")).repartitionById(len(bounds) + 1, "part")
     ordered = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "n_tokens", "ids")
-    coded = ordered.select("doc_id", "n_tokens", "ids").mapInArrow(run, "frame binary")
+    coded = ordered.select("doc_id", "n_tokens", "ids", "part").mapInArrow(run, "frame binary")
     coded.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
 
 
 def read(spark, path: str) -> DataFrame:
-    """part (file name), place (in the part), doc_id, before (ids before it in the part), n_tokens, ids_crc32."""
+    """part, frame (of the part), doc_id, before (ids before it in the frame), n_tokens, ids_crc32."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                place = before = 0
-                for doc_ids, n, ids in frames(content.as_py()):
+            for content in batch.column("content"):
+                for (part, number), doc_ids, n, ids in frames(content.as_py()):
                     raw, ends = ids.astype("<u4").tobytes(), np.cumsum(n)
                     crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), pa.array(np.arange(len(n)) + place, pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - n + before, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())], ["part", "place", "doc_id", "before", "n_tokens", "ids_crc32"])
-                    place, before = place + len(n), before + int(ends[-1])
+                    columns = [pa.array([part] * len(n), pa.int32()), pa.array([number] * len(n), pa.int64()), pa.array(doc_ids, pa.int64()), pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crcs, pa.int64())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "frame", "doc_id", "before", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, "part string, place long, doc_id long, before long, n_tokens long, ids_crc32 long")
+    return files.select("content").mapInArrow(run, "part int, frame long, doc_id long, before long, n_tokens long, ids_crc32 long")
 
 
 def offsets(rows: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before, over all parts. One row a part is what is summed up."""
-    totals = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    running = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("part", F.coalesce(F.sum("total").over(running), F.lit(0)).alias("ahead"))
-    return rows.join(totals, "part").withColumn("start", F.col("ahead") + F.col("before"))
+    """Adds ``start``: the ids of all documents before. What is summed up is one row a frame within a part, and one row a part over all."""
+    totals = rows.groupBy("part", "frame").agg(F.sum("n_tokens").alias("total"))
+    before = Window.partitionBy("part").orderBy("frame").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = totals.groupBy("part").agg(F.sum("total").alias("whole")).select("part", F.coalesce(F.sum("whole").over(earlier), F.lit(0)).alias("earlier"))
+    ahead = totals.select("part", "frame", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("ahead")).join(parts, "part")
+    return rows.join(ahead, ["part", "frame"]).withColumn("start", F.col("earlier") + F.col("ahead") + F.col("before"))
 
 
 def round_trip(documents: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID, keep: str | None = None) -> DataFrame:

@@ -55,6 +55,50 @@ def test_ids_of_any_text(text):
     assert _CHUNKS.encode([text], 1)[0].tolist() == _IDS.encode(text, add_special_tokens=False).ids + [1]
 
 
+def test_letters_that_are_more_than_one_once_normalised(chunks):
+    """Every code point that lower case or composition changes, and a sample of the others, before and after each mark."""
+    import unicodedata
+
+    changed = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (len(chr(c).lower()) > 1 or unicodedata.normalize("NFC", chr(c)) != chr(c))]
+    others = [chr(c) for c in [*range(0x20, 0x600), *range(0x600, 0x110000, 97)] if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"A{c}{m} {c}{m} {m}{c} b" for c in some[k : k + 40]) for some in (changed, others) for m in token_files.MARKS for k in range(0, len(some), 40)]
+    texts += ["DİYARBAKIRLİ. b", "İ, x", "BİNGÖLİ!", "Été, ÉTÉ. Σ. ΑΣ, x", "a.. b,. c?! (d). e\u0301. f", ". a , b", "x. "]
+    ids, n = chunks.encode(texts, 1)
+    want = [e.ids + [1] for e in library(ENCODED).encode_batch(texts, add_special_tokens=False)]
+    assert len(changed) > 1000 and n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_other_files_get_whole_texts(docs):
+    from tokenizers import Tokenizer
+
+    texts = ODD + [r.text for r in docs.limit(20).collect() if r.text]
+    other = token_files.ChunkTokenizer(vocabulary(COUNTED))
+    assert other.whole and not token_files.ChunkTokenizer(vocabulary(ENCODED)).whole
+    tool = Tokenizer.from_file(vocabulary(COUNTED))
+    assert other.encode(texts, 1)[0].tolist() == [i for t in texts for i in [*tool.encode(t, add_special_tokens=False).ids, 1]]
+
+
+def test_a_released_cache_changes_nothing(chunks, docs):
+    texts = [r.text for r in docs.limit(60).collect() if r.text]
+    want = chunks.encode(texts, 1)[0].tolist()
+    chunks.release()
+    assert chunks.encode(texts, 1)[0].tolist() == want
+
+
+def test_starts_beyond_a_thousand_files(docs, monkeypatch, spark):
+    """One small frame a file, so that names of files do not sort as their numbers do."""
+    monkeypatch.setattr(token_files, "FRAME_IDS", 1)
+    monkeypatch.setattr(token_files, "FRAMES_PER_FILE", 1)
+    frame = spark.range(2300).selectExpr("id AS doc_id", "concat('word ', id) AS text").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        found = token_files.round_trip(frame, vocabulary(ENCODED))
+        assert sorted(map(tuple, found.collect())) == sorted(want_rows(frame))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_full_caches_change_nothing(chunks, monkeypatch, docs):
     texts = [r.text for r in docs.limit(40).collect()]
     want = chunks.encode(texts, 1)[0].tolist()
@@ -76,9 +120,9 @@ def test_simple8b(blocks):
 
 def test_frames_round_trip_and_show_damage():
     ids, n = np.array([5, 7, 70_000, 1, 1, 1], np.uint32), np.array([4, 0, 2])
-    data = token_files.frame([3, None, 9], n, ids) + b"\n"
-    (doc_ids, counts, back), other = token_files.frames(data + data)
-    assert doc_ids == [3, None, 9] and counts.tolist() == [4, 0, 2] and back.tolist() == ids.tolist() and other[2].tolist() == ids.tolist()
+    data = token_files.frame([3, None, 9], n, ids, 7, 1200) + b"\n"
+    (at, doc_ids, counts, back), other = token_files.frames(data + data)
+    assert at == (7, 1200) and doc_ids == [3, None, 9] and counts.tolist() == [4, 0, 2] and back.tolist() == ids.tolist() and other[3].tolist() == ids.tolist()
     with pytest.raises(ValueError):
         list(token_files.frames(data[:30] + bytes([data[30] ^ 1]) + data[31:]))
 

@@ -34,6 +34,8 @@ from tessera.functions.lineage import cut, discard, scratch
 
 LEAST_REVISIT = 1000
 SEGMENT, CHUNK, PER_FILE = 64 << 10, 8 << 10, 1024
+#: Groups of equal payloads, 28 bytes each, that are sent to all tasks at most.
+MOST_BROADCAST = 500_000
 #: Fixed values of the format.
 VERSION, PROFILE = b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2000-01-01T00:00:00Z"
@@ -128,14 +130,20 @@ def planned(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """page_id, url, payload, refers_to: the page whose payload a page repeats, null for responses.
 
     Of pages with equal payloads of ``least`` bytes or more the largest page_id is the response. The groups are
-    reduced before the shuffle to (digest, largest id); pages then meet only those of groups of two or more.
+    reduced to (digest, largest id) before their shuffle, and those of two or more pages are sent to all tasks if
+    they are MOST_BROADCAST at most, so that no payload is shuffled. Beyond that pages that may repeat others meet
+    them in a shuffle, and smaller ones pass it by.
     """
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
-    own = own.withColumn("digest", F.when(F.length("payload") >= least, F.unhex(F.sha1("payload"))))
-    groups = own.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").select("digest", "response")
-    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response"))
-    return own.join(groups, "digest", "left").select("page_id", "url", "payload", refers.alias("refers_to"))
+    large = own.where(F.length("payload") >= least).withColumn("digest", F.unhex(F.sha1("payload")))
+    groups = cut(large.groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("n")).where("n > 1 and response is not null").select("digest", "response"))
+    refers = F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("response")), F.col("response")).alias("refers_to")
+    if groups.count() <= MOST_BROADCAST:
+        named = own.withColumn("digest", F.when(F.length("payload") >= least, F.unhex(F.sha1("payload"))))
+        return named.join(F.broadcast(groups), "digest", "left").select("page_id", "url", "payload", refers)
+    small = own.where(F.length("payload") < least).select("page_id", "url", "payload", F.lit(None).cast("long").alias("refers_to"))
+    return large.join(groups, "digest", "left").select("page_id", "url", "payload", refers).unionByName(small)
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT, segment: int = SEGMENT, per_file: int = PER_FILE) -> None:

@@ -5,7 +5,7 @@ in next to none of the others, so that chance among all words does not explain i
 shared by several such words, which stand for any continuation). They form a trie, which is intersected with the Levenshtein automata of
 its words (one edit, two from ``TWO_EDITS`` letters on); the product is made deterministic once, and all
 words of a batch walk through it together, one letter a step, so that nearly all leave it after a few
-letters. Misspellings that the labelled texts use harmlessly are taken off the hits; a term or stem of which
+letters. Letters are code points of the composed lower-case text, in the lexicon and in the texts. Misspellings that the labelled texts use harmlessly are taken off the hits; a term or stem of which
 most are harmless is looked for as it is.
 
 Each hit is scored in the window of words around it: quotation marks around it and words of report count
@@ -22,6 +22,7 @@ names, are ignored.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -42,32 +43,59 @@ WINDOW = 6
 QUOTES = "\"'“”„«»‘’‹›"
 REPORT = "said says say quote quoted quotes called calls word term wrote writes written replied reported reports insult slur means dit mot cite cité appelé gesagt sagte wort zitat nannte genannt dijo dice palabra cita llamó"
 ADDRESS = "you your you're youre u ur yourself tu te toi vous votre du dich dein ihr sie eres usted tú"
-_EDGE = np.zeros(256, bool)
-for _c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~":
-    _EDGE[ord(_c)] = True
+_EDGE = np.zeros(0x2041, bool)  # marks of ASCII, angle quotes and general punctuation; the last place is for all beyond
+_EDGE[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»"]] = True
+_EDGE[0x2000:0x2040] = True
+
+
+@dataclass
+class Letters:
+    """Words of a run of texts as code points: those of text d are first[d] to first[d + 1]."""
+
+    data: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    first: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str | None]) -> Letters:
+        """Lower-cased and composed; what white space of ASCII separates is a word."""
+        texts = [(t or "").lower() for t in texts]
+        texts = [t if t.isascii() else unicodedata.normalize("NFC", t) for t in texts]
+        data = np.frombuffer(" ".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        inside = np.zeros(len(data) + 2, np.int8)
+        inside[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+        edge = np.diff(inside)
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        return cls(np.append(data, np.zeros(1, "<u4")), start, end - start, np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in texts)])))
+
+    def text(self, k: int, start: np.ndarray | None = None, length: np.ndarray | None = None) -> str:
+        a, n = (self.start if start is None else start)[k], (self.length if length is None else length)[k]
+        return self.data[a : a + n].tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @dataclass
 class Automaton:
-    """Deterministic product of a trie with the Levenshtein automata of its words, over bytes."""
+    """Deterministic product of a trie with the Levenshtein automata of its words, over code points (or bytes)."""
 
-    classes: np.ndarray  # byte -> letter class, 0 for bytes of no term
+    classes: np.ndarray  # letter -> its class, 0 for letters of no term
     step: np.ndarray  # state x class -> state, 0 is dead
     term: np.ndarray  # state -> term it accepts (fewest edits, then first), -1 for none
     edits: np.ndarray
 
     @classmethod
-    def of(cls, terms: list[bytes], stems: frozenset[bytes] = frozenset(), exact: frozenset[bytes] = frozenset(), near: frozenset[bytes] = frozenset()) -> Automaton:
+    def of(cls, terms: list, stems: frozenset = frozenset(), exact: frozenset = frozenset(), near: frozenset = frozenset()) -> Automaton:
         """Words that equal or nearly equal a term (equal one of the exact ones), or begin with one of the stems among them (nearly with one of ``near``)."""
-        letters = sorted({b for t in terms for b in t})
-        classes = np.zeros(256, np.int64)
+        spelled = [t if isinstance(t, bytes) else [ord(c) for c in t] for t in terms]
+        letters = sorted({b for t in spelled for b in t})
+        classes = np.zeros(0x110000, np.int16)
         classes[letters] = np.arange(1, len(letters) + 1)
         children: list[dict[int, int]] = [{}]
         most, ends, absorbing = [0], {}, set()
         for k, t in enumerate(terms):
             node, bound = 0, 0 if t in exact or t in stems and t not in near else 2 if len(t) >= TWO_EDITS else 1
             most[0] = max(most[0], bound)
-            for b in t:
+            for b in spelled[k]:
                 c = int(classes[b])
                 if c not in children[node]:
                     children[node][c] = len(children)
@@ -132,55 +160,41 @@ class Automaton:
         return self.term[end], self.edits[end]
 
 
-def trimmed(words: ragged.Words) -> tuple[np.ndarray, np.ndarray]:
+def trimmed(words: Letters) -> tuple[np.ndarray, np.ndarray]:
     """Start and length of each word without punctuation and quotation marks at its ends; what is inside stays, as letters may be replaced by it."""
-    start, length = words.start.copy(), words.length.copy()
-    data = words.data
-
-    def edge(at: np.ndarray, live: np.ndarray) -> np.ndarray:
-        """Bytes of the mark that begins at ``at``: one, two (C2 AB, C2 BB) or three (E2 80 xx); 0 without."""
-        a, b = data[at], data[np.minimum(at + 1, len(data) - 1)]
-        wide = np.where((a == 0xC2) & ((b == 0xAB) | (b == 0xBB)), 2, np.where((a == 0xE2) & (b == 0x80), 3, 0))
-        return np.where(_EDGE[a], 1, np.where(wide <= length[live], wide, 0))
-
+    start, length, last = words.start.copy(), words.length.copy(), len(_EDGE) - 1
     live = np.arange(len(start))
     while len(live := live[length[live] > 0]):
-        n = edge(start[live], live)
-        live, n = live[n > 0], n[n > 0]
-        start[live] += n
-        length[live] -= n
+        live = live[_EDGE[np.minimum(words.data[start[live]], last)]]
+        start[live] += 1
+        length[live] -= 1
     live = np.arange(len(start))
     while len(live := live[length[live] > 0]):
-        n = np.zeros(len(live), np.int64)
-        for size in (1, 2, 3):
-            at = np.maximum(start[live] + length[live] - size, start[live])
-            n = np.where((n == 0) & (edge(at, live) == size) & (length[live] >= size), size, n)
-        live, n = live[n > 0], n[n > 0]
-        length[live] -= n
+        live = live[_EDGE[np.minimum(words.data[start[live] + length[live] - 1], last)]]
+        length[live] -= 1
     return start, length
 
 
 @dataclass
 class Model:
-    terms: list[bytes]
+    terms: list[bytes]  # in UTF-8
     weights: np.ndarray  # of each term, 0 to 1
     doubts: np.ndarray  # weights of its misspellings
     automaton: Automaton
-    harmless: frozenset[bytes]  # misspellings that are words of their own
+    harmless: frozenset[str]  # misspellings that are words of their own
     beta: np.ndarray
 
     FEATURES = 8
 
     def features(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Per document: features of the model, and numbers of terms, misspelled ones and quoted ones."""
-        words = ragged.words_of(column, lower=True)
-        docs = len(words.first) - 1
+        words = Letters.of(column.to_pylist())
+        docs = len(column)
         start, length = trimmed(words)
         term, edits = self.automaton.run(words.data, start, length)
         out, counts = np.zeros((docs, self.FEATURES)), np.zeros((docs, 3), np.int64)
         for k in np.flatnonzero(term >= 0).tolist():
-            found = words.data[start[k] : start[k] + length[k]].tobytes()
-            if edits[k] and (found in self.harmless or not self.doubts[term[k]]):
+            if edits[k] and (words.text(k, start, length) in self.harmless or not self.doubts[term[k]]):
                 continue
             d = int(np.searchsorted(words.first, k, side="right")) - 1
             quoted, address = self._context(words, k, int(words.first[d]), int(words.first[d + 1]))
@@ -201,9 +215,9 @@ class Model:
         return out, counts
 
     @staticmethod
-    def _context(words: ragged.Words, k: int, lo: int, hi: int) -> tuple[bool, bool]:
+    def _context(words: Letters, k: int, lo: int, hi: int) -> tuple[bool, bool]:
         """Whether the window around word k makes it a quotation, and whether it addresses someone."""
-        near = [words.text(j).decode("utf-8", "replace") for j in range(max(lo, k - WINDOW), min(hi, k + WINDOW + 1))]
+        near = [words.text(j) for j in range(max(lo, k - WINDOW), min(hi, k + WINDOW + 1))]
         at = k - max(lo, k - WINDOW)
         opened = next((j for j in range(at, -1, -1) if near[j][0] in QUOTES), None)
         closed = next((j for j in range(at, len(near)) if near[j].rstrip(".,;:!?")[-1:] and near[j].rstrip(".,;:!?")[-1] in QUOTES), None)
@@ -221,10 +235,10 @@ class Model:
 _REPORT, _ADDRESS = frozenset(REPORT.split()), frozenset(ADDRESS.split())
 
 
-def _words(text: str) -> list[bytes]:
-    words = ragged.words_of(pa.array([text]), lower=True)
+def _words(text: str) -> list[str]:
+    words = Letters.of([text])
     start, length = trimmed(words)
-    return [words.data[a : a + n].tobytes() for a, n in zip(start.tolist(), length.tolist(), strict=True) if n]
+    return [words.text(k, start, length) for k in np.flatnonzero(length).tolist()]
 
 
 def _chance(mine: int, other: int, toxic: float) -> float:
@@ -243,7 +257,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     empty = Model([], np.zeros(0), np.zeros(0), Automaton.of([]), frozenset(), np.zeros(0))
     if not rows or not 0 < toxic < len(rows):
         return empty
-    known: dict[bytes, bytes] = {}  # one object a word: the sample's words are mostly repeated ones
+    known: dict[str, str] = {}  # one object a word: the sample's words are mostly repeated ones
     split = [([known.setdefault(w, w) for w in _words(t)], y) for t, y in rows]
     seen_in: tuple[Counter, Counter] = (Counter(), Counter())  # documents of each label that hold a word
     for words, y in split:
@@ -253,10 +267,10 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     uneven = each[0] / each[1]  # so many times more clean texts than there are in the sample, to each toxic one
     odds = {w: math.log((n + 0.5) / (seen_in[0][w] + 0.5)) + math.log(share) for w, n in seen_in[1].items() if n >= least_contexts}
     hopeful = {w for w, o in odds.items() if o >= least_odds and 25 * uneven * seen_in[0][w] <= seen_in[1][w]}
-    contexts: dict[bytes, set] = defaultdict(set)  # in toxic texts
+    contexts: dict[str, set] = defaultdict(set)  # in toxic texts
     for words, y in split:
         if y and not hopeful.isdisjoint(words):
-            for a, w, b in zip([b"", *words], words, [*words[1:], b""], strict=False):
+            for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
                 if w in hopeful:
                     contexts[w].add((a, b))
     # a term shows in more toxic texts and contexts than chance gives any word; words of copies of one text share theirs
@@ -273,7 +287,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
                 if len(w) >= m and (found := begun.get(w[:m])):
                     found[0] += 0 if y else n / share
                     found[2] += y
-    stems: set[bytes] = set()
+    stems: set[str] = set()
     for stem, (other, mine, words) in sorted(begun.items(), key=lambda x: (len(x[0]), x[0])):
         if words >= STEM_WORDS and 10 * other <= mine and _chance(mine, round(other * share), toxic / len(rows)) <= beyond and not any(stem[:n] in stems for n in STEM_LETTERS):
             longest = max((p for p, b in begun.items() if p[: len(stem)] == stem and 50 * b[1] >= 49 * mine), key=len)
@@ -287,7 +301,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     automaton = Automaton.of(terms, frozenset(stems), near=frozenset(stems))
     # misspellings in the sample: those of harmless texts are words of their own, and cast doubt on others of the term
     seen = sorted(seen_in[0].keys() | seen_in[1].keys())
-    flat = ragged.words_of(pa.array([b" ".join(seen).decode("utf-8", "replace")]))
+    flat = Letters.of([" ".join(seen)])
     term, edits = automaton.run(flat.data, flat.start, flat.length)
     tally, harmless = np.zeros((len(terms), 2)), set()
     for k in np.flatnonzero((term >= 0) & (edits > 0)).tolist():
@@ -300,7 +314,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     doubts[doubts < 0.5] = 0
     exact = frozenset(w for w, sure in zip(terms, doubts, strict=True) if not sure)
     automaton = Automaton.of(terms, frozenset(stems), exact, frozenset(stems))
-    model = Model(terms, 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
+    model = Model([t.encode("utf-8", "surrogatepass") for t in terms], 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
     y = np.array([v for _, v in rows], float)
     x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
     weight = np.where(y > 0, each[1], each[0]) / min(each.values())

@@ -2,18 +2,19 @@
 
 A text's fingerprints are the least 5-gram hashes of each 6 consecutive 5-grams, all ties kept, so that two
 texts with 10 consecutive words in common have at least one fingerprint in common inside them. Training and
-test fingerprints are joined, and each hit fixes a diagonal (offset of document against item) along which
-words are compared; runs of 10 equal words or more are marked whole. Items of fewer than 10 words are one
-window each: their fingerprint is the hash of all their words, looked up at every place.
+test fingerprints are joined, and each hit is extended: the windows of 10 words that hold it are looked up among
+the windows of the items and compared word by word, so that every shared span of 10 words or more is marked
+whole. A window that many items have is looked up once, however often it stands in a text. Items of fewer than
+10 words are one window each: their fingerprint is the hash of all their words, looked up at every place.
 
-The fingerprints of the test items are broadcast only as far as ``most`` bytes of item text go. Beyond
-that, the join is a shuffled one on fingerprints, which yields the items that a document may hold; the
-marking then runs over the document with those items.
+Items are dealt out in blocks of about ``most`` bytes of text, and each block is sent to all tasks. Documents are
+read once and pass from block to block; a benchmark of any usual size is one block.
 
 Nulls and edge cases: a null or wordless text has no words and no hits; a null or wordless item occurs
 nowhere; items that share an item_id count as one, and an item without an item_id marks words but is neither
-counted nor named; equal documents get equal rows; an empty benchmark marks nothing; other columns,
-whatever their names, are ignored.
+counted nor named; texts of one word repeated are looked up like any other; equal documents get equal rows; an
+empty benchmark marks nothing; other columns, whatever their names, are ignored by ``contamination`` and kept by
+``decontaminated``.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from tessera.llm import ragged
 
 WINDOW, GRAM = 10, 5
-MOST_BROADCAST = 32 << 20
+MOST_BYTES = 8 << 20
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string"
 
 
@@ -47,47 +48,65 @@ def fingerprints(grams: np.ndarray, window: int) -> np.ndarray:
     return np.flatnonzero(best == grams)
 
 
+@dataclass
+class Grams:
+    """Distinct grams of the items, sorted, with a place of each, and the items that have it. Grams that the same items have share a group."""
+
+    gram: np.ndarray
+    place: np.ndarray
+    group: np.ndarray
+    members: list[np.ndarray]
+
+    @classmethod
+    def of(cls, gram: np.ndarray, place: np.ndarray, item: np.ndarray) -> Grams:
+        if not len(gram):
+            return cls(gram, place, np.zeros(0, np.int64), [])
+        order = np.lexsort((item, gram))
+        gram, place, item = gram[order], place[order], item[order]
+        fresh = np.ones(len(gram), bool)
+        fresh[1:] = (gram[1:] != gram[:-1]) | (item[1:] != item[:-1])
+        gram, place, item = gram[fresh], place[fresh], item[fresh]
+        head = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+        ends = np.append(head[1:], len(gram))
+        signature = np.add.reduceat(ragged.mix(item.astype(np.uint64) + np.uint64(1)), head)
+        _, one, group = np.unique(signature, return_index=True, return_inverse=True)
+        return cls(gram[head], place[head], group, [item[head[k] : ends[k]] for k in one.tolist()])
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        """Place of each wanted gram among these, -1 for none."""
+        if not len(self.gram):
+            return np.full(len(wanted), -1)
+        at = np.minimum(np.searchsorted(self.gram, wanted), len(self.gram) - 1)
+        return np.where(self.gram[at] == wanted, at, -1)
+
+
 @dataclass
 class Items:
     """Test items, ready to be looked up."""
 
     ids: list[str | None]
     word: np.ndarray  # word hashes of all items
-    first: np.ndarray
-    key: np.ndarray  # fingerprints of the long items, sorted
-    owner: np.ndarray
-    place: np.ndarray
-    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by number of words: hashes, sorted, and owners
+    key: np.ndarray  # distinct fingerprints of the long items, sorted
+    windows: Grams
+    short: dict[int, Grams]  # by number of words
 
     @classmethod
     def of(cls, ids: list, texts: list[str | None]) -> Items:
         words = ragged.words_of(pa.array(texts, pa.string()), alnum=True)
         word, first = words.hashes(), words.first
-        grams, key, owner, place, short = ragged.gram_hashes(word, GRAM), [], [], [], {}
+        grams, key, starts, owner, short = ragged.gram_hashes(word, GRAM), [], [], [], {}
         for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
             if b - a >= WINDOW:
-                at = fingerprints(grams[a : b - GRAM + 1], WINDOW - GRAM + 1)
-                key.append(grams[a + at])
-                owner.append(np.full(len(at), i))
-                place.append(at)
+                own = grams[a : b - GRAM + 1]
+                key.append(own[fingerprints(own, WINDOW - GRAM + 1)])
+                starts.append(np.arange(a, b - WINDOW + 1))
+                owner.append(np.full(b - WINDOW + 1 - a, i))
             elif b > a:
-                short.setdefault(b - a, []).append((int(ragged.gram_hashes(word[a:b], b - a)[0]), i))
-        key, owner, place = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.uint64), (owner, np.int64), (place, np.int64)))
-        order = np.argsort(key, kind="stable")
-        pack = {m: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int64)) for m, v in short.items()}
-        return cls([None if i is None else str(i) for i in ids], word, first, key[order], owner[order], place[order], pack)
-
-    def keys(self) -> list[tuple[int, int]]:
-        """Lookup key and item of every fingerprint; short items under their own hash."""
-        found = {(int(k), int(o)) for k, o in zip(self.key, self.owner, strict=True)}
-        return sorted(found | {(int(k), int(o)) for hashes, owners in self.short.values() for k, o in zip(hashes, owners, strict=True)})
-
-
-def _matches(sorted_keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of places with sorted_keys[i] == wanted[j]."""
-    lo, hi = np.searchsorted(sorted_keys, wanted), np.searchsorted(sorted_keys, wanted, side="right")
-    n = hi - lo
-    return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(len(wanted)), n)
+                short.setdefault(b - a, []).append((a, i))
+        key, starts, owner = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.uint64), (starts, np.int64), (owner, np.int64)))
+        by_length = {m: (np.array([a for a, _ in v]), np.array([i for _, i in v])) for m, v in short.items()}
+        short = {m: Grams.of(ragged.gram_hashes_at(word, at, m), at, i) for m, (at, i) in by_length.items()}
+        return cls([None if i is None else str(i) for i in ids], word, np.unique(key), Grams.of(ragged.gram_hashes_at(word, starts, WINDOW), starts, owner), short)
 
 
 def doc_fingerprints(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -121,130 +140,91 @@ def doc_fingerprints(word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, n
 
 def mark(word: np.ndarray, first: np.ndarray, items: Items) -> tuple[np.ndarray, list[set[int]]]:
     """Which words are hit, and the items that occur in each document."""
-    hit, found = np.zeros(len(word), bool), [set() for _ in range(len(first) - 1)]
+    cover, found = np.zeros(len(word) + 1, np.int32), [set() for _ in range(len(first) - 1)]
+
+    def met(start: np.ndarray, grams: Grams, m: int) -> None:
+        """Windows of m words at ``start``, in order, that are windows of items."""
+        doc = np.searchsorted(first, start, side="right") - 1
+        inside = start + m <= first[doc + 1]
+        start, doc = start[inside], doc[inside]
+        k = grams.find(ragged.gram_hashes_at(word, start, m))
+        start, doc, k = start[k >= 0], doc[k >= 0], k[k >= 0]
+        for j in range(m):
+            same = word[start + j] == items.word[grams.place[k] + j]
+            start, doc, k = start[same], doc[same], k[same]
+        cover[start] += 1
+        cover[start + m] -= 1
+        for pair in np.unique(doc * len(grams.members) + grams.group[k]).tolist():
+            found[pair // len(grams.members)].update(grams.members[pair % len(grams.members)].tolist())
+
     if len(items.key):
         at, key = doc_fingerprints(word, first)
-        k, j = _matches(items.key, key)
-        doc = np.searchsorted(first, at[j], side="right") - 1
-        diagonals = np.unique(np.stack((doc, items.owner[k], at[j] - items.place[k]), 1), axis=0) if len(k) else np.zeros((0, 3), np.int64)
-        for d, i, shift in diagonals.tolist():  # shift: where the item's first word would stand
-            a, b = items.first[i], items.first[i + 1]
-            lo, hi = max(shift, int(first[d])), min(shift + int(b - a), int(first[d + 1]))
-            equal = np.zeros(hi - lo + 2, np.int8)
-            equal[1:-1] = word[lo:hi] == items.word[a + lo - shift : a + hi - shift]
-            edge = np.diff(equal)
-            for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                if e - s >= WINDOW:
-                    hit[lo + s : lo + e] = True
-                    found[d].add(i)
-    for m, (hashes, owners) in items.short.items():
-        k, at = _matches(hashes, ragged.gram_hashes(word, m))
-        doc = np.searchsorted(first, at, side="right") - 1
-        for place, d, i in zip(at.tolist(), doc.tolist(), owners[k].tolist(), strict=True):
-            if place + m <= first[d + 1]:
-                hit[place : place + m] = True
-                found[d].add(i)
-    return hit, found
+        place = np.minimum(np.searchsorted(items.key, key), len(items.key) - 1)
+        at = at[items.key[place] == key]
+        start = np.unique(at[:, None] - np.arange(WINDOW - GRAM + 1))
+        met(start[start >= 0], items.windows, WINDOW)
+    for m, grams in items.short.items():
+        met(np.arange(len(word)), grams, m)
+    return np.cumsum(cover)[:-1] > 0, found
 
 
 def _row(ids: set[str]) -> str:
     return hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
-def _result(doc_ids: pa.Array, word: np.ndarray, first: np.ndarray, items: Items) -> pa.RecordBatch:
-    hit, found = mark(word, first, items)
-    hits = np.concatenate(([0], np.cumsum(hit)))
-    named = [{items.ids[i] for i in f} - {None} for f in found]
-    return pa.RecordBatch.from_arrays([doc_ids, pa.array(np.diff(first), pa.int64()), pa.array(hits[first[1:]] - hits[first[:-1]], pa.int64()), pa.array([len(x) for x in named], pa.int64()), pa.array([_row(x) for x in named], pa.string())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
-
-
-def contamination(documents: DataFrame, benchmark: DataFrame, most: int = MOST_BROADCAST, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; ``most``: bytes of item text to broadcast at most."""
-    texts = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    tests = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(item_text_column).cast("string").alias("text")).distinct()
+def _blocks(benchmark: DataFrame, most: int, item_column: str, text_column: str) -> list[Items]:
+    """The items in blocks of about ``most`` bytes of text; one empty block if there are none."""
+    tests = benchmark.select(F.col(item_column).cast("string").alias("item"), F.col(text_column).cast("string").alias("text")).distinct()
     size = tests.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    rows = _broadcast(texts, tests) if size <= most else _shuffled(texts, tests)
+    number = int(size) // most + 1
+    tests = tests.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(number)))
+    rows = ((tests.where(F.col("block") == k) if number > 1 else tests).collect() for k in range(number))
+    return [Items.of([r["item"] for r in own], [r["text"] for r in own]) for own in rows]
+
+
+def contamination(documents: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document; ``most``: bytes of item text in a block."""
+    rows = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    blocks = _blocks(benchmark, most, item_column, item_text_column)
+    for k, items in enumerate(blocks):
+        rows = _marked(rows, items, k == 0, k == len(blocks) - 1)
     return rows.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _broadcast(texts: DataFrame, tests: DataFrame) -> DataFrame:
-    rows = tests.collect()
-    held = texts.sparkSession.sparkContext.broadcast(Items.of([r["item"] for r in rows], [r["text"] for r in rows]))
+def _marked(rows: DataFrame, items: Items, begins: bool, ends: bool) -> DataFrame:
+    """The documents with what earlier blocks and this one have found (bits of words that are hit, names of items), or after the last block their result."""
+    held = rows.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in ragged.slices(batch, "text"):
                 words = ragged.words_of(part.column("text"), alnum=True)
-                yield _result(part.column("doc_id"), words.hashes(), words.first, held.value)
-
-    return texts.mapInArrow(run, _SCHEMA)
-
-
-def _shuffled(texts: DataFrame, tests: DataFrame) -> DataFrame:
-    """The join of fingerprints as a shuffle; documents are named by a digest of their words' text."""
-    lengths = [r[0] for r in tests.mapInArrow(_short_lengths, "m int").distinct().collect()]  # below WINDOW each
-
-    def item_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, rows = batch.column("item").to_pylist(), batch.column("text").to_pylist()
-            pairs = Items.of(names, rows).keys()
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in pairs], np.uint64).view(np.int64)), pa.array([names[i] for _, i in pairs], pa.string()), pa.array([rows[i] for _, i in pairs], pa.string())], ["key", "item", "item_text"])
-
-    def doc_keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in ragged.slices(batch, "text"):
-                words = ragged.words_of(part.column("text"), alnum=True)
-                word, first = words.hashes(), words.first
-                at, key = doc_fingerprints(word, first)
-                for m in lengths:
-                    grams = ragged.gram_hashes(word, m)
-                    at, key = np.concatenate((at, np.arange(len(grams)))), np.concatenate((key, grams))
-                doc = np.searchsorted(first, at, side="right") - 1
-                name = np.array([hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in part.column("text").to_pylist()], object)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[doc].tolist(), pa.binary())], ["key", "text_id"])
-
-    keys = texts.mapInArrow(doc_keys, "key long, text_id binary").distinct()
-    candidates = keys.join(tests.mapInArrow(item_keys, "key long, item string, item_text string"), "key").select("text_id", "item", "item_text").distinct()
-    # a document's candidates: items that share a fingerprint with it
-    per_text = candidates.groupBy("text_id").agg(F.collect_list(F.struct("item", "item_text")).alias("items"))
-
-    def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name = [hashlib.blake2b((t or "").encode(), digest_size=16).digest() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(name, pa.binary())], ["doc_id", "text", "text_id"])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                row = batch.slice(k, 1)
-                items = row.column("items").to_pylist()[0] or []
-                words = ragged.words_of(row.column("text"), alnum=True)
-                yield _result(row.column("doc_id"), words.hashes(), words.first, Items.of([i["item"] for i in items], [i["item_text"] for i in items]))
-
-    return texts.mapInArrow(named, "doc_id long, text string, text_id binary").join(per_text, "text_id", "left").select("doc_id", "text", "items").mapInArrow(run, _SCHEMA)
-
-
-def _short_lengths(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = np.diff(ragged.words_of(batch.column("text"), alnum=True).first)
-        yield pa.RecordBatch.from_arrays([pa.array(n[(n > 0) & (n < WINDOW)], pa.int32())], ["m"])
-
-
-def decontaminated(documents: DataFrame, benchmark: DataFrame, most: int = MOST_BROADCAST, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+                hit, found = mark(words.hashes(), words.first, held.value)
+                names = [{held.value.ids[i] for i in f} - {None} for f in found]
+                n, bounds = np.diff(words.first), list(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True))
+                if not begins:
+                    for d, ((a, b), bits, more) in enumerate(zip(bounds, part.column("hit").to_pylist(), part.column("names").to_pylist(), strict=True)):
+                        hit[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+                        names[d] |= set(more)
+                if ends:
+                    hits = np.concatenate(([0], np.cumsum(hit)))
+                    columns = [pa.array(n, pa.int64()), pa.array(hits[words.first[1:]] - hits[words.first[:-1]], pa.int64()), pa.array([len(x) for x in names], pa.int64()), pa.array([_row(x) for x in names], pa.string())]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256"])
+                else:
+                    columns = [pa.array([np.packbits(hit[a:b]).tobytes() for a, b in bounds], pa.binary()), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), *columns], ["doc_id", "text", "hit", "names"])
+
+    return rows.mapInArrow(run, _SCHEMA if ends else "doc_id long, text string, hit binary, names array<string>")
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, most: int = MOST_BYTES, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The documents, with all their columns, that hold no window of a test item.
 
-    The marking runs in the projection of each row, so that texts are not shuffled to be filtered. Items
-    beyond ``most`` bytes go block by block, each block within the bound.
+    The marking runs in the projection of each row, so that texts are not shuffled to be filtered.
     """
-    tests = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).distinct()
-    size = tests.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
-    blocks = int(size) // most + 1
-    kept = documents
-    for k in range(blocks):
-        own = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else tests
-        rows = own.collect()
-        kept = _clean(kept, Items.of([r["item"] for r in rows], [r["text"] for r in rows]), text_column)
-    return kept
+    for items in _blocks(benchmark, most, "item_id", "text"):
+        documents = _clean(documents, items, text_column)
+    return documents
 
 
 def _clean(documents: DataFrame, items: Items, text_column: str) -> DataFrame:

@@ -115,6 +115,14 @@ def gram_hashes(word: np.ndarray, n: int) -> np.ndarray:
     return mix(total)
 
 
+def gram_hashes_at(word: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
+    """``gram_hashes`` of the grams that begin at ``start``."""
+    total = np.full(len(start), n, np.uint64)
+    for j in range(n):
+        total = total + word[start + j] * np.uint64(pow(int(_STEP), j + 1, 1 << 64))
+    return mix(total)
+
+
 def shingle_sets(words: Words, n: int = 5) -> list[np.ndarray]:
     """For each document its sorted distinct n-word shingles; the whole sequence is one if it is shorter."""
     word, out = words.hashes(), []

@@ -40,7 +40,7 @@ def test_equals_all_windows(spark, data, docs):
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
     assert got(decontamination.contamination(docs, bench)) == want
     assert any(r[-1] for r in want)
-    assert got(decontamination.contamination(docs, bench, most=0)) == want
+    assert got(decontamination.contamination(docs, bench, most=20_000)) == want  # several blocks
     clean = decontamination.decontaminated(docs, bench)
     assert sorted(r.doc_id for r in clean.collect()) == sorted(r[0] for r in want if not r[-1]) and clean.columns == docs.columns
     assert sorted(r.doc_id for r in decontamination.decontaminated(docs, bench, most=20_000).collect()) == sorted(r[0] for r in want if not r[-1])
@@ -51,7 +51,7 @@ def test_short_items_odd_rows_and_no_items(spark, odd, none):
     bench = spark.createDataFrame(items, "item_id long, text string")
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert got(decontamination.contamination(odd, bench)) == brute(rows, items)
-    assert got(decontamination.contamination(odd, bench, most=0)) == brute(rows, items)
+    assert got(decontamination.contamination(odd, bench, most=300)) == brute(rows, items)
     assert got(decontamination.contamination(odd, bench.limit(0))) == brute(rows, [])
     assert got(decontamination.contamination(none, bench)) == []
 
@@ -70,6 +70,17 @@ def test_random_overlaps():
         assert [(d, w[2], w[3]) for d, w in enumerate(want)] == [(d, hits[d], len(found[d])) for d in range(5)]
 
 
+def test_repeated_words_are_quick():
+    import time
+
+    known = decontamination.Items.of([1, 2], ["ha " * 200, "ha ha ho " * 60])
+    words = ragged.words_of(pa.array(["ha " * 100_000, "ha ha ho " * 30_000, "ho " * 9]), alnum=True)
+    began = time.perf_counter()
+    hit, found = decontamination.mark(words.hashes(), words.first, known)
+    assert time.perf_counter() - began < 5
+    assert found == [{0}, {1}, set()] and hit.sum() == 190_000
+
+
 def test_any_ten_shared_words_share_a_fingerprint():
     rng = np.random.default_rng(2)
     for _ in range(200):

@@ -1,8 +1,8 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-Blocks are the \\n-split lines of a text and, as notices are wrapped, windows of words across line ends: as
-many words as a template has, over the threshold. A line of one word is an item of its own, whose end no
-window crosses. A template is a set of words; a block meets it when it holds at
+Blocks are windows of words, as many as a template has, over the threshold, so that the length filter holds both
+ways; \\n-split lines with no more words are blocks themselves. As notices are wrapped, windows go over line ends; a
+line of one word is an item of its own, whose end no window crosses. A template is a set of words; a block meets it when it holds at
 least THRESHOLD of the template's words. Words are ordered by the number of documents of the whole table
 that hold them, rarest first. A block that meets a template of s words holds one of the first
 s - ceil(t s) + 1 words of the template (prefix filter), has ceil(t s) words or more (length filter), and,
@@ -109,8 +109,8 @@ class Templates:
         at = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
         return np.where(self.words[at] == word, self.rank[at], len(self.words))
 
-    def wrapped(self, rank: np.ndarray, line: np.ndarray, hits: np.ndarray) -> dict[str, float]:
-        """Labels of the templates that a window of a run of lines meets; hits: places of prefix words in the run."""
+    def windowed(self, rank: np.ndarray, hits: np.ndarray) -> dict[str, float]:
+        """Labels of the templates that a window of a run of words meets; hits: places of prefix words in the run."""
         found: dict[str, float] = {}
         near: dict[int, list[int]] = {}
         for at in hits.tolist():
@@ -118,27 +118,32 @@ class Templates:
                 near.setdefault(k, []).append(at)
         for k, places in near.items():
             (label, template), size = self.sets[k], self.windows[k]
-            for at in places:
-                a, b = max(at - size + 1, 0), min(at + size, len(rank))
-                if a >= b or line[a] == line[b - 1]:
-                    continue
-                mine = np.flatnonzero(np.isin(rank[a:b], template)) + a
-                if len(np.unique(rank[mine])) < self.needed[k]:
-                    continue
-                for first in mine.tolist():  # the fullest window begins with a word of the template
-                    inside = mine[(mine >= first) & (mine < first + size)]
-                    shared = len(np.unique(rank[inside]))
-                    if shared >= self.needed[k]:
-                        found[label] = max(found.get(label, 0.0), shared / len(template))
+            reach = np.zeros(len(rank) + 1, np.int64)  # windows that hold a prefix word
+            np.add.at(reach, np.maximum(np.array(places) - size + 1, 0), 1)
+            np.add.at(reach, np.minimum(np.array(places) + size, len(rank)), -1)
+            mine = np.flatnonzero(np.isin(rank, template) & (np.cumsum(reach)[:-1] > 0)).tolist()
+            inside: dict[int, int] = {}
+            first = best = 0
+            for at in mine:  # the window that ends here
+                inside[rank[at]] = inside.get(rank[at], 0) + 1
+                while at - mine[first] >= size:
+                    gone = rank[mine[first]]
+                    inside[gone] -= 1
+                    if not inside[gone]:
+                        del inside[gone]
+                    first += 1
+                best = max(best, len(inside))
+            if best >= self.needed[k]:
+                found[label] = max(found.get(label, 0.0), best / len(template))
         return found
 
-    def met(self, block: list[int], n_words: int) -> dict[str, float]:
-        """Labels of the templates that a block meets; block: its sorted distinct template ranks."""
+    def met(self, block: list[int], n_words: int, length: int = 0) -> dict[str, float]:
+        """Labels of the templates that a block meets; block: its sorted distinct template ranks; length: its words, repeated ones too."""
         found: dict[str, float] = {}
         for k in sorted({t for r in block for t in self.by_prefix.get(r, ())}):
             label, template = self.sets[k]
             need = self.needed[k]
-            if n_words < need:
+            if n_words < need or length > self.windows[k]:
                 continue
             i = j = shared = 0
             while i < len(block) and j < len(template) and shared + min(len(block) - i, len(template) - j) >= need:
@@ -218,7 +223,7 @@ def _scanned(part: pa.RecordBatch, base: Phrases, known: Templates) -> pa.Record
             block = np.unique(rank[a:b])
             block = block[block < len(known.words)].tolist()
             d = int(doc[a])
-            for label, share in known.met(block, len(np.unique(word[a:b]))).items():
+            for label, share in known.met(block, len(np.unique(word[a:b])), int(b - a)).items():
                 labels[d].add(label)
                 score[d] = max(score[d], share)
         lone = np.bincount(line)[line] == 1
@@ -226,12 +231,10 @@ def _scanned(part: pa.RecordBatch, base: Phrases, known: Templates) -> pa.Record
         run = np.searchsorted(ends + 1, np.arange(len(word)), side="right")
         for number in np.unique(run[hits]).tolist():
             a, b = np.searchsorted(run, [number, number + 1])
-            if line[a] != line[b - 1]:
-                d = int(doc[a])
-                own = hits[(hits >= a) & (hits < b)] - a
-                for label, share in known.wrapped(rank[a:b], line[a:b], own).items():
-                    labels[d].add(label)
-                    score[d] = max(score[d], share)
+            d = int(doc[a])
+            for label, share in known.windowed(rank[a:b], hits[(hits >= a) & (hits < b)] - a).items():
+                labels[d].add(label)
+                score[d] = max(score[d], share)
     text = lambda sets: pa.array([",".join(sorted(s)) for s in sets], pa.string())
     return pa.RecordBatch.from_arrays(
         [part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(n_base, pa.int64()), pa.array(lows, pa.int64()), pa.array(highs, pa.int64()), text(base_labels), text(labels), pa.array(score, pa.float64())],

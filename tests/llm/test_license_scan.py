@@ -63,3 +63,16 @@ def test_notices_that_are_wrapped_over_lines(spark):
     rows = [(1, mit), (2, apache), (3, "You may obtain a copy of the License at\nthe office."), (4, "All\nrights\nreserved")]
     found = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: ("mit", 1.0), 2: ("apache-2", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
+def test_long_lines_need_a_window_about_as_long_as_the_template(spark):
+    """Words of a template that are strewn over a long line are no notice; the notice inside such a line is one."""
+    import random
+
+    rng = random.Random(2)
+    words = L.TEMPLATES["mit"][1].split()
+    strewn = " ".join(w for k in rng.sample(range(len(words)), len(words)) for w in [words[k], *(f"w{rng.randrange(10**6)}" for _ in range(9))])
+    inside = " ".join([*(f"w{rng.randrange(10**6)}" for _ in range(300)), *words, *(f"w{rng.randrange(10**6)}" for _ in range(300))])
+    rows = [(1, strewn), (2, inside), (3, "He reserved a table, as all of them had, and read about civil rights."), (4, "reserved " * 50_000), (5, "x " * 40 + "All rights reserved." + " y" * 40)]
+    found = {r.doc_id: (r.labels, r.score) for r in L.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: ("", 0.0), 2: ("mit", 1.0), 3: ("", 0.0), 4: ("", 0.0), 5: ("proprietary", 1.0)}

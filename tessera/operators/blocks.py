@@ -125,27 +125,6 @@ def diagonal_scan(n: int = N) -> list[int]:
     return [i * n + j for i, j in sorted(((i, j) for i in range(n) for j in range(n)), key=lambda p: (p[0] + p[1], p[0]))]
 
 
-def walsh4(v: list[Column], shift: int) -> list[Column]:
-    """Lossless inverse transform of four values."""
-    a, c, d, b = (fx.shr(x, shift) for x in v)
-    a, d = a + c, d - b
-    e = fx.shr(a - d, 1)
-    b, c = e - b, e - c
-    return [a - b, b, c, d + c]
-
-
-#: sin(k pi / 9) * 2 * sqrt(2) / 3 * 4096.
-SINPI = (1321, 2482, 3344, 3803)
-
-
-def inverse_adst4(v: list[Column]) -> list[Column]:
-    s1, s2, s3, s4 = SINPI
-    x = [fx.lit(e).cast("long") for e in v]
-    a, b = s1 * x[0] + s4 * x[2] + s2 * x[3], s2 * x[0] - s1 * x[2] - s4 * x[3]
-    c, d = s3 * (x[0] - x[2] + x[3]), s3 * x[1]
-    return [fx.round2(y, 12) for y in (a + d, b + d, c, a + b - d)]
-
-
 def inverse_identity(v: Column, n: int) -> Column:
     """Identity transform of 2^n values: powers of the square root of two."""
     if n == 2:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,32 +120,6 @@ def wiener_fits(samples: DataFrame) -> DataFrame:
     return samples.groupBy("frame").applyInArrow(fit, "frame long, " + ", ".join(f"{n} int" for n in names))
 
 
-def inverse_2d(coefficients: np.ndarray, matrix_12: np.ndarray, row_shift: int = 1, column_shift: int = 4, depth: int = 8) -> np.ndarray:
-    """Rows then columns through a matrix in 12-bit fixed point, each pass rounded and clamped, for a stack of blocks."""
-    limit = 1 << max(depth + 6, 16) - 1
-    rows = (coefficients.astype(np.int64) @ matrix_12 + 2048 >> 12) + (1 << row_shift >> 1) >> row_shift
-    rows = np.clip(rows, -limit, limit - 1)
-    return (np.swapaxes(matrix_12, 0, 1) @ rows + 2048 >> 12) + (1 << column_shift >> 1) >> column_shift
-
-
-def fixed_basis(basis: list[list[float]], scale: float) -> np.ndarray:
-    """An orthonormal basis times a scale, in 12 bits."""
-    return np.floor(np.array(basis) * scale * 4096 + 0.5).astype(np.int64)
-
-
-def inverse_blocks(blocks: DataFrame, basis: list[list[float]]) -> DataFrame:
-    """blk, total, size of the residual of coefficients c (arrays of 64): the whole stack of a batch at once."""
-    matrix_12 = fixed_basis(basis, 8**0.5)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                out = inverse_2d(matrix(batch.column("c")).reshape(-1, 8, 8), matrix_12)
-                yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array(out.sum((1, 2))), pa.array(np.abs(out).sum((1, 2)))], ["blk", "total", "size"])
-
-    return blocks.mapInArrow(run, "blk long, total long, size long")
-
-
 def recursive_intra(above: np.ndarray, left: np.ndarray, taps: np.ndarray) -> np.ndarray:
     """8x8 prediction in units of 4x2 samples, each from seven neighbours by a table of taps (8 x 7, of 16)."""
     plane = np.zeros((9, 9), np.int64)
@@ -240,3 +214,41 @@ def warps(samples: DataFrame) -> DataFrame:
         return pa.table({"frame": table.column("frame")[:1], "total": pa.array([int(made.sum())], pa.int64()), "error": pa.array([int(np.abs(made - now).sum())], pa.int64())})
 
     return samples.groupBy("frame").applyInArrow(run, "frame long, total long, error long")
+
+
+def directional(above: np.ndarray, left: np.ndarray, angle: int, slope: Callable[[int], int]) -> np.ndarray:
+    """8x8 predictions of a stack of blocks along an angle (45 to 212 degrees); edges begin with the corner and have 16 more samples.
+
+    slope: 64ths of a sample for an angle below 90 degrees.
+    """
+    i, j = np.mgrid[:8, :8]
+
+    def between(edge: np.ndarray, at: np.ndarray) -> np.ndarray:
+        base, part = np.minimum(at >> 6, 14), at >> 1 & 31
+        return np.where(at >> 6 < 15, edge[:, base + 1] * (32 - part) + edge[:, base + 2] * part + 16 >> 5, edge[:, 16][:, None, None])
+
+    if angle == 90:
+        return np.broadcast_to(above[:, None, 1:9], (len(above), 8, 8))
+    if angle == 180:
+        return np.broadcast_to(left[:, 1:9, None], (len(left), 8, 8))
+    if angle < 90:
+        return between(above, (i + 1) * slope(angle) + 64 * j)
+    if angle > 180:
+        return between(left, (j + 1) * slope(270 - angle) + 64 * i)
+    up, side = 64 * j - (i + 1) * slope(180 - angle), 64 * i - (j + 1) * slope(angle - 90)
+    reached = up >> 6 >= -1
+    return np.where(reached, between(above, np.where(reached, up, 0)), between(left, np.where(reached, 0, side)))
+
+
+def directional_predictions(edges: DataFrame, angles: list[int], slope: Callable[[int], int]) -> DataFrame:
+    """blk, angle, total, weighted: sums of the prediction of each block along each angle, from edges a and l."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                above, left = (matrix(batch.column(c), 17).astype(np.int64) for c in ("a", "l"))
+                for angle in angles:
+                    made = directional(above, left, angle, slope).reshape(-1, 64)
+                    yield pa.RecordBatch.from_arrays([batch.column("blk"), pa.array([angle] * len(made), pa.int32()), pa.array(made.sum(1)), pa.array(made @ np.arange(1, 65))], ["blk", "angle", "total", "weighted"])
+
+    return edges.mapInArrow(run, "blk long, angle int, total long, weighted long")

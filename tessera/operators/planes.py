@@ -15,28 +15,11 @@ def clamped_lag(value: str, along: str, across: str, k: int) -> Column:
     return F.coalesce(F.lag(value, k).over(line) if k > 0 else F.lead(value, -k).over(line), edge.over(whole)) if k else F.col(value)
 
 
-def fir(frame: DataFrame, value: str, to: str, along: str, taps: list[int]) -> DataFrame:
-    """``to``: sum of taps times the neighbours along an axis, the middle tap (of odd numbers) at the sample itself."""
-    across = "x" if along == "y" else "y"
-    middle = len(taps) // 2
-    terms = [clamped_lag(value, along, across, middle - k) * t for k, t in enumerate(taps) if t]
-    return frame.withColumn(to, sum(terms[1:], terms[0]).cast("long"))
-
-
 def wiener_taps(coefficients: list[int]) -> list[int]:
     """Seven symmetric taps that sum to 128 from the three outer ones."""
     return [*coefficients, 128 - 2 * sum(coefficients), *coefficients[::-1]]
 
 
-def wiener(frame: DataFrame, vertical: list[int], horizontal: list[int], depth: int = 8) -> DataFrame:
-    """Two passes of the symmetric filter: along rows, rounded by 3 bits and clamped, then along columns, by 11."""
-    offset, limit = 1 << (depth + 3), (1 << (depth + 5)) - 1
-    rows = fir(frame, "s", "t", "x", wiener_taps(horizontal))
-    rows = rows.withColumn("t", fx.clip3(F.lit(-offset).cast("long"), F.lit(limit - offset).cast("long"), fx.round2(F.col("t"), 3)))
-    out = fir(rows, "t", "u", "y", wiener_taps(vertical))
-    return out.withColumn("out", fx.clip3(F.lit(0).cast("long"), F.lit((1 << depth) - 1).cast("long"), fx.round2(F.col("u"), 11))).drop("t", "u")
-
-
 def box_sums(frame: DataFrame, radius: int) -> DataFrame:
     """n, total, squares over the square of a radius around each sample, inside the frame: two running windows."""
     line = Window.partitionBy("frame", "y").orderBy("x").rowsBetween(-radius, radius)
@@ -71,20 +54,6 @@ def edge_filter(v: list[Column], limit: int, blimit: int, thresh: int) -> dict[s
 DIRECTIONS = (((-1, 1), (-2, 2)), ((0, 1), (-1, 2)), ((0, 1), (0, 2)), ((0, 1), (1, 2)), ((1, 1), (2, 2)), ((1, 0), (2, 1)), ((1, 0), (2, 0)), ((1, 0), (2, -1)))
 
 
-def cdef(frame: DataFrame, directions: DataFrame, primary: int, damping: int, taps: tuple[int, int] = (4, 2)) -> DataFrame:
-    """out: each sample moved towards its neighbours along its block's direction, each difference constrained.
-    directions: frame, by, bx, direction. Neighbours beyond the frame count for nothing."""
-    own = frame.withColumn("by", F.expr("y div 8")).withColumn("bx", F.expr("x div 8")).join(directions, ["frame", "by", "bx"])
-    offsets = F.array(*[F.array(*[F.struct(F.lit(sign * dy).alias("dy"), F.lit(sign * dx).alias("dx"), F.lit(w).alias("w")) for (dy, dx), w in zip(d, taps, strict=True) for sign in (1, -1)]) for d in DIRECTIONS])
-    asked = own.select("frame", "y", "x", "s", F.explode(F.get(offsets, F.col("direction").cast("int"))).alias("o"))
-    asked = asked.select("frame", "y", "x", "s", (F.col("y") + F.col("o.dy")).alias("ny"), (F.col("x") + F.col("o.dx")).alias("nx"), F.col("o.w").alias("w"))
-    near = frame.select("frame", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col("s").alias("ns"))
-    moved = asked.join(near, ["frame", "ny", "nx"], "left")
-    part = F.when(F.col("ns").isNotNull(), F.col("w") * fx.constrain(F.col("ns") - F.col("s"), F.lit(primary), F.lit(damping))).otherwise(F.lit(0).cast("long"))
-    total = moved.groupBy("frame", "y", "x").agg(F.first("s").alias("s"), F.sum(part).alias("t"))
-    return total.select("frame", "y", "x", "s", (F.col("s") + fx.shr(8 + F.col("t") - F.when(F.col("t") < 0, 1).otherwise(0), 4)).alias("out"))
-
-
 def upscaled(frame: DataFrame, width: int, to: int, taps: list[list[int]]) -> DataFrame:
     """Rows of ``width`` samples resampled to ``to``: a 14-bit position map, then a polyphase filter whose phases are ``taps``."""
     phases, n = len(taps), len(taps[0])

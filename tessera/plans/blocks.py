@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from tessera.functions import adapters as A, fx
-from tessera.operators import blocks as B, kernels
+from tessera.operators import blocks as B, frames, kernels
 from tessera.plans.registry import query
 
 SAD = "CAST(sum(abs(a.s - b.s)) AS BIGINT)"
@@ -46,12 +48,15 @@ def satd(spark: SparkSession, folder: str) -> DataFrame:
     return B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref"))).select("blk", B.satd(F.col("d")).alias("satd"))
 
 
-@query("g14_hadamard4x4", f"WITH {A.PAIRS}, {_hadamard_sql()} SELECT blk, CAST(sum(CASE WHEN u = 0 AND w = 0 THEN c ELSE 0 END) AS BIGINT) AS dc, CAST(sum(CASE WHEN u = 1 AND w = 2 THEN c ELSE 0 END) AS BIGINT) AS c12, CAST(max(abs(c)) AS BIGINT) AS largest FROM coef WHERE qy = 0 AND qx = 0 GROUP BY blk")
+@query("g14_hadamard4x4", f"WITH {A.PAIRS}, {_hadamard_sql()} SELECT blk, CAST(qy * 2 + qx AS INTEGER) AS quarter, CAST(sum(CASE WHEN u = 0 AND w = 0 THEN c ELSE 0 END) AS BIGINT) AS dc, CAST(sum(CASE WHEN u = 1 AND w = 2 THEN c ELSE 0 END) AS BIGINT) AS c12, CAST(max(abs(c)) AS BIGINT) AS largest, CAST(sum(abs(c)) AS BIGINT) AS size FROM coef GROUP BY blk, qy, qx")
 def hadamard(spark: SparkSession, folder: str) -> DataFrame:
     own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
-    own = B.fixed(own, "blk", d=F.array(*[B.at(F.col("d"), i, j) for i in range(4) for j in range(4)]))
-    c = B.hadamard4([F.col("d")[k] for k in range(16)])
-    return own.select("blk", c[0].cast("long").alias("dc"), c[6].cast("long").alias("c12"), F.greatest(*[F.abs(x) for x in c]).cast("long").alias("largest"))
+    part = lambda y, x: F.array(*[B.at(F.col("d"), y + i, x + j) for i in range(4) for j in range(4)])
+    quarters = F.array(*[F.struct(F.lit(y // 4 * 2 + x // 4).alias("quarter"), part(y, x).alias("d")) for y in (0, 4) for x in (0, 4)])
+    own = own.select("blk", F.explode(quarters).alias("q"))
+    c = B.hadamard4([F.col("q.d")[k] for k in range(16)])
+    size = sum((F.abs(x) for x in c[1:]), F.abs(c[0]))
+    return own.select("blk", "q.quarter", c[0].cast("long").alias("dc"), c[6].cast("long").alias("c12"), F.greatest(*[F.abs(x) for x in c]).cast("long").alias("largest"), size.cast("long").alias("size"))
 
 
 @query("k4_rd_cost", f"{CANDIDATES}, cost AS (SELECT blk, back, sse + {LAMBDA} * (back * {BITS}) / 256.0 AS cost FROM cand) SELECT blk, arg_min(back, (cost, back)) AS back, round(min(cost), 6) AS cost FROM cost GROUP BY blk")
@@ -115,27 +120,24 @@ REACH = 2
 
 @query(
     "k9_motion_full",
-    f"""WITH {A.PIXELS}, ref AS (SELECT frame + 1 AS frame, y, x, s FROM pixels),
-d AS (SELECT unnest(range(-{REACH}, {REACH + 1})) AS o), cand AS (SELECT a.blk, dy.o AS dy, dx.o AS dx, CAST(sum(abs(a.s - r.s)) AS BIGINT) AS sad FROM pixels a, d dy, d dx, ref r
-WHERE a.frame = r.frame AND r.y = greatest(0, least(39, a.y + dy.o)) AND r.x = greatest(0, least(79, a.x + dx.o)) GROUP BY ALL)
+    f"""WITH {A.PIXELS.replace("pixels AS (", "pixels AS MATERIALIZED (")}, asked AS MATERIALIZED (SELECT blk, frame - 1 AS frame, greatest(0, least(39, y + dy)) AS y, greatest(0, least(79, x + dx)) AS x, s, dy, dx FROM pixels, (SELECT unnest(range(-{REACH}, {REACH + 1})) AS dy), (SELECT unnest(range(-{REACH}, {REACH + 1})) AS dx)),
+cand AS (SELECT a.blk, dy, dx, CAST(sum(abs(a.s - r.s)) AS BIGINT) AS sad FROM asked a JOIN pixels r ON r.frame = a.frame AND r.y = a.y AND r.x = a.x GROUP BY ALL)
 SELECT blk, arg_min(dy, (sad + 4 * (abs(dy) + abs(dx)), dy, dx)) AS dy, arg_min(dx, (sad + 4 * (abs(dy) + abs(dx)), dy, dx)) AS dx, min(sad + 4 * (abs(dy) + abs(dx))) AS cost FROM cand GROUP BY blk""",
 )
 def motion_full(spark: SparkSession, folder: str) -> DataFrame:
-    """Whole-sample motion search in the frame before: a band join, made an equality join by exploding the window."""
-    own = A.pixels(spark, folder)
-    shift = F.sequence(F.lit(-REACH), F.lit(REACH))
-    asked = own.select("blk", "frame", "y", "x", "s", F.explode(shift).alias("dy")).select("*", F.explode(shift).alias("dx"))
-    asked = asked.select("blk", "frame", "dy", "dx", "s", fx.clip3(F.lit(0), F.lit(39), F.col("y") + F.col("dy")).alias("ry"), fx.clip3(F.lit(0), F.lit(79), F.col("x") + F.col("dx")).alias("rx"))
-    ref = own.select((F.col("frame") + 1).alias("frame"), F.col("y").alias("ry"), F.col("x").alias("rx"), F.col("s").alias("r"))
-    cost = asked.join(ref, ["frame", "ry", "rx"]).groupBy("blk", "dy", "dx").agg(F.sum(F.abs(F.col("s") - F.col("r"))).alias("sad"))
-    total = (F.col("sad") + 4 * (F.abs("dy") + F.abs("dx"))).cast("long")
-    best = cost.groupBy("blk").agg(F.min(F.struct(total.alias("cost"), F.col("dy").cast("long").alias("dy"), F.col("dx").cast("long").alias("dx"))).alias("b"))
-    return best.select("blk", "b.dy", "b.dx", "b.cost")
-
-
-@query("k11_mv_bits", f"WITH {A.BLOCKS}, d AS (SELECT blk, v[1] - v[2] AS d FROM blocks), e AS (SELECT *, abs(d) + 2 AS v, length(bin(CAST(abs(d) + 2 AS BIGINT))) - 1 AS e FROM d) SELECT blk, d, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 2.0::DOUBLE * (e + CAST(v - (1 << e) AS DOUBLE) / CAST(1 << e AS DOUBLE)) END AS bits FROM e")
+    """Whole-sample motion search in the frame before: blocks meet by frame, and each vector is a shift of the plane before."""
+    return frames.with_past(A.blocks(spark, folder), lambda now, past: frames.motion(now, past, REACH, 4), ["dy", "dx", "cost"])
+
+
+_BITS = "CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 2.0::DOUBLE * (e + CAST(abs(d) + 2 - (1 << e) AS DOUBLE) / CAST(1 << e AS DOUBLE)) END"
+
+
+@query("k11_mv_bits", f"WITH {A.PIXELS}, d AS (SELECT a.blk, a.s - b.s AS d, CAST(length(bin(CAST(abs(a.s - b.s) + 2 AS BIGINT))) - 1 AS INTEGER) AS e FROM pixels a JOIN pixels b ON b.blk = a.blk AND b.p = a.p + 1 WHERE a.p % 2 = 0) SELECT blk, round(sum({_BITS}), 6) AS bits, round(max({_BITS}), 6) AS most FROM d GROUP BY blk")
 def mv_bits(spark: SparkSession, folder: str) -> DataFrame:
-    return A.blocks(spark, folder).select("blk", (F.col("v")[0] - F.col("v")[1]).alias("d")).withColumn("bits", fx.mv_bits(F.col("d")))
+    """Bits of vectors whose components are the differences of neighbouring samples, two by two."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(62), F.lit(2)), lambda p: fx.mv_bits(F.get("v", p) - F.get("v", p + 1)))
+    own = A.blocks(spark, folder).select("blk", each.alias("b"))
+    return own.select("blk", F.round(F.aggregate("b", F.lit(0.0), lambda s, x: s + x), 6).alias("bits"), F.round(F.array_max("b"), 6).alias("most"))
 
 
 @query("k12_compound_satd", f"""WITH {A.PIXELS}, pairs AS (SELECT a.blk, a.p // 8 AS i, a.p % 8 AS j, a.s, (b.s + c.s + 1) >> 1 AS r FROM pixels a JOIN pixels b ON a.blk = b.blk + 1 AND a.p = b.p JOIN pixels c ON a.blk = c.blk + 2 AND a.p = c.p), {_hadamard_sql()} SELECT blk, CAST(sum(abs(c)) // 2 AS BIGINT) AS satd FROM coef GROUP BY blk""")
@@ -262,28 +264,12 @@ def inverse_dct(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("blk", F.round(F.aggregate("x", F.lit(0.0), lambda s, e: s + F.abs(e)), 3).alias("size"), (F.array_max(F.transform("x", lambda e: F.abs(e - F.floor(e + 0.5)))) < 1e-6).alias("whole"))
 
 
-_R12 = "(({0}) + 2048) >> 12"
-
-
-@query("g8_inverse_adst4", f"WITH {A.PAIRS}, d AS (SELECT blk, CAST(max(CASE WHEN p = 0 THEN s - r END) AS BIGINT) AS a, CAST(max(CASE WHEN p = 1 THEN s - r END) AS BIGINT) AS b, CAST(max(CASE WHEN p = 2 THEN s - r END) AS BIGINT) AS c, CAST(max(CASE WHEN p = 3 THEN s - r END) AS BIGINT) AS d FROM pairs GROUP BY blk), k AS (SELECT blk, 1321 * a + 3803 * c + 2482 * d AS x, 2482 * a - 1321 * c - 3803 * d AS y, 3344 * (a - c + d) AS z, 3344 * b AS w FROM d) SELECT blk, {_R12.format('x + w')} AS o0, {_R12.format('y + w')} AS o1, {_R12.format('z')} AS o2, {_R12.format('x + y - w')} AS o3 FROM k")
-def inverse_adst4(spark: SparkSession, folder: str) -> DataFrame:
-    own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
-    out = B.inverse_adst4([F.col("d")[k] for k in range(4)])
-    return own.select("blk", *[x.alias(f"o{k}") for k, x in enumerate(out)])
-
-
 @query("g9_inverse_identity", f"WITH {A.PAIRS} SELECT blk, CAST(sum(((s - r) * 5793 + 2048) >> 12) AS BIGINT) AS n4, CAST(sum((s - r) * 2) AS BIGINT) AS n8, CAST(sum(((s - r) * 11586 + 2048) >> 12) AS BIGINT) AS n16, CAST(sum((s - r) * 4) AS BIGINT) AS n32 FROM pairs GROUP BY blk")
 def inverse_identity(spark: SparkSession, folder: str) -> DataFrame:
     own = B.fixed(A.pairs(spark, folder), "blk", d=B.difference(F.col("v"), F.col("ref")))
     return own.select("blk", *[B.total(B.inverse_identity(F.col("d"), n)).alias(f"n{1 << n}") for n in (2, 3, 4, 5)])
 
 
-@query("g10_walsh", f"WITH {A.PAIRS}, q AS (SELECT blk, max(CASE WHEN p = 0 THEN s - r END) >> 2 AS t0, max(CASE WHEN p = 1 THEN s - r END) >> 2 AS t1, max(CASE WHEN p = 2 THEN s - r END) >> 2 AS t2, max(CASE WHEN p = 3 THEN s - r END) >> 2 AS t3 FROM pairs GROUP BY blk), e AS (SELECT *, t0 + t1 AS a, t2 - t3 AS d, ((t0 + t1) - (t2 - t3)) >> 1 AS e FROM q) SELECT blk, CAST(a - (e - t3) AS BIGINT) AS o0, CAST(e - t3 AS BIGINT) AS o1, CAST(e - t1 AS BIGINT) AS o2, CAST(d + (e - t1) AS BIGINT) AS o3 FROM e")
-def walsh(spark: SparkSession, folder: str) -> DataFrame:
-    own = A.pairs(spark, folder).select("blk", F.transform(B.difference(F.col("v"), F.col("ref")), lambda x: x.cast("long")).alias("d"))
-    return own.select("blk", *[x.alias(f"o{k}") for k, x in enumerate(B.walsh4([F.col("d")[k] for k in range(4)], 2))])
-
-
 def _edges(spark: SparkSession, folder: str) -> DataFrame:
     """blk, v, above, left, corner: the samples next to each block in its frame; null at the frame's edge."""
     own = A.blocks(spark, folder)
@@ -323,6 +309,71 @@ def intra_v_h(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("blk", B.sad(F.col("v"), across).alias("vertical"), B.sad(F.col("v"), down).alias("horizontal"))
 
 
+ANGLES = [base + 3 * step for base in (45, 67, 90, 113, 135, 157, 180, 203) for step in range(-3, 4)]
+
+
+def _slope(angle: int) -> int:
+    """Steps of a 64th of a sample along an edge, a row or column on: from the angle's tangent, in place of the format's table."""
+    return math.floor(64 / math.tan(math.radians(angle)) + 0.5) if angle % 90 else 0
+
+
+_SLOPES = ", ".join(f"({a}, {_slope(a) if a < 90 else _slope(180 - a) if a < 180 else 0}, {_slope(a - 90) if 90 < a < 180 else _slope(270 - a) if a > 180 else 0})" for a in ANGLES)
+#: Lists that begin with the corner: the samples above and above to the right, those on the left and the last of them again.
+_LONG_EDGES = f"""al AS (SELECT frame, "by", bx, list(s ORDER BY k) AS v FROM above GROUP BY ALL), ll AS (SELECT frame, "by", bx, list(s ORDER BY k) AS v FROM left_ GROUP BY ALL),
+e AS (SELECT b.blk, list_concat([c.s], list_concat(a.v, coalesce(r.v, list_transform(range(8), lambda k: a.v[8])))) AS a, list_concat([c.s], list_concat(l.v, list_transform(range(8), lambda k: l.v[8]))) AS l FROM blocks b JOIN corner c ON c.frame = b.frame AND c."by" = b."by" AND c.bx = b.bx JOIN al a ON a.frame = b.frame AND a."by" = b."by" AND a.bx = b.bx JOIN ll l ON l.frame = b.frame AND l."by" = b."by" AND l.bx = b.bx LEFT JOIN al r ON r.frame = b.frame AND r."by" = b."by" AND r.bx = b.bx + 1)"""
+
+
+def _between(edge: str, at: str) -> str:
+    """SQL of the sample at a 64th of a place of a list, in 32nds."""
+    base, part = f"({at}) >> 6", f"((({at}) >> 1) & 31)"
+    return f"({edge}[({base}) + 2] * (32 - {part}) + {edge}[({base}) + 3] * {part} + 16) >> 5"
+
+
+_DIRECTED = f"""CASE WHEN angle = 90 THEN a[j + 2] WHEN angle = 180 THEN l[i + 2]
+WHEN angle < 90 THEN CASE WHEN (((i + 1) * dx) >> 6) + j < 15 THEN {_between('a', '(i + 1) * dx + j * 64')} ELSE a[17] END
+WHEN angle > 180 THEN CASE WHEN (((j + 1) * dy) >> 6) + i < 15 THEN {_between('l', '(j + 1) * dy + i * 64')} ELSE l[17] END
+WHEN (j * 64 - (i + 1) * dx) >> 6 >= -1 THEN {_between('a', 'j * 64 - (i + 1) * dx')} ELSE {_between('l', 'i * 64 - (j + 1) * dy')} END"""
+
+
+@query("f4_directional", f"{EDGES}, {_LONG_EDGES}, an AS (SELECT * FROM (VALUES {_SLOPES}) t(angle, dx, dy)), o AS (SELECT blk, angle, p, {_DIRECTED} AS s FROM (SELECT blk, a, l, angle, dx, dy, p, p // 8 AS i, p % 8 AS j FROM e, an, (SELECT CAST(range AS INTEGER) AS p FROM range(64)))) SELECT blk, angle, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * (p + 1)) AS BIGINT) AS weighted FROM o GROUP BY ALL")
+def directional(spark: SparkSession, folder: str) -> DataFrame:
+    """Prediction along eight directions, each with seven turns of three degrees."""
+    return kernels.directional_predictions(_long_edges(spark, folder), ANGLES, _slope)
+
+
+def _long_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """blk, a, l: the corner and sixteen samples above, and on the left."""
+    right = A.blocks(spark, folder).select("frame", (F.col("by") + 1).alias("by"), (F.col("bx") - 1).alias("bx"), F.slice("v", F.lit(57), F.lit(8)).alias("right"))
+    last = lambda c: F.array_repeat(F.get(c, F.lit(7)), 8)
+    own = _edges(spark, folder).where("corner is not null").join(right, ["frame", "by", "bx"], "left")
+    return own.select("blk", F.concat(F.array("corner"), "above", F.coalesce("right", last("above"))).alias("a"), F.concat(F.array("corner"), "left", last("left")).alias("l"))
+
+
+#: The smoothing of edges by strength, of 16.
+SMOOTH = ((0, 4, 8, 4, 0), (0, 5, 6, 5, 0), (2, 4, 4, 4, 2))
+
+
+@query("f4_edge_filter", f"{EDGES}, {_LONG_EDGES}, s AS (SELECT blk, a, blk % 3 AS k, unnest(range(1, 17)) AS i FROM e), w AS (SELECT * FROM (VALUES {', '.join(f'({k}, {j}, {w})' for k, row in enumerate(SMOOTH) for j, w in enumerate(row))}) t(k, j, w)), f AS (SELECT blk, i, (CAST(sum(w * a[greatest(0, least(16, i + j - 2)) + 1]) AS BIGINT) + 8) >> 4 AS s FROM s JOIN w USING (k) GROUP BY blk, i) SELECT blk, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * i) AS BIGINT) AS weighted FROM f GROUP BY blk")
+def edge_smoothing(spark: SparkSession, folder: str) -> DataFrame:
+    """The upper edge smoothed with one of three strengths; the corner stays, and stands for what is before it."""
+    kernel = F.get(F.array(*[F.array(*[F.lit(w) for w in row]) for row in SMOOTH]), (F.col("blk") % 3).cast("int"))
+    own = B.fixed(_long_edges(spark, folder), "blk", a=F.col("a"), w=kernel)
+    at = lambda i, j: F.get("a", fx.clip3(F.lit(0), F.lit(16), i + j - 2))
+    smooth = F.transform(F.sequence(F.lit(1), F.lit(16)), lambda i: fx.round2(F.aggregate(F.transform("w", lambda w, j: w * at(i, j)), F.lit(0), lambda t, x: t + x), 4))
+    own = own.select("blk", smooth.alias("s"))
+    return own.select("blk", B.total(F.col("s")).alias("total"), B.total(F.transform("s", lambda x, k: x * (k + 1))).alias("weighted"))
+
+
+@query("f4_edge_upsample", f"{EDGES}, {_LONG_EDGES}, s AS (SELECT blk, a, unnest(range(0, 8)) AS i FROM e), f AS (SELECT blk, i, greatest(0, least(255, (9 * (a[i + 1] + a[i + 2]) - a[greatest(i - 1, 0) + 1] - a[least(i + 2, 8) + 1] + 8) >> 4)) AS half, a[i + 2] AS whole FROM s) SELECT blk, CAST(sum(half) AS BIGINT) AS halves, CAST(sum(half * (2 * i + 1) + whole * (2 * i + 2)) AS BIGINT) AS weighted FROM f GROUP BY blk")
+def edge_upsampling(spark: SparkSession, folder: str) -> DataFrame:
+    """The corner and eight samples above with samples between them."""
+    at = lambda i: F.get("a", fx.clip3(F.lit(0), F.lit(8), i))
+    half = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: fx.clip3(F.lit(0).cast("long"), F.lit(255).cast("long"), fx.round2(9 * (at(i) + at(i + 1)) - at(i - 1) - at(i + 2), 4)))
+    own = _long_edges(spark, folder).select("blk", half.alias("h"), "a")
+    whole = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("h", i) * (2 * i + 1) + F.get("a", i + 1) * (2 * i + 2))
+    return own.select("blk", B.total(F.col("h")).alias("halves"), B.total(whole).alias("weighted"))
+
+
 @query("f6_intra_paeth", f"""{EDGES}, n AS (SELECT p.blk, p.p, a.s AS a, l.s AS l, c.s AS c FROM pixels p JOIN above a ON p.frame = a.frame AND p."by" = a."by" AND p.bx = a.bx AND a.k = p.p % 8 JOIN left_ l ON p.frame = l.frame AND p."by" = l."by" AND p.bx = l.bx AND l.k = p.p // 8 JOIN corner c ON p.frame = c.frame AND p."by" = c."by" AND p.bx = c.bx),
 o AS (SELECT blk, p, CASE WHEN abs(a - c) <= abs(l - c) AND abs(a - c) <= abs(a + l - 2 * c) THEN l WHEN abs(l - c) <= abs(a + l - 2 * c) THEN a ELSE c END AS s FROM n) SELECT blk, CAST(sum(s) AS BIGINT) AS total, CAST(sum(s * p) AS BIGINT) AS weighted FROM o GROUP BY blk""")
 def intra_paeth(spark: SparkSession, folder: str) -> DataFrame:
@@ -337,10 +388,11 @@ def compound(spark: SparkSession, folder: str) -> DataFrame:
     return A.pairs(spark, folder).select("blk", B.total(B.compound_average(F.col("v"), F.col("ref"))).alias("average"), B.total(B.mask_blend(F.col("v"), F.col("ref"), mask)).alias("blend"))
 
 
-@query("d11_palette_cache", f"WITH {A.BLOCKS}, c AS (SELECT a.blk, list_sort(list_distinct(list_concat(list_slice(a.v, 1, 4), list_slice(b.v, 1, 4)))) AS c FROM blocks a JOIN blocks b ON a.blk = b.blk + 1) SELECT blk, len(c) AS n, CAST(list_sum(c) AS BIGINT) AS total FROM c")
+@query("d11_palette_cache", f"WITH {A.BLOCKS}, own AS (SELECT blk, list_slice(list_sort(list_distinct(v)), 1, 8) AS v FROM blocks), c AS (SELECT a.blk, list_sort(list_distinct(list_concat(a.v, b.v))) AS c FROM own a JOIN own b ON a.blk = b.blk + 1) SELECT blk, len(c) AS n, CAST(list_sum(c) AS BIGINT) AS total FROM c")
 def palette_cache(spark: SparkSession, folder: str) -> DataFrame:
-    first = lambda c: F.slice(c, F.lit(1), F.lit(4))
-    own = A.pairs(spark, folder).select("blk", B.palette_cache(first("v"), first("ref")).alias("c"))
+    """The palettes (eight colours at most, of the whole block) of a block and the one before, merged."""
+    palette = lambda c: F.slice(F.array_sort(F.array_distinct(c)), F.lit(1), F.lit(8))
+    own = A.pairs(spark, folder).select("blk", B.palette_cache(palette("v"), palette("ref")).alias("c"))
     return own.select("blk", F.size("c").cast("long").alias("n"), B.total(F.col("c")).alias("total"))
 
 

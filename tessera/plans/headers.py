@@ -262,3 +262,22 @@ def filter_strength(spark: SparkSession, folder: str) -> DataFrame:
     one = F.lit(1).cast("long")
     own = own.withColumn("lim", F.when(F.col("sharp") > 0, F.greatest(one, F.least(9 - F.col("sharp"), low))).otherwise(F.greatest(one, low)))
     return own.select("doc_id", "lvl", "lim", (2 * (F.col("lvl") + 2) + F.col("lim")).alias("blimit"), fx.shr(F.col("lvl"), 4).alias("thresh"))
+
+
+_WARP = {"a": (0, 10), "b": (10, 10), "c": (20, 16), "d": (36, 16), "x": (52, 8), "y": (60, 8), "hp": (68, 1), "kind": (69, 2)}
+_SIGNED = lambda v, n: f"({v} - {1 << n - 1})"
+_ROUNDED = lambda v: f"CASE WHEN hp = 1 THEN sign({v}) * ((abs({v}) + 4096) >> 13) ELSE sign({v}) * ((abs({v}) + 8192) >> 14) * 2 END"
+
+
+@query("e2_global_vector", f"{_sql(**_WARP)}, g AS (SELECT doc_id, hp, kind, (a - 512) * 8 AS p2, (b - 512) * 8 AS p3, c - 32768 AS p0, d - 32768 AS p1, x * 8 + 3 AS x, y * 8 + 3 AS y FROM f), v AS (SELECT doc_id, hp, kind, p0, p1, p2 * x + p3 * y + p0 AS xc, -p3 * x + p2 * y + p1 AS yc FROM g), m AS (SELECT doc_id, hp, kind, CAST(CASE kind WHEN 0 THEN 0 WHEN 1 THEN p0 >> 13 ELSE {_ROUNDED('yc')} END AS BIGINT) AS r, CAST(CASE kind WHEN 0 THEN 0 WHEN 1 THEN p1 >> 13 ELSE {_ROUNDED('xc')} END AS BIGINT) AS c FROM v) SELECT doc_id, CASE WHEN hp = 1 OR r % 2 = 0 THEN r ELSE r - CAST(sign(r) AS BIGINT) END AS row_, CASE WHEN hp = 1 OR c % 2 = 0 THEN c ELSE c - CAST(sign(c) AS BIGINT) END AS col FROM m")
+def global_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """A block's vector under a frame's motion: none, a shift, or a rotation and zoom at the block's middle, in eighths or quarters of a sample."""
+    own = _fields(spark, folder, **_WARP)
+    x, y = F.col("x") * 8 + 3, F.col("y") * 8 + 3
+    p0, p1, p2, p3 = F.col("c") - 32768, F.col("d") - 32768, (F.col("a") - 512) * 8, (F.col("b") - 512) * 8
+    fine = F.col("hp") == 1
+    rounded = lambda v: F.when(fine, fx.round2_signed(v, 13)).otherwise(fx.round2_signed(v, 14) * 2)
+    part = lambda shift, v: F.when(F.col("kind") == 0, F.lit(0).cast("long")).when(F.col("kind") == 1, fx.shr(shift, 13)).otherwise(rounded(v))
+    own = own.select("doc_id", "hp", part(p0, -p3 * x + p2 * y + p1).alias("r"), part(p1, p2 * x + p3 * y + p0).alias("c"))
+    coarse = lambda c: F.when((F.col("hp") == 1) | (F.col(c) % 2 == 0), F.col(c)).otherwise(F.col(c) - F.signum(c).cast("long"))
+    return own.select("doc_id", coarse("r").alias("row_"), coarse("c").alias("col"))

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tessera.functions import adapters as A
-from tessera.operators import blocks as B, coder, quality
+from tessera.operators import blocks as B, coder, presets, quality
 from tessera.plans.containers import RDPOINTS, rd_points
 from tessera.plans.registry import query
 
@@ -29,9 +29,16 @@ def symbol_encode(spark: SparkSession, folder: str) -> DataFrame:
     return _coded(spark, folder).select("user_id", "symbols", (8 * F.octet_length("data") <= 3 * F.col("symbols") + 16).alias("shorter"))
 
 
-@query("c7_trailing_ok", f"WITH {A.SYMBOLS} SELECT DISTINCT user_id, true AS closed FROM symbols")
+@query("c7_trailing_ok", f"WITH {A.SYMBOLS} SELECT DISTINCT user_id, true AS closed, false AS closed_and_more, false AS cut FROM symbols")
 def trailing_ok(spark: SparkSession, folder: str) -> DataFrame:
-    return coder.decode_streams(_coded(spark, folder), "user_id", N).groupBy("user_id").agg(F.bool_and("closed").alias("closed"))
+    """Whether streams end as they should: as they are, with a byte more that is not empty, and without their last byte."""
+    own = _coded(spark, folder)
+    kinds = {"closed": F.col("data"), "closed_and_more": F.concat("data", F.lit(b"\x80")), "cut": F.expr("substring(data, 1, octet_length(data) - 1)")}
+    found = None
+    for name, data in kinds.items():
+        one = coder.decode_streams(own.withColumn("data", data), "user_id", N).groupBy("user_id").agg(F.bool_and("closed").alias(name))
+        found = one if found is None else found.join(one, "user_id")
+    return found
 
 
 def _literals(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,14 +97,15 @@ def cubic_fit(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _two(spark: SparkSession, folder: str) -> DataFrame:
-    """Points of two encoders: the second one takes a tenth more bytes at the same quality."""
+    """Points of two encoders: the second one takes two per cent more bytes for each decibel above 40, in logarithms, and less below."""
     own = rd_points(spark, folder).where("bytes > 0")
-    return own.withColumn("encoder", F.lit("base")).unionByName(own.withColumn("bytes", F.col("bytes") * 1.1).withColumn("encoder", F.lit("test")))
+    more = own.withColumn("bytes", F.col("bytes") * F.exp(0.02 * (F.col("psnr") - 40)))
+    return own.withColumn("encoder", F.lit("base")).unionByName(more.withColumn("encoder", F.lit("test")))
 
 
-@query("m4_bd_rate", f"WITH {RDPOINTS} SELECT clip, 10.0::DOUBLE AS bd_rate FROM rd WHERE bytes > 0 GROUP BY clip HAVING count(*) >= 4")
+@query("m4_bd_rate", f"WITH {RDPOINTS} SELECT clip, round((exp(0.02 * ((min(psnr) + max(psnr)) / 2 - 40)) - 1) * 100, 3) AS bd_rate FROM rd WHERE bytes > 0 GROUP BY clip HAVING count(*) >= 4")
 def bd_rate(spark: SparkSession, folder: str) -> DataFrame:
-    """Ten per cent more bytes throughout are a delta rate of ten per cent."""
+    """The curves differ by a straight line in logarithms, whose mean over the common range is its middle."""
     return quality.bd_rates(_two(spark, folder)).select("clip", F.round("bd_rate", 3).alias("bd_rate"))
 
 
@@ -139,6 +147,26 @@ def clip_generators(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("n", mirrored(F.col("n"), 10).alias("pingpong"), mirrored(F.col("n") * 7, 80).alias("pan"), ((F.col("n") % 40 == 0) & (F.col("n") > 0)).alias("scene_cut"))
 
 
+_WORD = "4294967295"
+_SHIFTED = f"a AS (SELECT n, xor(x, (x << 13) & {_WORD}) AS x FROM {{0}}), {{1}}b AS (SELECT n, xor(x, x >> 17) AS x FROM {{1}}a), {{1}} AS (SELECT n, xor(x, (x << 5) & {_WORD}) AS x FROM {{1}}b)"
+
+
+@query("m9_noise", f"WITH s AS (SELECT CAST(range AS BIGINT) AS n, (range * 2654435761 + 1) & {_WORD} AS x FROM range(500)), r1{_SHIFTED.format('s', 'r1')}, r2{_SHIFTED.format('r1', 'r2')}, r3{_SHIFTED.format('r2', 'r3')} SELECT n, x, CAST(x >> 24 AS INTEGER) AS sample FROM r3")
+def noise(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of noise: three rounds of a 32-bit shift register from a seed of the place."""
+    word = F.lit((1 << 32) - 1)
+
+    def round_(x: Column) -> Column:
+        x = x.bitwiseXOR(F.shiftleft(x, 13).bitwiseAND(word))
+        x = x.bitwiseXOR(F.shiftright(x, 17))
+        return x.bitwiseXOR(F.shiftleft(x, 5).bitwiseAND(word))
+
+    own = spark.range(500).select(F.col("id").alias("n"), (F.col("id") * 2654435761 + 1).bitwiseAND(word).alias("x"))
+    for _ in range(3):
+        own = own.select("n", round_(F.col("x")).alias("x"))
+    return own.select("n", "x", F.shiftright("x", 24).cast("int").alias("sample"))
+
+
 @query("k24_wavefront_level", f'WITH {A.BLOCKS} SELECT blk, bx + 2 * "by" AS level, count(*) OVER (PARTITION BY frame, bx + 2 * "by") AS width FROM blocks')
 def wavefront_level(spark: SparkSession, folder: str) -> DataFrame:
     """The step at which a block can be worked on: a row starts two blocks behind the one above."""
@@ -156,12 +184,16 @@ def decision_replay(spark: SparkSession, folder: str) -> DataFrame:
     return A.blocks(spark, folder).select("blk").join(log, "blk")
 
 
-@query("k25_speed_presets", "SELECT CAST(range AS INTEGER) AS speed, range <= 6 AS rdo, CASE WHEN range = 0 THEN 64 WHEN range <= 4 THEN 32 ELSE 16 END AS search_range, CASE WHEN range <= 2 THEN 3 WHEN range <= 6 THEN 2 ELSE 1 END AS keep, range <= 3 AS tx_type_search FROM range(11)")
+def _presets_sql() -> str:
+    steps = lambda v: "CASE " + " ".join(f"WHEN range <= {last} THEN {value}" for last, value in v) + " END"
+    columns = [f"range <= {v} AS {k}" for k, v in presets.UNTIL.items()] + [f"range >= {v} AS {k}" for k, v in presets.FROM.items()] + [f"{str(v).lower()} AS {k}" for k, v in presets.ALWAYS.items()]
+    return ", ".join(columns + [f"CAST({steps(v)} AS INTEGER) AS {k}" for k, v in presets.NUMBERS.items()])
+
+
+@query("k25_speed_presets", f"SELECT CAST(range AS INTEGER) AS speed, {_presets_sql()} FROM range(11)")
 def speed_presets(spark: SparkSession, folder: str) -> DataFrame:
-    """Switches by speed, as a table to join with."""
-    s = F.col("speed")
-    own = spark.range(11).select(F.col("id").cast("int").alias("speed"))
-    return own.select("speed", (s <= 6).alias("rdo"), F.when(s == 0, 64).when(s <= 4, 32).otherwise(16).alias("search_range"), F.when(s <= 2, 3).when(s <= 6, 2).otherwise(1).alias("keep"), (s <= 3).alias("tx_type_search"))
+    """All 32 switches by speed, as a table to join with."""
+    return presets.table(spark)
 
 
 @query("o1_parallel_map", f"WITH {A.PIXELS} SELECT blk, CAST(sum(s) AS BIGINT) AS total FROM pixels GROUP BY blk")

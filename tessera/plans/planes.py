@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tessera.functions import adapters as A, bits, fx
-from tessera.operators import blocks as B, kernels, planes as P
+from tessera.operators import blocks as B, frames as R, kernels, planes as P
 from tessera.plans.registry import query
 from tessera.plans.scalars import WITH as DIGESTS, _hex
 
-WITH = f"WITH {A.PIXELS}"
+WITH = f"WITH {A.PIXELS.replace('pixels AS (', 'pixels AS MATERIALIZED (')}"
 
 
 def _digest(frame: DataFrame, value: str = "out") -> DataFrame:
@@ -27,15 +28,19 @@ def _fir_sql(source: str, value: str, along: str, taps: list[int], to: str) -> s
     return f"{to} AS (SELECT a.frame, a.y, a.x, a.s, CAST(sum(b.{value} * w) AS BIGINT) AS f FROM {source} a, (VALUES {weights}) w(k, w), {source} b WHERE b.frame = a.frame AND b.{across} = a.{across} AND b.{along} = greatest(0, least({most}, a.{along} + k)) GROUP BY a.frame, a.y, a.x, a.s)"
 
 
-TAPS = [-1, 6, -19, 78, 78, -19, 6, -1]
-EIGHT = [0, *TAPS]  # a ninth, empty tap centres the filter between a sample and the one before
+TAPS = R.filter_taps()
+_TAPS = ", ".join(f"({f}, {k}, {w})" for f, row in enumerate(TAPS) for k, w in enumerate(row))
 
 
-@query("f11_interpolation", f"{WITH}, {_fir_sql('pixels', 's', 'x', EIGHT, 'h')}, r AS (SELECT frame, y, x, greatest(0, least(255, (f + 64) >> 7)) AS o FROM h) {_DIGEST.format(t='r')}")
+@query("f11_interpolation", f"{WITH}, w AS (SELECT * FROM (VALUES {_TAPS}) t(f, k, w)), h AS (SELECT a.frame, a.y, a.x, a.blk, d.k AS ky, d.w AS wy, (CAST(sum(t.w * b.s) AS BIGINT) + 4) >> 3 AS h FROM pixels a JOIN w d ON d.f = a.blk % 50 // 16 % 16 JOIN w t ON t.f = a.blk % 50 % 16 JOIN pixels b ON b.frame = a.frame AND b.y = greatest(0, least(39, a.y + d.k - 3)) AND b.x = greatest(0, least(79, a.x + t.k - 3)) GROUP BY ALL), r AS (SELECT frame, y, x, greatest(0, least(255, (CAST(sum(wy * h) AS BIGINT) + 1024) >> 11)) AS o FROM h GROUP BY frame, y, x) {_DIGEST.format(t='r')}")
 def interpolation(spark: SparkSession, folder: str) -> DataFrame:
-    """Half-sample interpolation along rows with eight taps, given."""
-    own = P.fir(A.pixels(spark, folder), "s", "f", "x", EIGHT)
-    return _digest(own.withColumn("out", fx.clip3(F.lit(0).cast("long"), F.lit(255).cast("long"), fx.round2(F.col("f"), 7))))
+    """Samples between samples, both ways: the phases of a block (its number modulo 16, and over 16) choose among filters of eight taps."""
+
+    def run(samples):
+        number = np.arange(samples.size // 64).reshape(samples.shape[0] // 8, samples.shape[1] // 8)
+        return R.interpolated(samples, number // 16 % 16, number % 16, TAPS)
+
+    return R.digests(A.blocks(spark, folder), run)
 
 
 VERTICAL, HORIZONTAL = [3, -7, 15], [2, -9, 20]
@@ -43,7 +48,39 @@ VERTICAL, HORIZONTAL = [3, -7, 15], [2, -9, 20]
 
 @query("h10_wiener", f"{WITH}, {_fir_sql('pixels', 's', 'x', P.wiener_taps(HORIZONTAL), 'h')}, g AS (SELECT frame, y, x, s, greatest(-2048, least(8191 - 2048, (f + 4) >> 3)) AS t FROM h), {_fir_sql('g', 't', 'y', P.wiener_taps(VERTICAL), 'v')}, r AS (SELECT frame, y, x, greatest(0, least(255, (f + 1024) >> 11)) AS o FROM v) {_DIGEST.format(t='r')}")
 def wiener(spark: SparkSession, folder: str) -> DataFrame:
-    return _digest(P.wiener(A.pixels(spark, folder), VERTICAL, HORIZONTAL))
+    return R.digests(A.blocks(spark, folder), _wiener)
+
+
+def _wiener(samples):
+    return R.wiener(samples, P.wiener_taps(VERTICAL), P.wiener_taps(HORIZONTAL))
+
+
+_WIENER = f"{_fir_sql('pixels', 's', 'x', P.wiener_taps(HORIZONTAL), 'h')}, g AS (SELECT frame, y, x, s, greatest(-2048, least(8191 - 2048, (f + 4) >> 3)) AS t FROM h), {_fir_sql('g', 't', 'y', P.wiener_taps(VERTICAL), 'v')}"
+
+
+@query("h9_restoration", f"{WITH}, {_WIENER}, r AS (SELECT frame, y, x, CASE WHEN x // 40 % 2 = 1 THEN greatest(0, least(255, (f + 1024) >> 11)) ELSE s END AS o FROM v) {_DIGEST.format(t='r')}")
+def restoration(spark: SparkSession, folder: str) -> DataFrame:
+    """Units of 40 columns: every other one is restored by the symmetric filter, which looks across the units' borders."""
+    return R.digests(A.blocks(spark, folder), lambda samples: R.restored(samples, _wiener(samples), 40, lambda unit: unit % 2 == 1))
+
+
+GUIDES, SHARES = (140, 3236), (31, 64)
+
+
+def _box_sql(name: str, radius: int, strength: int, row: str, shift: str) -> str:
+    n = (2 * radius + 1) ** 2
+    return f"""{name}k AS MATERIALIZED (SELECT frame, y, x, greatest(0, least(39, y + dy)) AS ny, greatest(0, least(79, x + dx)) AS nx FROM grid, (SELECT unnest(range(-{radius}, {radius + 1})) AS dy), (SELECT unnest(range(-{radius}, {radius + 1})) AS dx)),
+{name}b AS (SELECT g.frame, g.y, g.x, CAST(sum(b.s) AS BIGINT) AS t, CAST(sum(b.s * b.s) AS BIGINT) AS q FROM {name}k g JOIN pixels b ON b.frame = g.frame AND b.y = g.ny AND b.x = g.nx GROUP BY ALL),
+{name}z AS (SELECT *, (greatest(0, q * {n} - t * t) * {strength} + 524288) >> 20 AS z FROM {name}b), {name}a AS (SELECT frame, y, x, t, CASE WHEN z >= 255 THEN 256 WHEN z = 0 THEN 1 ELSE (z * 256 + z // 2) // (z + 1) END AS a FROM {name}z),
+{name}m AS MATERIALIZED (SELECT frame, y, x, a, ((256 - a) * t * {(4096 + n // 2) // n} + 2048) >> 12 AS b FROM {name}a),
+{name}n AS MATERIALIZED (SELECT frame, y, x, s, y + dy AS ny, x + dx AS nx, {row} AS w FROM pixels p, (SELECT unnest([-1, 0, 1]) AS dy), (SELECT unnest([-1, 0, 1]) AS dx)),
+{name} AS MATERIALIZED (SELECT frame, y, x, s, (a * s + b + (1 << ({shift} - 1))) >> {shift} AS f FROM (SELECT p.frame, p.y, p.x, p.s, CAST(sum(w * m.a) AS BIGINT) AS a, CAST(sum(w * m.b) AS BIGINT) AS b FROM {name}n p JOIN {name}m m ON m.frame = p.frame AND m.y = p.ny AND m.x = p.nx GROUP BY p.frame, p.y, p.x, p.s))"""
+
+
+@query("h11_self_guided", f"{WITH}, grid AS MATERIALIZED (SELECT frame, y, x FROM (SELECT DISTINCT frame FROM pixels), (SELECT unnest(range(-1, 41)) AS y), (SELECT unnest(range(-1, 81)) AS x)), {_box_sql('f0', 2, GUIDES[0], 'CASE WHEN (y + dy + 2) % 2 = 1 THEN CASE WHEN dx = 0 THEN 6 ELSE 5 END ELSE 0 END', 'CAST(9 - y % 2 AS INTEGER)')}, {_box_sql('f1', 1, GUIDES[1], 'CASE WHEN dy = 0 OR dx = 0 THEN 4 ELSE 3 END', '9')}, r AS (SELECT f0.frame, f0.y, f0.x, greatest(0, least(255, ({SHARES[1]} * (f0.s * 16) + {SHARES[0]} * f0.f + {128 - sum(SHARES)} * f1.f + 1024) >> 11)) AS o FROM f0 JOIN f1 ON f1.frame = f0.frame AND f1.y = f0.y AND f1.x = f0.x) {_DIGEST.format(t='r')}")
+def self_guided(spark: SparkSession, folder: str) -> DataFrame:
+    """Both box filters and their projection, with strengths and weights given."""
+    return R.digests(A.blocks(spark, folder), lambda samples: R.self_guided(samples, GUIDES, SHARES))
 
 
 @query("h11_box_filter", f"{WITH}, b AS (SELECT a.frame, a.y, a.x, a.s, count(*) AS n, CAST(sum(b.s) AS BIGINT) AS t, CAST(sum(b.s * b.s) AS BIGINT) AS q FROM pixels a JOIN pixels b ON b.frame = a.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL), z AS (SELECT *, (greatest(0, q * n - t * t) * 140 + 524288) >> 20 AS z FROM b), r AS (SELECT frame, y, x, CASE WHEN z >= 255 THEN 256 WHEN z = 0 THEN 1 ELSE (z * 256 + z // 2) // (z + 1) END AS o FROM z) {_DIGEST.format(t='r')}")
@@ -53,30 +90,72 @@ def box_filter(spark: SparkSession, folder: str) -> DataFrame:
     return _digest(own.withColumn("out", P.guide(F.col("n"), F.col("total"), F.col("squares"), 140)).select("frame", "y", "x", "out"))
 
 
-def _edge_sql() -> str:
-    c = lambda x: f"greatest(-128, least(127, {x}))"
-    return f"""e AS (SELECT a.frame, a.y, a.x, p1.s AS p1, p0.s AS p0, a.s AS q0, q1.s AS q1 FROM pixels a JOIN pixels p1 ON p1.frame = a.frame AND p1.y = a.y AND p1.x = a.x - 2 JOIN pixels p0 ON p0.frame = a.frame AND p0.y = a.y AND p0.x = a.x - 1 JOIN pixels q1 ON q1.frame = a.frame AND q1.y = a.y AND q1.x = a.x + 1 WHERE a.x % 8 = 0 AND a.x > 0),
-m AS (SELECT *, abs(p1 - p0) > 2 OR abs(q1 - q0) > 2 AS hev, abs(p1 - p0) <= 20 AND abs(q1 - q0) <= 20 AND abs(p0 - q0) * 2 + (abs(p1 - q1) >> 1) <= 60 AS mask FROM e),
-f AS (SELECT *, {c('CASE WHEN hev THEN ' + c('p1 - q1') + ' ELSE 0 END + 3 * (q0 - p0)')} AS f FROM m), g AS (SELECT *, {c('f + 4')} >> 3 AS f1, {c('f + 3')} >> 3 AS f2 FROM f)"""
+LIMITS = (20, 60, 2, 12)  # of neighbours, of the edge, of high variance, of what is flat
 
 
-@query("h4_edge_filter", f"{WITH}, {_edge_sql()} SELECT frame, y, x, CAST(CASE WHEN mask THEN greatest(-128, least(127, p0 - 128 + f2)) + 128 ELSE p0 END AS BIGINT) AS p0, CAST(CASE WHEN mask THEN greatest(-128, least(127, q0 - 128 - f1)) + 128 ELSE q0 END AS BIGINT) AS q0, CAST(CASE WHEN mask AND NOT hev THEN greatest(-128, least(127, p1 - 128 + ((f1 + 1) >> 1))) + 128 ELSE p1 END AS BIGINT) AS p1 FROM g")
+def _edge_sql(source: str, name: str, size: int, along: str = "x") -> str:
+    """SQL of the filter across edges along an axis: ``name`` has what it gives, ``name``g a row for each edge sample."""
+    limit, blimit, thresh, flat = LIMITS
+    across, reach, step = "y" if along == "x" else "x", {4: 4, 6: 4, 8: 4, 16: 7}[size], max(size, 8)
+    at = lambda k: f"q{k}" if k >= 0 else f"p{-1 - k}"
+    c = lambda x: f"greatest(-128, least(127, {x}))"
+    near = {4: 2, 6: 3, 8: 4, 16: 4}[size]
+    gaps = [f"abs(q{k} - q{k - 1}) <= {limit} AND abs(p{k} - p{k - 1}) <= {limit}" for k in range(1, near)]
+    level = lambda first, last: " AND ".join(f"abs(q{k} - q0) <= {flat} AND abs(p{k} - p0) <= {flat}" for k in range(first, last))
+    wide = {4: [], 6: [(2, 3, 1, level(1, 3))], 8: [(3, 3, 0, level(1, 4))], 16: [(6, 4, 1, f"{level(1, 4)} AND {level(4, 7)}"), (3, 3, 0, level(1, 4))]}[size]
+    narrow = {0: f"CASE WHEN mask THEN {c('q0 - 128 - f1')} + 128 ELSE q0 END", -1: f"CASE WHEN mask THEN {c('p0 - 128 + f2')} + 128 ELSE p0 END", 1: f"CASE WHEN mask AND NOT hev THEN {c('q1 - 128 - ((f1 + 1) >> 1)')} + 128 ELSE q1 END", -2: f"CASE WHEN mask AND NOT hev THEN {c('p1 - 128 + ((f1 + 1) >> 1)')} + 128 ELSE p1 END"}
+
+    def value(k: int) -> str:
+        cases = []
+        for n, bits, double, where in wide:
+            if -n <= k < n:
+                total = " + ".join(f"{2 if abs(j) <= double else 1} * {at(min(max(k + j, -n - 1), n))}" for j in range(-n, n + 1))
+                cases.append(f"WHEN mask AND {where} THEN ({total} + {1 << bits - 1}) >> {bits}")
+        return f"CASE {' '.join(cases)} ELSE {narrow.get(k, at(k))} END" if cases else narrow.get(k, at(k))
+
+    taps = range(-max([n for n, *_ in wide], default=2), max([n for n, *_ in wide], default=2))
+    columns = ", ".join([f"lag(s, {k + 1}) OVER w AS p{k}" for k in range(reach)] + [f"lead(s, {k}) OVER w AS q{k}" for k in range(reach)])
+    return f"""{name}e AS (SELECT frame, y, x, {columns} FROM {source} WINDOW w AS (PARTITION BY frame, {across} ORDER BY {along})),
+{name}m AS (SELECT *, abs(p1 - p0) > {thresh} OR abs(q1 - q0) > {thresh} AS hev, {' AND '.join(gaps)} AND abs(p0 - q0) * 2 + (abs(p1 - q1) >> 1) <= {blimit} AS mask FROM {name}e WHERE {along} % {step} = 0 AND {along} > 0),
+{name}f AS (SELECT *, {c('CASE WHEN hev THEN ' + c('p1 - q1') + ' ELSE 0 END + 3 * (q0 - p0)')} AS f FROM {name}m), {name}g AS (SELECT *, {c('f + 4')} >> 3 AS f1, {c('f + 3')} >> 3 AS f2 FROM {name}f),
+{name}u AS (SELECT frame, {across}, {along} + unnest([{', '.join(str(k) for k in taps)}]) AS {along}, unnest([{', '.join(value(k) for k in taps)}]) AS n FROM {name}g),
+{name} AS MATERIALIZED (SELECT p.frame, p.y, p.x, coalesce(u.n, p.s) AS s FROM {source} p LEFT JOIN {name}u u ON u.frame = p.frame AND u.y = p.y AND u.x = p.x)"""
+
+
+@query("h4_edge_filter", f"{WITH}, {_edge_sql('pixels', 'n', 4)} SELECT frame, y, x, CAST(CASE WHEN mask THEN greatest(-128, least(127, p0 - 128 + f2)) + 128 ELSE p0 END AS BIGINT) AS p0, CAST(CASE WHEN mask THEN greatest(-128, least(127, q0 - 128 - f1)) + 128 ELSE q0 END AS BIGINT) AS q0, CAST(CASE WHEN mask AND NOT hev THEN greatest(-128, least(127, p1 - 128 + ((f1 + 1) >> 1))) + 128 ELSE p1 END AS BIGINT) AS p1 FROM ng")
 def edge_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """The narrow filter across the vertical edges of blocks."""
-    own = A.pixels(spark, folder)
-    near = own.select("frame", "y", "x", "s", *[P.clamped_lag("s", "x", "y", k).alias(n) for k, n in ((2, "a1"), (1, "a0"), (-1, "b1"))])
-    out = P.edge_filter([F.col("a1"), F.col("a0"), F.col("s"), F.col("b1")], 20, 60, 2)
-    return near.where("x % 8 = 0 and x > 0").select("frame", "y", "x", out["p0"].alias("p0"), out["q0"].alias("q0"), out["p1"].alias("p1"))
+    """The narrow filter across the vertical edges of blocks: a row of the block and one of its neighbour on the left have all it needs."""
+    own = A.blocks(spark, folder)
+    left = own.select("frame", "by", (F.col("bx") + 1).alias("bx"), F.col("v").alias("l"))
+    both = own.join(left, ["frame", "by", "bx"]).select("frame", "by", "bx", "v", "l", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    taps = [F.get("l", F.col("i") * 8 + 6), F.get("l", F.col("i") * 8 + 7), F.get("v", F.col("i") * 8), F.get("v", F.col("i") * 8 + 1)]
+    out = P.edge_filter(taps, *LIMITS[:3])
+    return both.select("frame", (F.col("by") * 8 + F.col("i")).alias("y"), (F.col("bx") * 8).alias("x"), out["p0"].alias("p0"), out["q0"].alias("q0"), out["p1"].alias("p1"))
+
+
+#: Samples with a quarter of their range, so that masks let filters through.
+CALM = f"{WITH}, calm AS MATERIALIZED (SELECT frame, y, x, 96 + (s >> 2) AS s FROM pixels)"
+
+
+def _calm(samples):
+    return 96 + (samples >> 2)
+
+
+def _edges_of(size: int) -> None:
+    @query(f"h4_edge_filter{size}", f"{CALM}, {_edge_sql('calm', 'n', size)} {_DIGEST.format(t='n').replace('sum(o', 'sum(s')}")
+    def wide_filter(spark: SparkSession, folder: str) -> DataFrame:
+        """The filters of more samples, across all vertical edges."""
+        return R.digests(A.blocks(spark, folder), lambda samples: R.edges(_calm(samples), size, *LIMITS))
+
+
+for _size in (6, 8, 16):
+    _edges_of(_size)
 
 
-@query("h1_loop_filter", f"{WITH}, {_edge_sql()}, r AS (SELECT frame, sum(CASE WHEN mask THEN 1 ELSE 0 END) AS filtered, count(*) AS edges FROM g GROUP BY frame) SELECT frame, CAST(filtered AS BIGINT) AS filtered, edges FROM r")
+@query("h1_loop_filter", f"{CALM}, {_edge_sql('calm', 'n', 8)}, {_edge_sql('n', 'o', 8, 'y')} {_DIGEST.format(t='o').replace('sum(o', 'sum(s')}")
 def loop_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """How many edge samples the masks let the filter change, a frame."""
-    own = A.pixels(spark, folder)
-    near = own.select("frame", "y", "x", "s", *[P.clamped_lag("s", "x", "y", k).alias(n) for k, n in ((2, "a1"), (1, "a0"), (-1, "b1"))]).where("x % 8 = 0 and x > 0")
-    d = lambda a, b: F.abs(F.col(a) - F.col(b))
-    mask = (d("a1", "a0") <= 20) & (d("b1", "s") <= 20) & (d("a0", "s") * 2 + fx.shr(d("a1", "b1"), 1) <= 60)
-    return near.groupBy("frame").agg(F.count(F.when(mask, 1)).alias("filtered"), F.count("*").alias("edges"))
+    """All vertical edges of a frame, then all horizontal ones of what that gave."""
+    return R.digests(A.blocks(spark, folder), lambda samples: R.loop_filter(_calm(samples), 8, *LIMITS))
 
 
 SIZES = {"a": (0, 3), "b": (3, 3), "skip": (6, 1)}
@@ -92,26 +171,46 @@ def filter_size(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("doc_id", "a", "b", F.when(none, F.lit(0).cast("long")).otherwise(F.least(F.lit(16).cast("long"), "a", "b")).alias("size"))
 
 
-def _directions(spark: SparkSession, folder: str) -> DataFrame:
-    own = A.blocks(spark, folder)
-    found = B.cdef_direction(own, "blk", F.col("v"))
-    return own.select("blk", "frame", "by", "bx").join(found, "blk").select("frame", "by", "bx", "direction")
+PRIMARY, SECONDARY, DAMPING = 12, 4, 5
+OFFSETS = ", ".join(f"({d}, {s * dy}, {s * dx}, {(4 - 2 * step) if not turn else 2 - step}, {int(turn != 0)})" for d in range(8) for turn in (0, 2, -2) for step, (dy, dx) in enumerate(P.DIRECTIONS[(d + turn) % 8]) for s in (1, -1))
 
 
-OFFSETS = ", ".join(f"({d}, {s * dy}, {s * dx}, {w})" for d, pair in enumerate(P.DIRECTIONS) for (dy, dx), w in zip(pair, (4, 2), strict=True) for s in (1, -1))
+def _cdef_sql(source: str) -> str:
+    """SQL of the filter of samples with d (direction) and pri (strength): ``r`` has frame, y, x, blk, s, o."""
+    strength = f"CASE WHEN o.second = 1 THEN {SECONDARY} ELSE a.pri END"
+    return f"""o AS (SELECT * FROM (VALUES {OFFSETS}) t(d, dy, dx, w, second)), q AS MATERIALIZED (SELECT a.frame, a.y, a.x, a.blk, a.s, a.y + o.dy AS ny, a.x + o.dx AS nx, CASE WHEN o.second = 0 AND a.pri % 2 = 1 THEN 3 ELSE o.w END AS w, {strength} AS st, greatest(0, {DAMPING} - (length(bin(CAST(greatest(1, {strength}) AS BIGINT))) - 1)) AS sh FROM {source} a JOIN o ON o.d = a.d),
+t AS (SELECT q.frame, q.y, q.x, q.blk, q.s, b.s AS n, w, st, sh FROM q JOIN pixels b ON b.frame = q.frame AND b.y = q.ny AND b.x = q.nx),
+c AS (SELECT frame, y, x, blk, s, CAST(sum(w * sign(n - s) * CASE WHEN st = 0 THEN 0 ELSE least(abs(n - s), greatest(0, st - (abs(n - s) >> CAST(sh AS INTEGER)))) END) AS BIGINT) AS t, min(least(n, s)) AS lo, max(greatest(n, s)) AS hi FROM t GROUP BY ALL),
+r AS (SELECT frame, y, x, blk, s, greatest(lo, least(hi, s + ((8 + t - CASE WHEN t < 0 THEN 1 ELSE 0 END) >> 4))) AS o FROM c)"""
 
 
-@query("h7_cdef_filter", f"{WITH}, o AS (SELECT * FROM (VALUES {OFFSETS}) t(d, dy, dx, w)), n AS (SELECT a.frame, a.y, a.x, a.s, b.s - a.s AS diff, o.w FROM pixels a JOIN o ON o.d = (a.blk % 8) LEFT JOIN pixels b ON b.frame = a.frame AND b.y = a.y + o.dy AND b.x = a.x + o.dx), c AS (SELECT frame, y, x, s, CAST(sum(CASE WHEN diff IS NULL THEN 0 ELSE w * CASE WHEN diff < 0 THEN -1 ELSE 1 END * least(abs(diff), greatest(0, 12 - (abs(diff) >> 2))) END) AS BIGINT) AS t FROM n GROUP BY ALL), r AS (SELECT frame, y, x, s + ((8 + t - CASE WHEN t < 0 THEN 1 ELSE 0 END) >> 4) AS o FROM c) {_DIGEST.format(t='r')}")
+@query("h7_cdef_filter", f"{WITH}, a AS (SELECT frame, y, x, blk, s, blk % 8 AS d, {PRIMARY} AS pri FROM pixels), {_cdef_sql('a')} {_DIGEST.format(t='r')}")
 def cdef_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Primary taps along a direction given for each block (its number modulo 8), strength 12, damping 5."""
-    given = A.blocks(spark, folder).select("frame", "by", "bx", (F.col("blk") % 8).alias("direction"))
-    return _digest(P.cdef(A.pixels(spark, folder).select("frame", "y", "x", "s"), given, 12, 5))
+    """Primary and secondary taps about a direction given for each block (its number modulo 8)."""
+    own = A.blocks(spark, folder)
+
+    def run(number):
+        def one(samples):
+            direction = (number + np.arange(samples.size // 64).reshape(samples.shape[0] // 8, samples.shape[1] // 8)) % 8
+            return R.cdef(samples, direction, np.full_like(direction, PRIMARY), np.full_like(direction, SECONDARY), DAMPING)
+
+        return one
+
+    # the first block of a frame is 50 times its number: two modulo 8 a frame
+    parts = [R.digests(own.where(F.col("frame") % 4 == k), run(50 * k)) for k in range(4)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+_LINES = ", ".join(f"({d}, {p}, {B.line_of(d, *divmod(p, 8))})" for d in range(8) for p in range(64))
 
 
-@query("h5_cdef_driver")
+@query("h5_cdef_driver", f"""{WITH}, ln AS (SELECT * FROM (VALUES {_LINES}) t(d, p, line)), sums AS MATERIALIZED (SELECT blk, d, line, CAST(sum(s - 128) AS BIGINT) AS t, count(*) AS n FROM pixels JOIN ln USING (p) GROUP BY ALL),
+cost AS MATERIALIZED (SELECT blk, d, CAST(sum(t * t * (840 // n)) AS BIGINT) AS cost FROM sums GROUP BY ALL), best AS (SELECT blk, arg_min(d, (-cost, d)) AS d, max(cost) AS best FROM cost GROUP BY blk),
+way AS MATERIALIZED (SELECT b.blk, b.d, CASE WHEN (best - cost) >> 16 = 0 THEN 0 ELSE ({PRIMARY} * (4 + least(length(bin((best - cost) >> 16)) - 1, 12)) + 8) >> 4 END AS pri FROM best b JOIN cost c ON b.blk = c.blk AND c.d = (b.d + 4) % 8),
+a AS MATERIALIZED (SELECT frame, y, x, blk, s, d, pri FROM pixels JOIN way USING (blk)), {_cdef_sql('a')}, k AS (SELECT frame, y, x, CASE WHEN blk % 50 % 4 = 3 THEN s ELSE o END AS o FROM r) {_DIGEST.format(t='k')}""")
 def cdef_driver(spark: SparkSession, folder: str) -> DataFrame:
-    """The filter along the directions that the blocks themselves have."""
-    return _digest(P.cdef(A.pixels(spark, folder).select("frame", "y", "x", "s"), _directions(spark, folder), 12, 5))
+    """The filter along the directions that the blocks themselves have, weaker where they vary little; every fourth block is skipped."""
+    return R.digests(A.blocks(spark, folder), lambda samples: R.directed(samples, PRIMARY, SECONDARY, DAMPING, lambda number: number % 4 == 3))
 
 
 PHASES = [[0, 128, 0, 0], [-4, 116, 18, -2], [-8, 72, 72, -8], [-2, 18, 116, -4]]
@@ -139,8 +238,8 @@ _SEGMENTS = ", ".join(f"({a[0]}, {b[0]}, {a[1]}, {(b[1] - a[1]) * ((65536 + ((b[
 def scaling_lut(spark: SparkSession, folder: str) -> DataFrame:
     """Noise strength of every sample by a piecewise linear function of its value: a range join, made a lookup."""
     points = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in POINTS])
-    lut = spark.range(1).select(B.scaling_lut(points).alias("lut"))  # one row of 256 numbers
-    own = A.blocks(spark, folder).crossJoin(F.broadcast(lut))
+    lut = F.array(*[F.lit(x).cast("long") for x in spark.range(1).select(B.scaling_lut(points).alias("lut")).first()["lut"]])  # 256 numbers
+    own = A.blocks(spark, folder).withColumn("lut", lut)
     return own.select("blk", B.total(F.transform("v", lambda x: F.get("lut", x))).alias("total"))
 
 

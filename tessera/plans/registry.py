@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = ("scalars", "blocks", "streams", "containers", "headers", "planes", "measures", "syntax", "tiles", "elements")
+MODULES = ("scalars", "blocks", "streams", "containers", "headers", "planes", "measures", "syntax", "tiles", "elements", "transforms")
 _FOUND: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 

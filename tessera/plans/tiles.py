@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
 from tessera.functions import adapters as A, fx
-from tessera.operators import blocks as B, kernels, tiles
-from tessera.plans.blocks import EDGES, _edges, _forward
+from tessera.operators import blocks as B, frames, kernels, tiles
+from tessera.plans.blocks import EDGES, _edges
 from tessera.plans.registry import query
 
 
@@ -83,6 +84,15 @@ def overlappable(spark: SparkSession, folder: str) -> DataFrame:
     return own.join(covers, ["frame", "by", "bx"], "left_semi").select("blk")
 
 
+@query("e8_not_overlappable", f'{VECTORS} SELECT m.blk FROM mvs m WHERE NOT EXISTS (SELECT 1 FROM mvs n WHERE n.ref = 1 AND n.frame = m.frame AND ((n."by" = m."by" - 1 AND n.bx = m.bx) OR (n."by" = m."by" AND n.bx = m.bx - 1)))')
+def not_overlappable(spark: SparkSession, folder: str) -> DataFrame:
+    """Blocks without an inter block above or on the left: an anti join."""
+    own = _vectors(spark, folder)
+    inter = own.where("ref = 1")
+    covers = inter.select("frame", (F.col("by") + 1).alias("by"), "bx").unionByName(inter.select("frame", "by", (F.col("bx") + 1).alias("bx")))
+    return own.join(covers, ["frame", "by", "bx"], "left_anti").select("blk")
+
+
 WEIGHTS = [256 - 28 * k for k in range(8)]  # given in place of the format's table
 _W = ", ".join(f"({k}, {w})" for k, w in enumerate(WEIGHTS))
 _JOINED = 'above a ON p.frame = a.frame AND p."by" = a."by" AND p.bx = a.bx AND a.k = p.p % 8 JOIN left_ l ON p.frame = l.frame AND p."by" = l."by" AND p.bx = l.bx AND l.k = p.p // 8'
@@ -102,6 +112,22 @@ def intra_smooth(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("blk", B.total(F.col("m")).alias("total"), B.total(F.transform("m", lambda s, p: s * p)).alias("weighted"))
 
 
+_ONE_EDGE = {"vertical": "wy.w * a.s + (256 - wy.w) * l7.s", "horizontal": "wx.w * l.s + (256 - wx.w) * a7.s"}
+
+
+@query("f5_intra_smooth_sides", f'{EDGES}, w AS (SELECT * FROM (VALUES {_W}) t(k, w)), o AS (SELECT p.blk, p.p, ({_ONE_EDGE["vertical"]} + 128) >> 8 AS v, ({_ONE_EDGE["horizontal"]} + 128) >> 8 AS h FROM pixels p JOIN {_JOINED} JOIN above a7 ON p.frame = a7.frame AND p."by" = a7."by" AND p.bx = a7.bx AND a7.k = 7 JOIN left_ l7 ON p.frame = l7.frame AND p."by" = l7."by" AND p.bx = l7.bx AND l7.k = 7 JOIN w wy ON wy.k = p.p // 8 JOIN w wx ON wx.k = p.p % 8) SELECT blk, CAST(sum(v) AS BIGINT) AS vertical, CAST(sum(v * p) AS BIGINT) AS vertical_weighted, CAST(sum(h) AS BIGINT) AS horizontal, CAST(sum(h * p) AS BIGINT) AS horizontal_weighted FROM o GROUP BY blk')
+def intra_smooth_sides(spark: SparkSession, folder: str) -> DataFrame:
+    """The other two smooth modes: one edge blended towards the far end of the other."""
+    w, a, l = F.array(*[F.lit(x) for x in WEIGHTS]), F.col("above"), F.col("left")
+    row, column = (lambda p: fx.idiv(p, 8).cast("int")), (lambda p: p % 8)
+    down = lambda p: fx.round2(F.get(w, row(p)) * F.get(a, column(p)) + (256 - F.get(w, row(p))) * l[7], 8)
+    along = lambda p: fx.round2(F.get(w, column(p)) * F.get(l, row(p)) + (256 - F.get(w, column(p))) * a[7], 8)
+    places = F.sequence(F.lit(0), F.lit(63))
+    own = _edges(spark, folder).where("above is not null and left is not null").select("blk", F.transform(places, down).alias("v"), F.transform(places, along).alias("h"))
+    weighted = lambda c: B.total(F.transform(c, lambda s, p: s * p))
+    return own.select("blk", B.total(F.col("v")).alias("vertical"), weighted("v").alias("vertical_weighted"), B.total(F.col("h")).alias("horizontal"), weighted("h").alias("horizontal_weighted"))
+
+
 @query("f7_recursive_intra")
 def recursive_intra(spark: SparkSession, folder: str) -> DataFrame:
     """Recursive filter prediction with taps given."""
@@ -135,13 +161,16 @@ def distance_weights(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("event_id", "a", "b", pick(0).alias("w0"), pick(1).alias("w1"))
 
 
-@query("f14_obmc", f'WITH {A.PIXELS} SELECT p.blk, CAST(sum(CASE WHEN p.p // 8 < 4 THEN ((64 - 8 * (4 - p.p // 8)) * p.s + 8 * (4 - p.p // 8) * a.s + 32) >> 6 ELSE p.s END) AS BIGINT) AS total FROM pixels p JOIN pixels a ON a.frame = p.frame AND a.bx = p.bx AND a."by" = p."by" - 1 AND a.p = p.p GROUP BY p.blk')
+@query("f14_obmc", f'WITH {A.PIXELS}, o AS (SELECT p.blk, p.p, CASE WHEN p.p // 8 < 4 THEN ((64 - 8 * (4 - p.p // 8)) * p.s + 8 * (4 - p.p // 8) * a.s + 32) >> 6 ELSE p.s END AS s, l.s AS l FROM pixels p JOIN pixels a ON a.frame = p.frame AND a.bx = p.bx AND a."by" = p."by" - 1 AND a.p = p.p JOIN pixels l ON l.frame = p.frame AND l.bx = p.bx - 1 AND l."by" = p."by" AND l.p = p.p) SELECT blk, CAST(sum(CASE WHEN p % 8 < 4 THEN ((64 - 8 * (4 - p % 8)) * s + 8 * (4 - p % 8) * l + 32) >> 6 ELSE s END) AS BIGINT) AS total FROM o GROUP BY blk')
 def obmc(spark: SparkSession, folder: str) -> DataFrame:
-    """The upper half blended with what the block above predicts (here: its samples), by a mask given."""
+    """The upper half blended with what the block above predicts (here: its samples), then the left half with the block on the left, by a mask given."""
     own = A.blocks(spark, folder)
     above = own.select("frame", (F.col("by") + 1).alias("by"), "bx", F.col("v").alias("a"))
-    mask = F.array(*[F.lit(64 - 8 * (4 - p // 8) if p // 8 < 4 else 64).cast("long") for p in range(64)])
-    return own.join(above, ["frame", "by", "bx"]).select("blk", B.total(B.mask_blend(F.col("v"), F.col("a"), mask)).alias("total"))
+    left = own.select("frame", "by", (F.col("bx") + 1).alias("bx"), F.col("v").alias("l"))
+    mask = lambda at: F.array(*[F.lit(64 - 8 * (4 - at(p)) if at(p) < 4 else 64).cast("long") for p in range(64)])
+    both = own.join(above, ["frame", "by", "bx"]).join(left, ["frame", "by", "bx"])
+    both = B.fixed(both, "blk", m=B.mask_blend(F.col("v"), F.col("a"), mask(lambda p: p // 8)), l=F.col("l"))
+    return both.select("blk", B.total(B.mask_blend(F.col("m"), F.col("l"), mask(lambda p: p % 8))).alias("total"))
 
 
 def _frames_with_past(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,10 +188,13 @@ def block_warp(spark: SparkSession, folder: str) -> DataFrame:
 @query("f10_inter_driver", f"WITH {A.PIXELS} SELECT a.blk, CAST(sum(abs(a.s - b.s)) AS BIGINT) AS error FROM pixels a JOIN pixels b ON b.frame = a.frame - 1 AND b.y = greatest(0, least(39, a.y + a.blk % 3 - 1)) AND b.x = greatest(0, least(79, a.x + a.blk % 5 - 2)) GROUP BY a.blk")
 def inter_driver(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks predicted from the frame before, each with its own vector (a function of its number)."""
-    own = A.pixels(spark, folder)
-    asked = own.select("blk", "frame", "s", fx.clip3(F.lit(0).cast("long"), F.lit(39).cast("long"), F.col("y") + F.col("blk") % 3 - 1).alias("y"), fx.clip3(F.lit(0).cast("long"), F.lit(79).cast("long"), F.col("x") + F.col("blk") % 5 - 2).alias("x"))
-    past = own.select((F.col("frame") + 1).alias("frame"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("s").alias("r"))
-    return asked.join(past, ["frame", "y", "x"]).groupBy("blk").agg(F.sum(F.abs(F.col("s") - F.col("r"))).alias("error"))
+
+    def error(now, past):
+        number = np.arange(now.size // 64).reshape(now.shape[0] // 8, now.shape[1] // 8)  # frames of 50 blocks: modulo 5 and, with the frame, modulo 3
+        return {f"e{k}": frames.block_errors(now, frames.moved(past, k - 1, frames.spread(number % 5 - 2))) for k in range(3)}
+
+    found = frames.with_past(A.blocks(spark, folder), error, ["e0", "e1", "e2"])
+    return found.select("blk", F.get(F.array("e0", "e1", "e2"), (F.col("blk") % 3).cast("int")).alias("error"))
 
 
 @query("f17_wedge_masks", f"WITH {A.PAIRS}, m AS (SELECT *, greatest(0, least(64, 32 + 8 * CASE blk % 4 WHEN 0 THEN j - 4 WHEN 1 THEN i - 4 WHEN 2 THEN i + j - 7 ELSE i - j END)) AS m FROM pairs) SELECT blk, blk % 4 AS direction, CAST(sum((m * s + (64 - m) * r + 32) >> 6) AS BIGINT) AS total FROM m GROUP BY blk")
@@ -192,6 +224,20 @@ def tx_size(spark: SparkSession, folder: str) -> DataFrame:
     return own.select("event_id", "w", "h", side("w", "h").alias("tw"), side("h", "w").alias("th"))
 
 
+_SET = "CASE WHEN greatest(w, h) > 32 THEN 'dct' WHEN inter THEN CASE WHEN reduced OR greatest(w, h) = 32 THEN 'inter3' WHEN least(w, h) = 16 THEN 'inter2' ELSE 'inter1' END WHEN greatest(w, h) = 32 THEN 'dct' WHEN reduced OR least(w, h) = 16 THEN 'intra2' ELSE 'intra1' END"
+
+
+@query("g2_tx_set", f"WITH {A.RATELOG}, b AS (SELECT event_id, 4 << CAST(bits % 5 AS INTEGER) AS w, 4 << CAST(greatest(0, least(4, bits % 5 + bits // 5 % 5 - 2)) AS INTEGER) AS h, bits % 2 = 1 AS inter, bits // 25 % 4 = 0 AS reduced FROM ratelog) SELECT event_id, w, h, {_SET} AS kind FROM b")
+def tx_set(spark: SparkSession, folder: str) -> DataFrame:
+    """Which transform types a size may have: the sides are at most four times each other."""
+    bits = F.col("bits")
+    own = A.ratelog(spark, folder).select("event_id", fx.shl(F.lit(4), bits % 5).alias("w"), fx.shl(F.lit(4), fx.clip3(F.lit(0).cast("long"), F.lit(4).cast("long"), bits % 5 + fx.idiv(bits, 5) % 5 - 2)).alias("h"), (bits % 2 == 1).alias("inter"), (fx.idiv(bits, 25) % 4 == 0).alias("reduced"))
+    longer, shorter = F.greatest("w", "h"), F.least("w", "h")
+    of_inter = F.when(F.col("reduced") | (longer == 32), "inter3").when(shorter == 16, "inter2").otherwise("inter1")
+    of_intra = F.when(longer == 32, "dct").when(F.col("reduced") | (shorter == 16), "intra2").otherwise("intra1")
+    return own.select("event_id", "w", "h", F.when(longer > 32, "dct").when(F.col("inter"), of_inter).otherwise(of_intra).alias("kind"))
+
+
 @query("g4_scan_orders", "SELECT CAST(p AS INTEGER) AS p, row_number() OVER (ORDER BY p // 8 + p % 8, p // 8) - 1 AS diagonal, p AS by_row, (p % 8) * 8 + p // 8 AS by_column FROM (SELECT unnest(range(64)) AS p)")
 def scan_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Places of coefficients in the three orders, as a table to join with."""
@@ -201,13 +247,6 @@ def scan_orders(spark: SparkSession, folder: str) -> DataFrame:
     return own.select(F.col("p").cast("int").alias("p"), F.get(diagonal, F.col("p").cast("int")).alias("diagonal"), F.col("p").alias("by_row"), (F.col("p") % 8 * 8 + fx.idiv(F.col("p"), 8)).alias("by_column"))
 
 
-@query("g11_inverse_2d")
-def inverse_2d(spark: SparkSession, folder: str) -> DataFrame:
-    """Coefficients, rounded, through the two passes of a fixed-point inverse transform."""
-    own = _forward(spark, folder).select("blk", F.transform("c", lambda x: F.floor(x * 8 + 0.5).cast("int")).alias("c"))
-    return kernels.inverse_blocks(own, B.basis())
-
-
 @query("k10_motion_fast")
 def motion_fast(spark: SparkSession, folder: str) -> DataFrame:
     """Vectors by shrinking squares, which the full search bounds from below."""

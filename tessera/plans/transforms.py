@@ -1,11 +1,12 @@
-"""Inverse transforms in fixed point (G7, G8, G10, G11, N8), over residuals of blocks in place of coefficients."""
+"""Inverse transforms in fixed point and levels as symbols (G3, G7, G8, G10, G11, N8), over residuals of blocks in place of coefficients."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tessera.functions import adapters as A
-from tessera.operators import blocks as B, transforms as T
+from tessera.functions import adapters as A, fx
+from tessera.operators import blocks as B, coefficients, transforms as T
+from tessera.plans.blocks import LEVELS, _levels
 from tessera.plans.registry import query
 
 SCALE = 8
@@ -93,3 +94,11 @@ def cosines(spark: SparkSession, folder: str) -> DataFrame:
     """The table of cosines and sines in 12 bits."""
     table = lambda f: F.array(*[F.lit(f(k)) for k in range(257)])
     return spark.range(257).select(F.col("id").cast("int").alias("angle"), F.get(table(T.cos128), F.col("id").cast("int")).alias("cosine"), F.get(table(T.sin128), F.col("id").cast("int")).alias("sine"))
+
+
+@query("g3_coefficients", f"{LEVELS} SELECT blk, CAST(sum(abs(l)) AS BIGINT) AS size, CAST(sum(l * (p + 1)) AS BIGINT) AS checksum, CAST(max(abs(l)) AS BIGINT) AS largest, CAST(sum(CASE WHEN l < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative FROM lev GROUP BY blk")
+def coded_coefficients(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantised levels coded as symbols, a stream a frame, and read back."""
+    own = _levels(spark, folder).select("blk", fx.idiv(F.col("blk"), A.FRAME_BLOCKS).alias("frame"), "l")
+    back = coefficients.coded(own)
+    return back.select("blk", B.total(F.transform("levels", lambda x: F.abs(x))).alias("size"), B.total(F.transform("levels", lambda x, p: x * (p + 1))).alias("checksum"), F.array_max(F.transform("levels", lambda x: F.abs(x))).alias("largest"), B.total(F.transform("levels", lambda x: F.when(x < 0, 1).otherwise(0))).alias("negative"))

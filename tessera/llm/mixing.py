@@ -4,7 +4,8 @@ Sizes are summed per source, targets follow from the weights by filling up (no s
 its size, what it leaves is shared by weight among the others), and a source's repetition rate is its target
 over its size. A document is taken floor(rate) times, plus once more if a hash of its id and the source's
 seed, as a number from 0 to 1, is below the fraction of the rate. The seed is the one of SEEDS whose draws
-come nearest to the source's target, so that also small sources meet theirs.
+come nearest to the source's target, so that also small sources meet theirs: each seed's draws are Bernoulli ones, but
+the mix that is taken is the best of 16, and varies less than a single draw would.
 
 Everything is DataFrame expressions. Texts are read once, for their sizes; what follows uses ids, sources
 and sizes alone. The targets have one row a source.
@@ -89,14 +90,16 @@ def mixed(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     The rates are broadcast if there are MOST_BROADCAST_SOURCES sources at most; beyond that the join is left to the planner.
     """
     rated = rates(sizes_of(documents, id_column, text_column, source_column), weights, most)
-    side = rated.select(F.col("source").alias("__mix_source"), "whole", "fraction", "seed")
-    side = side.select("__mix_source", F.struct("whole", "fraction", "seed").alias("__mix"))
+    name = "mix"
+    while any(c.lower().startswith(name) for c in documents.columns):
+        name += "_"
+    of, rate, copies, copy = f"{name}_of", f"{name}_rate", f"{name}_copies", f"{name}_copy"
+    side = rated.select(F.col("source").alias(of), F.struct("whole", "fraction", "seed").alias(rate))
     if rated.count() <= MOST_BROADCAST_SOURCES:
         side = F.broadcast(side)
-    own = documents.withColumn("__mix_of", F.col(source_column).cast("string"))
-    once_more = F.when(draw(F.col(id_column).cast("long"), F.col("__mix.seed")) < F.col("__mix.fraction"), 1).otherwise(0)
-    joined = own.join(side, F.col("__mix_of").eqNullSafe(F.col("__mix_source"))).withColumn("__mix_copies", (F.col("__mix.whole") + once_more).cast("int"))
-    repeated = joined.where("__mix_copies > 0").withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_copies"))))
+    once_more = F.when(draw(F.col(f"`{id_column}`").cast("long"), F.col(f"{rate}.seed")) < F.col(f"{rate}.fraction"), 1).otherwise(0)
+    joined = documents.join(side, F.col(f"`{source_column}`").cast("string").eqNullSafe(F.col(of))).withColumn(copies, (F.col(f"{rate}.whole") + once_more).cast("int"))
+    repeated = joined.where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
     return repeated.select(*[F.col(f"`{c}`") for c in documents.columns])
 
 

@@ -4,7 +4,7 @@ Statistics of every text are built-in expressions over arrays of words, lines an
 the row: no word is shuffled. Rules are learned from the statistics of all labelled documents by sequential
 covering: a rule for the class to reject grows one threshold condition at a time by FOIL's gain on two
 thirds of the rows, is pruned to the prefix of conditions that does best on the rest, and the rows it covers
-are taken away before the next one. Each step is one aggregation over counts of binned statistics. The
+are taken away before the next one, until no rule passes its test. Each step is one aggregation over counts of binned statistics. The
 result is an ordered list, emitted as WHEN ... THEN ... OTHERWISE.
 
 Result: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, and rule
@@ -30,7 +30,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 WINDOW = 8
 THRESHOLDS = 15
-MOST_RULES, MOST_CONDITIONS = 8, 3
+EXTREMES = (0.005, 0.02, 0.98, 0.995)
+MOST_RULES, MOST_CONDITIONS = 32, 3
+CELLS_PER_TASK = 100_000
 LEAST_PRECISION, LEAST_COVER = 0.9, 5
 
 
@@ -122,11 +124,12 @@ def learn(statistics: DataFrame, labels: DataFrame, label: str = "quality", id_c
     """Decision list for label 0 from the statistics of all labelled rows. What reaches the driver are counts per bin."""
     clean = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").select("doc_id", "y")
     rows = cut(statistics.join(clean, "doc_id").select("y", (F.pmod(F.xxhash64("doc_id"), F.lit(3)) > 0).alias("grow"), *[statistic(n).alias(n) for n in NAMES]))
-    found = rows.agg(*[F.percentile_approx(n, [k / (THRESHOLDS + 1) for k in range(1, THRESHOLDS + 1)] + [0.98, 0.995], 2000).alias(n) for n in NAMES]).first()
+    found = rows.agg(*[F.percentile_approx(n, sorted([k / (THRESHOLDS + 1) for k in range(1, THRESHOLDS + 1)] + list(EXTREMES)), 2000).alias(n) for n in NAMES]).first()
     edges = {n: sorted(set(found[n] or [])) for n in NAMES}
     bins = [reduce(lambda a, t: a + F.when(F.col(n) > t, 1).otherwise(0), edges[n], F.lit(0)).alias(f"b_{n}") for n in NAMES]
     # rows alike in all bins are one
     cells = cut(rows.select("y", "grow", *bins).groupBy("y", "grow", *[f"b_{n}" for n in NAMES]).agg(F.count("*").alias("m")))
+    cells = cells.coalesce(cells.count() // CELLS_PER_TASK + 1)
     learned, left = DecisionList(), cells
     while len(learned.rules) < MOST_RULES:
         rule = _grow(left.where("grow"), edges)

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+#: Longer texts are not learned from, so that a sample's bytes are bounded as well.
+LONGEST = 1 << 18
+
+
 def fold(id_column: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; rows without an id are in fold 0."""
     return F.coalesce(F.pmod(F.crc32(id_column.cast("string").cast("binary")), F.lit(folds)), F.lit(0)).cast("int")
@@ -13,8 +17,9 @@ def fold(id_column: Column, folds: int) -> Column:
 def labelled(documents: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, rows: int, id_column: str = "doc_id", text_column: str = "text", extra: str | None = None) -> list[tuple]:
     """About ``rows`` texts with their labels, at most 1.1 times as many, half of each class as far as there are, none of the fold held out.
 
-    Rows are (text, label), or (text, extra, label). Which ones follows from a hash of their ids. Texts are whole. Labels that are null or contradict each
-    other are left out.
+    Rows are (text, label), or (text, extra, label). Which ones follows from a hash of their ids alone, so that reruns
+    learn from the same ones. Texts are whole, of LONGEST bytes at most. Labels that are null or contradict each other
+    are left out.
     """
     return weighted(documents, labels, label, folds, held_out, rows, id_column, text_column, extra)[0]
 
@@ -32,10 +37,11 @@ def weighted(documents: DataFrame, labels: DataFrame, label: str, folds: int, he
         below = int((1 << 20) * min(1.0, quota[k] / n))
         wanted = wanted | ((F.col("label") == k) & (F.col("draw") < below))
         stands_for[k] = (1 << 20) / max(below, 1)
-    chosen = clean.where(wanted).limit(rows + rows // 10).select("id", "label")
+    most = rows + rows // 10
+    chosen = clean.where(wanted).orderBy("draw", "id").limit(most).select("id", "label", "draw")
     more = [extra] if extra else []
-    texts = documents.select(id_of.alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *more)
-    # chosen has at most 1.1 x rows rows of two numbers
-    found = texts.join(F.broadcast(chosen), "id").select("id", "text", *more, "label").limit(rows + rows // 10).toPandas()
+    texts = documents.select(id_of.alias("id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"), *more).where(F.octet_length("text") <= LONGEST)
+    # chosen has at most 1.1 x rows rows of three numbers
+    found = texts.join(F.broadcast(chosen), "id").orderBy("draw", "id", "text", *more).limit(most).select("id", "text", *more, "label").toPandas()
     found = found.sort_values(["id", "text"], kind="stable")
     return list(zip(*(found[c].tolist() for c in ("text", *more, "label")), strict=True)), stands_for

@@ -183,6 +183,7 @@ class Model:
     automaton: Automaton
     harmless: frozenset[str]  # misspellings that are words of their own
     beta: np.ndarray
+    stems: frozenset[str] = frozenset()
 
     FEATURES = 8
 
@@ -314,7 +315,7 @@ def learn(rows: list[tuple[str, int]], least_contexts: int = 4, least_odds: floa
     doubts[doubts < 0.5] = 0
     exact = frozenset(w for w, sure in zip(terms, doubts, strict=True) if not sure)
     automaton = Automaton.of(terms, frozenset(stems), exact, frozenset(stems))
-    model = Model([t.encode("utf-8", "surrogatepass") for t in terms], 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0))
+    model = Model([t.encode("utf-8", "surrogatepass") for t in terms], 1 - np.minimum(others, 1), doubts, automaton, frozenset(harmless), np.zeros(0), frozenset(stems))
     y = np.array([v for _, v in rows], float)
     x = np.concatenate([model.features(pa.array([t for t, _ in rows[k : k + 256]]))[0] for k in range(0, len(rows), 256)])
     weight = np.where(y > 0, each[1], each[0]) / min(each.values())

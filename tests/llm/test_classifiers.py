@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -7,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import quality_classifier as Q, samples, toxicity as X
 
+from .helpers import SPACED
+
 
 def held_out(d, folds, fold):
     return (zlib.crc32(str(d).encode()) % folds if d is not None else 0) == fold
@@ -137,3 +140,89 @@ def test_rare_terms_and_stems_are_looked_up_with_edits():
     texts = [sentence(rng, [bad[7] + "p", bad[90][:-1]]), sentence(rng, ["schwotzubi"])]
     _, counts = model.features(pa.array(texts))
     assert counts[:, 1].tolist() == [2, 1]
+
+
+def slow_features(model, text, stated):
+    """Places and values of a text's features, word by word and byte by byte."""
+    words, raw = [w.encode() for w in SPACED.findall(text or "")], (text or "").encode()
+    n, many, size = len(words), max(len(words), 1), max(len(raw), 1)
+    grams = [tuple(words[k : k + 4]) for k in range(n - 3)]
+    dense = [math.log1p(n), sum(map(len, words)) / many, len(set(words)) / many, max((words.count(w) for w in set(words)), default=0) / many]
+    dense += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / many, (len(grams) - len(set(grams))) / many, sum(len(w) > 24 for w in words) / many]
+    dense += [sum(bool(kind[b]) for b in raw) / size for kind in Q._KINDS.values()]
+    known = stated is not None
+    dense += [math.log1p(max(stated, 0)) if known else None, stated - len(text or "") if known else None]
+    buckets = sorted({int(X.ragged.words_of(pa.array([w.decode()])).hashes()[0] % np.uint64(Q.BUCKETS)) for w in words})
+    found = [(Q.BUCKETS + k * (Q.BINS + 2) + (0 if v is None else sum(e <= v for e in model.edges[k]) + 1), 1 / math.sqrt(len(dense))) for k, v in enumerate(dense)]
+    return found + [(b, 1 / math.sqrt(len(buckets))) for b in buckets]
+
+
+def test_quality_scores_equal_all_pairs_of_slow_features(docs, labels):
+    model = Q.learned(docs, labels)
+    rows = sorted(docs.where("length(text) < 1500 or text is null").limit(25).collect(), key=lambda r: r.doc_id)
+    got = Q._scores(model, pa.array([r.text for r in rows], pa.string()), pa.array([r.n_chars for r in rows], pa.float64()))
+    for r, score in zip(rows, got, strict=True):
+        own = slow_features(model, r.text, r.n_chars)
+        z = model.bias + sum(model.linear[p] * v for p, v in own)
+        z += sum(float(model.factors[p] @ model.factors[q]) * v * w for k, (p, v) in enumerate(own) for q, w in own[:k])
+        assert abs(score - 1 / (1 + math.exp(-min(max(z, -30), 30)))) < 1e-9
+
+
+def test_quality_tells_both_classes_apart_on_rows_held_out(docs, labels):
+    known = labels.groupBy("doc_id").agg(F.max("quality").alias("y"))
+    rows = [r for r in Q.quality(docs, labels).join(known, "doc_id").collect() if r.held_out and r.y is not None]
+    good, bad = [r for r in rows if r.y], [r for r in rows if not r.y]
+    assert good and sum(r.predicted for r in good) >= 0.9 * len(good)
+    every = [r for r in Q.quality(docs, labels).join(known, "doc_id").collect() if r.y == 0]
+    assert sum(not r.predicted for r in every) >= 0.6 * len(every) and (len(bad) < 5 or sum(not r.predicted for r in bad) >= 0.5 * len(bad))
+
+
+def slow_term(model, word):
+    """Place and edits of the term that a word is: fewest edits, then the first; -1 for none."""
+    best = None
+    for k, term in enumerate(model.terms):
+        term = term.decode()
+        bound = 0 if not model.doubts[k] else 2 if len(term) >= X.TWO_EDITS else 1
+        if term in model.stems:
+            bound = 0 if not model.doubts[k] else 2 if len(term) >= X.TWO_EDITS else 1
+            cost = min(edits(word[:n], term) for n in range(len(word) + 1))
+        else:
+            cost = edits(word, term)
+        if cost <= bound and (best is None or cost < best[0]):
+            best = (cost, k)
+    return (best[1], best[0]) if best else (-1, 0)
+
+
+def test_toxic_terms_are_those_of_slow_edit_distances(docs, labels):
+    model = X.learn(samples.weighted(docs, labels, "toxic", 4, 2, 6000)[0])
+    rng = random.Random(5)
+    bad = ["blockhead", "dimwit", "gruñón", "numbskull"]
+    other = X.learn([(sentence(rng, rng.sample(bad, 2)), 1) for _ in range(150)] + [(sentence(rng), 0) for _ in range(300)])
+    assert {"gruñón", "dimwit"} <= {t.decode() for t in other.terms}
+    texts = [sentence(rng, ["Blockheads", "GRUÑÓN", "grunón,", "dimwot", "«numbskull»", "nmbskul"]), "É è gruñon", ""]
+    texts += [r.text for r in docs.where("length(text) < 900").limit(20).collect()]
+    for m in (model, other):
+        for text in texts:
+            words = X.Letters.of([text])
+            start, length = X.trimmed(words)
+            term, cost = m.automaton.run(words.data, start, length)
+            for k in range(len(start)):
+                assert (int(term[k]), int(cost[k]) if term[k] >= 0 else 0) == slow_term(m, words.text(k, start, length))
+    counts = other.features(pa.array(texts[:1]))[1]
+    assert counts[0, 0] >= 5
+
+
+def test_toxicity_is_found_in_rows_held_out(spark):
+    """A hundred terms, some in compounds, some misspelled or in capitals: recall and precision outside the labelled fold."""
+    rng = random.Random(29)
+    bad = ["".join(rng.choice("bcdfghjklmnpqrstvwz") + rng.choice("aeiouy") for _ in range(4)) for _ in range(100)]
+
+    def spelled(w):
+        k = rng.randrange(len(w))
+        return rng.choice([w, w, w, w.upper(), w + "s", w[:k] + w[k + 1 :], w[:k] + "x" + w[k + 1 :]])
+
+    rows = [(k, sentence(rng, [spelled(w) for w in rng.sample(bad, 2)]) if k % 8 == 0 else sentence(rng), int(k % 8 == 0)) for k in range(8000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    found = X.toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).join(frame.select("doc_id", "toxic"), "doc_id").where("held_out").collect()
+    hits = sum(r.predicted and r.toxic for r in found)
+    assert hits >= 0.8 * sum(r.toxic for r in found) and hits >= 0.9 * sum(r.predicted for r in found)

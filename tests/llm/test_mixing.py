@@ -66,3 +66,10 @@ def test_documents_are_repeated(docs, odd):
         assert mixed.columns == frame.columns
         want = M.plan(frame).agg(F.sum("copies")).first()[0]
         assert mixed.count() == want
+
+
+def test_names_of_the_mix_may_be_taken(docs):
+    names = ["mix_of", "mix_rate", "MIX_copies", "mix__copy"]
+    frame = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    left = M.mixed(frame)
+    assert left.columns == frame.columns and left.count() == M.mixed(docs).count()

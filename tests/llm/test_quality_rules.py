@@ -59,3 +59,21 @@ def test_odd_labels(odd, none, labels, spark):
     clash = spark.createDataFrame([(5, 0), (5, 1), (None, 0), (7, None)], "doc_id long, quality int")
     assert Q.judged(odd, clash).where("rule is not null").count() == 0
     assert Q.judged(none, labels).count() == 0
+
+
+def test_verdicts_are_those_of_the_list_read_rule_by_rule(docs, odd, labels):
+    """The list from the labelled rows, applied by hand to statistics counted by hand."""
+    learned = Q.learn(Q.measured(docs), labels)
+    assert learned.rules
+    for frame in (docs, odd):
+        got = sorted(((r.doc_id, r.kept, r.rule) for r in Q.verdicts(Q.measured(frame), learned).collect()), key=repr)
+        want = []
+        for r in frame.collect():
+            n, chars, symbols, lines, repeats = brute(r.text)
+            words = SPACED.findall(r.text or "")
+            each = {"word_length": chars, "symbols": symbols, "repeats": repeats, "upper": sum("A" <= c <= "Z" for c in r.text or ""), "distinct": len(set(words)), "dup_lines": lines}
+            value = {"n_words": float(n)} | {k: v / n if n else 0.0 for k, v in each.items()}
+            holds = lambda c: value[c.name] > c.threshold if c.above else value[c.name] <= c.threshold
+            rule = next((k for k, conditions in enumerate(learned.rules, 1) if all(map(holds, conditions))), None)
+            want.append((r.doc_id, not (n < 20 or 100 * repeats > 30 * n) and rule is None, rule))
+        assert got == sorted(want, key=repr)

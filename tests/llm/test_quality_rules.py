@@ -61,10 +61,17 @@ def test_odd_labels(odd, none, labels, spark):
     assert Q.judged(none, labels).count() == 0
 
 
-def test_verdicts_are_those_of_the_list_read_rule_by_rule(docs, odd, labels):
-    """The list from the labelled rows, applied by hand to statistics counted by hand."""
-    learned = Q.learn(Q.measured(docs), labels)
-    assert learned.rules
+def test_verdicts_are_those_of_the_list_read_rule_by_rule(spark, docs, odd):
+    """A list from texts with signs, with shouting and with few words, applied by hand to statistics counted by hand."""
+    import random
+
+    rng = random.Random(4)
+    some = lambda n: [rng.choice("ab cd efg hijk lmnop qrstuv".split()) + str(rng.randrange(300)) for _ in range(n)]
+    kinds = [lambda: " ".join(some(60)), lambda: " # ".join(some(40)), lambda: " ".join(some(50)).upper(), lambda: " ".join(some(6) * 2 + some(15) * 2)]
+    rows = [(k, kinds[k % 8 if k % 8 < 4 else 0](), int(k % 8 in (0, 4, 5, 6, 7))) for k in range(1600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    learned = Q.learn(Q.measured(frame), frame.select("doc_id", "quality"))
+    assert len(learned.rules) > 1
     for frame in (docs, odd):
         got = sorted(((r.doc_id, r.kept, r.rule) for r in Q.verdicts(Q.measured(frame), learned).collect()), key=repr)
         want = []

@@ -44,11 +44,13 @@ class MergeTable:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         kind = file["pre_tokenizer"] or {}
-        if file["model"]["type"] != "BPE" or file.get("normalizer") or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space"):
-            raise ValueError("a byte-level BPE file without a normaliser or a prefix space is needed")
+        if file["model"]["type"] != "BPE" or file.get("normalizer") or kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or not kind.get("use_regex", True):
+            raise ValueError("a byte-level BPE file that splits by its own pattern, without a normaliser or a prefix space, is needed")
         vocabulary = file["model"]["vocab"]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
         left, right, merged = (np.array([vocabulary[f(p)] for p in pairs], np.int64) for f in (lambda p: p[0], lambda p: p[1], "".join))
+        if len(np.unique(merged)) < len(merged):
+            raise ValueError("two merges make the same token: their ranks do not tell what merges next")
         key = left << 32 | right
         order = np.argsort(key, kind="stable")
         self.keys, self.rank, self.merged = key[order], order.astype(np.int64), merged

@@ -154,3 +154,16 @@ def test_count_query(odd, none):
     want = [(r.doc_id, len((r.text or "").encode()), n := len(tool.encode(r.text or "", add_special_tokens=False).ids), n > 1024) for r in odd.collect()]
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
     assert token_counts.count_tokens(none, vocabulary(COUNTED)).count() == 0
+
+
+def test_files_of_other_kinds_are_refused(tmp_path):
+    import json
+
+    with open(vocabulary(COUNTED), encoding="utf-8") as f:
+        file = json.load(f)
+    first = file["model"]["merges"][0]
+    for change in ({"pre_tokenizer": file["pre_tokenizer"] | {"use_regex": False}}, {"model": file["model"] | {"merges": [*file["model"]["merges"], first]}}, {"normalizer": {"type": "Lowercase"}}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(file | change))
+        with pytest.raises(ValueError):
+            token_counts.MergeTable(str(path))

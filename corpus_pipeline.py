@@ -2,6 +2,13 @@
 
 Quality classifier, n-gram Jaccard join, benchmark decontamination, mixing of sources, token-ID files. All
 stages but the last return the columns of documents; the last one returns a row per document of its files.
+
+Nulls and edge cases: an empty table passes all stages and gives no rows. Null and empty texts are scored by their
+structure, are no near duplicates of each other (those without an id stay once), hold no passage, have size 0 and
+are taken as often as their source's rate says, and are one end token in the files. Rows that share an id go through
+the join together, equal ones among them once; rows without an id stay where their component has none with one; a
+null source is a source of its own. Very long texts are read whole in every stage, and ties have the order that each
+operator states. Other columns, whatever their names, stay with their rows up to the files.
 """
 
 from __future__ import annotations

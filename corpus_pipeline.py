@@ -15,14 +15,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.functions.lineage import cut, discard, scratch, written
-from tessera.llm import decontamination, mixing, ngram_join, quality_classifier, token_files
+from tessera.functions.lineage import cut, discard, release, scratch, small_batches, written
+from tessera.llm import decontamination, mixing, ngram_join, quality_classifier, ragged, token_files
 from tessera.llm.queries import ENCODED, table, vocabulary
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    return quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+    small_batches(spark)
+    found = quality_classifier.accepted(docs, table(spark, sf_dir, "labels"))
+    ragged.give_back()  # what the fit has taken on the driver
+    return found
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +35,7 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def untested(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    small_batches(spark)
     return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -42,6 +46,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows of the token files of the mix, as read back."""
+    small_batches(spark)
     return token_files.round_trip(docs, vocabulary(ENCODED))
 
 
@@ -57,6 +62,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = written(stage(spark, docs, sf_dir), f"stage{k}", own)
+        release(spark)
     found = cut(STAGES[-1][1](spark, docs, sf_dir))
     discard(spark, own)
     return found

@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
+from tessera.functions import lineage
 from tessera.llm import decontamination, mixing, ngram_join, quality_classifier
 from tessera.llm.queries import ENCODED, vocabulary
 
@@ -46,3 +48,18 @@ def test_odd_documents_pass_through(spark, data, odd):
     empty = odd.where(F.lit(False))
     for _, stage in P.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_workers_get_batches_of_bounded_bytes(spark, data, docs):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(key)
+    P.good(spark, docs, data)
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.nbytes], pa.int64())}) for b in batches)
+    wide = spark.range(0, 6_000, 1, 1).select(F.repeat(F.lit("x"), 4_000).alias("text"))
+    found = [r["n"] for r in wide.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) >= 24_000_000 and max(found) < 2 * lineage.BATCH_BYTES
+    for bound, then in (("64m", str(lineage.BATCH_BYTES)), ("1m", "1m")):  # a session that has less keeps it
+        spark.conf.set(key, bound)
+        lineage.small_batches(spark)
+        assert spark.conf.get(key) == then
+    spark.conf.unset(key)

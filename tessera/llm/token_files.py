@@ -39,8 +39,8 @@ FRAME_IDS = 1 << 19
 FRAMES_PER_FILE = 32
 CACHED_CHUNKS = 300_000
 KEPT_CHUNKS = 100_000
-HOT_CHUNKS = 16_000
 JOINED = 256
+ENCODED_BYTES = 4 << 20
 _HEAD = struct.Struct("<4sIIIIQIQ")
 _MAGIC = b"TS8G"
 
@@ -57,8 +57,8 @@ _UNCERTAIN = re.compile("[\u0130\u03a3\u0530-\U0010ffff]")
 SEPARATOR = "\x01"
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces of a text that are tokenised one by one: between blanks and line feeds, without closing marks.
+def chunked(text: str) -> str:
+    """The text as the chunks that are tokenised one by one, a blank after each: what stands between blanks and line feeds, without closing marks.
 
     Lower case is taken where the normaliser would make nothing else of it: each letter by itself, composed
     before and after. Marks before a blank are taken off where a plain letter, a digit or a blank stands before them;
@@ -78,7 +78,7 @@ def chunks_of(text: str) -> list[str]:
         for mark in MARKS:
             if mark in text:
                 text = text.replace(f"{mark} ", f" {mark} ")
-    return text.split(" ")
+    return text
 
 
 def in_chunks(file: dict) -> bool:
@@ -91,6 +91,18 @@ def in_chunks(file: dict) -> bool:
     return normal == NORMALISER and bool(split) and bytewise and added and not file.get("post_processor")
 
 
+def byte_lengths(file: dict) -> np.ndarray | None:
+    """Bytes of text that each id of a file stands for (``in_chunks``), if its model says so."""
+    model = file["model"]
+    if model.get("type") != "BPE" or model.get("unk_token") or model.get("continuing_subword_prefix") or model.get("byte_fallback"):
+        return None
+    names = {i: len(token.removesuffix(model.get("end_of_word_suffix") or "")) for token, i in model["vocab"].items()}  # a letter of a token is a byte
+    names |= {t["id"]: len(t["content"].encode()) for t in file.get("added_tokens", [])}
+    out = np.zeros(max(names) + 1, np.int64)
+    out[list(names)] = list(names.values())
+    return out
+
+
 def _normal(chunk: str) -> bool:
     """Whether the normaliser (composition, single blanks, lower case) surely leaves a chunk as it is."""
     if not chunk.isprintable() or chunk != chunk.lower():
@@ -112,7 +124,9 @@ class ChunkTokenizer:
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
-            self.whole = not in_chunks(json.load(f))
+            file = json.load(f)
+        self.whole = not in_chunks(file)
+        self.bytes = None if self.whole else byte_lengths(file)
         # for what the normaliser leaves as it is: the same tokenizer without one
         self.normaliser, self.bare = self.library.normalizer, normalizers.Sequence([])
         alone = [] if self.whole else self.library.encode(SEPARATOR, add_special_tokens=False).ids
@@ -121,7 +135,6 @@ class ChunkTokenizer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.hot: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size, self.hits = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
@@ -158,22 +171,36 @@ class ChunkTokenizer:
         shift = np.repeat(self.start[at] - (np.cumsum(size) - size), size)
         return self.ids[np.arange(len(shift)) + shift]
 
+    def _split(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of ids and ids of chunks that the normaliser leaves as they are; None if the bytes of the ids do not add up to those of the chunks."""
+        joined = [" ".join([*chunks[k : k + JOINED], ""]) for k in range(0, len(chunks), JOINED)]
+        self.library.normalizer = self.bare
+        found = self.library.encode_batch_fast(joined, add_special_tokens=False)
+        self.library.normalizer = self.normaliser
+        ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(one.ids, np.uint32) for one in found)])
+        blanks = np.flatnonzero(np.frombuffer("".join(joined).encode(), np.uint8) == 0x20)
+        ends = blanks - np.arange(len(blanks))
+        reached = np.concatenate(([0], np.cumsum(self.bytes[ids])))
+        upto = np.searchsorted(reached, ends, side="right") - 1
+        if not len(ends) == len(chunks) or not np.array_equal(reached[upto], ends) or upto.max(initial=0) != len(ids):
+            return None
+        return np.diff(upto, prepend=0), ids
+
     def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks, joined by a separator whose single id no other chunk has."""
+        """Encode new chunks many at once: told apart by their bytes, or else joined by a separator whose single id no other chunk has."""
         groups: dict[str, list[str]] = {"clean": [], "plain": [], "odd": []}
         for c in chunks:
-            odd = self.separator is None or SEPARATOR in c
-            groups["odd" if odd else "clean" if _normal(c) else "plain"].append(c)
-        for kind in ("clean", "plain"):
-            own = groups[kind]
-            if kind == "clean":
-                self.library.normalizer = self.bare
-            found = self.library.encode_batch_fast([f" {SEPARATOR} ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)], add_special_tokens=False)
-            self.library.normalizer = self.normaliser
-            ids = [np.append(np.array(one.ids, np.uint32), np.uint32(self.separator)) for one in found]
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-            ends = np.flatnonzero(flat == self.separator)
-            self._add(own, np.diff(ends, prepend=-1) - 1, flat[flat != self.separator])
+            groups["clean" if self.bytes is not None and _normal(c) else "odd" if self.separator is None or SEPARATOR in c else "plain"].append(c)
+        if found := groups["clean"] and self._split(groups["clean"]):
+            self._add(groups["clean"], *found)
+        else:
+            groups["odd" if self.separator is None else "plain"] += groups["clean"]
+        own = groups["plain"]
+        found = self.library.encode_batch_fast([f" {SEPARATOR} ".join(own[k : k + JOINED]) for k in range(0, len(own), JOINED)], add_special_tokens=False)
+        ids = [np.append(np.array(one.ids, np.uint32), np.uint32(self.separator)) for one in found]
+        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        ends = np.flatnonzero(flat == self.separator)
+        self._add(own, np.diff(ends, prepend=-1) - 1, flat[flat != self.separator])
         found = [one.ids for one in self.library.encode_batch_fast(groups["odd"], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self._add(groups["odd"], size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
@@ -184,33 +211,29 @@ class ChunkTokenizer:
             found = [[*one.ids, end_id] for one in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             n = np.fromiter(map(len, found), np.int64, len(found))
             return np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum())), n
-        split = [chunks_of(t) for t in texts]
-        flat = list(chain.from_iterable(split))
+        split = [f"{chunked(t)} " for t in texts]  # the last chunk, an empty one, has the place of the end id
+        raw = "".join(split).encode()
+        offsets = np.concatenate(([0], np.flatnonzero(np.frombuffer(raw, np.uint8) == 0x20) + 1))
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+        names, _ = ragged.buffer_of(coded.dictionary)
+        distinct = names.tobytes().decode().split(" ")[:-1]
+        which = coded.indices.to_numpy()
         if len(self.known) > CACHED_CHUNKS:
             self.prune(CACHED_CHUNKS // 2)
-        at = np.fromiter(map(self.hot.get, flat, repeat(-1)), np.int64, len(flat))
-        if len(rare := np.flatnonzero(at < 0)):
-            chunks = [flat[k] for k in rare.tolist()]
-            found = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
-            if len(new := np.flatnonzero(found < 0)):
-                missed = [chunks[k] for k in new.tolist()]
-                self._learn(list(dict.fromkeys(missed)))
-                found[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
-            at[rare] = found
-        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
-        if not self.hot and len(self.known) > HOT_CHUNKS:
-            # a small table of the most frequent chunks stays in the processor's caches
-            often = np.argsort(-np.bincount(at, minlength=len(self.known)), kind="stable")[:HOT_CHUNKS]
-            chunks = list(self.known)
-            self.hot = {chunks[k]: k for k in often.tolist()}
-        size = self.size[at].astype(np.int64)
-        per_text = np.add.reduceat(size, np.cumsum([0, *map(len, split)])[:-1]) if texts else np.zeros(0, np.int64)
-        n = per_text + 1
-        out = np.full(int(n.sum()), end_id, np.uint32)
-        body = np.ones(len(out), bool)
-        body[np.cumsum(n) - 1] = False
-        out[body] = self._gather(at)
-        return out, n
+        own = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        if len(new := np.flatnonzero(own < 0)):
+            missed = [distinct[k] for k in new.tolist()]
+            self._learn(missed)
+            own[new] = np.fromiter(map(self.known.__getitem__, missed), np.int64, len(missed))
+        self.hits[own] += np.bincount(which, minlength=len(own)).astype(np.int32)
+        end = f" {end_id}"  # what no chunk is: they have no blanks
+        if end not in self.known:
+            self._add([end], np.ones(1, np.int64), np.array([end_id], np.uint32))
+        at = own[which]
+        last = np.cumsum([t.count(" ") for t in split], dtype=np.int64) - 1
+        at[last] = self.known[end]
+        n = np.add.reduceat(self.size[at].astype(np.int64), np.concatenate(([0], last[:-1] + 1))) if texts else np.zeros(0, np.int64)
+        return self._gather(at), n
 
 
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
@@ -234,7 +257,7 @@ def tokenised(documents: DataFrame, path: str, id_column: str = "doc_id", text_c
 
     def encoded(held: ChunkTokenizer, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in ragged.slices(batch, "text"):
+            for part in ragged.slices(batch, "text", ENCODED_BYTES):
                 ids, n = held.encode([t or "" for t in part.column("text").to_pylist()], end_id)
                 w = 2 if len(ids) == 0 or int(ids.max()) < 1 << 16 else 4
                 raw, ends = pa.py_buffer(ids.astype(f"<u{w}")), np.concatenate(([0], np.cumsum(n) * w)).astype(np.int32)

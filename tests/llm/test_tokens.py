@@ -106,6 +106,35 @@ def test_full_caches_change_nothing(chunks, monkeypatch, docs):
     assert [i for t in texts for i in chunks.encode([t], 1)[0].tolist()] == want
 
 
+def test_a_chunk_is_looked_up_once_a_call(chunks, monkeypatch):
+    """The cost of op5: what occurs often is found by its place among the distinct chunks, not by a lookup each time."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            Counted.asked += 1
+            return super().get(*key)
+
+    texts = ["the cat sat, on 7 mats. " * 500, "the dog sat. " * 500]
+    want = chunks.encode(texts, 1)[0].tolist()
+    monkeypatch.setattr(chunks, "known", Counted(chunks.known))
+    assert chunks.encode(texts, 1)[0].tolist() == want == [i for t in texts for i in [*library(ENCODED).encode(t, add_special_tokens=False).ids, 1]]
+    assert 0 < Counted.asked <= 20
+
+
+def test_chunks_whose_bytes_do_not_add_up(docs, monkeypatch):
+    """Ends of words inside texts, and lengths of ids that are none: the separator tells chunks apart then."""
+    texts = ["a</w> b</w>c </w> </w>", "the  cat 1,5</w>.", "", *ODD, *(r.text for r in docs.limit(10).collect() if r.text)]
+    want = [i for t in texts for i in [*library(ENCODED).encode(t, add_special_tokens=False).ids, 1]]
+    own = token_files.ChunkTokenizer(vocabulary(ENCODED))
+    assert own._split(["the", "", "cat7", "é!"]) is not None and own.encode(texts, 1)[0].tolist() == want
+    for wrong in (own.bytes * 0, own.bytes + 1, None):
+        own.clear()
+        monkeypatch.setattr(own, "bytes", wrong)
+        assert own.encode(texts, 1)[0].tolist() == want
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=256), max_size=6))
 def test_simple8b(blocks):

@@ -20,21 +20,6 @@ def wiener_taps(coefficients: list[int]) -> list[int]:
     return [*coefficients, 128 - 2 * sum(coefficients), *coefficients[::-1]]
 
 
-def box_sums(frame: DataFrame, radius: int) -> DataFrame:
-    """n, total, squares over the square of a radius around each sample, inside the frame: two running windows."""
-    line = Window.partitionBy("frame", "y").orderBy("x").rowsBetween(-radius, radius)
-    column = Window.partitionBy("frame", "x").orderBy("y").rowsBetween(-radius, radius)
-    rows = frame.select("*", F.count("*").over(line).alias("n1"), F.sum("s").over(line).alias("s1"), F.sum(F.col("s") * F.col("s")).over(line).alias("q1"))
-    return rows.select("*", F.sum("n1").over(column).alias("n"), F.sum("s1").over(column).alias("total"), F.sum("q1").over(column).alias("squares")).drop("n1", "s1", "q1")
-
-
-def guide(n: Column, total: Column, squares: Column, strength: int) -> Column:
-    """Weight of the box mean, of 256: from the box's variance in 20-bit fixed point over the strength."""
-    p = F.greatest(squares * n - total * total, F.lit(0).cast("long"))
-    z = fx.round2(p * strength, 20)
-    return F.when(z >= 255, F.lit(256).cast("long")).when(z == 0, F.lit(1).cast("long")).otherwise(fx.idiv(z * 256 + fx.idiv(z, 2), z + 1))
-
-
 def edge_filter(v: list[Column], limit: int, blimit: int, thresh: int) -> dict[str, Column]:
     """The narrow filter of the samples p1, p0 | q0, q1 of an edge: filtered values, unchanged where the masks forbid."""
     p1, p0, q0, q1 = (x.cast("long") for x in v)
@@ -52,19 +37,3 @@ def edge_filter(v: list[Column], limit: int, blimit: int, thresh: int) -> dict[s
 
 #: Offsets (dy, dx) of the two taps of each of the eight CDEF directions.
 DIRECTIONS = (((-1, 1), (-2, 2)), ((0, 1), (-1, 2)), ((0, 1), (0, 2)), ((0, 1), (1, 2)), ((1, 1), (2, 2)), ((1, 0), (2, 1)), ((1, 0), (2, 0)), ((1, 0), (2, -1)))
-
-
-def upscaled(frame: DataFrame, width: int, to: int, taps: list[list[int]]) -> DataFrame:
-    """Rows of ``width`` samples resampled to ``to``: a 14-bit position map, then a polyphase filter whose phases are ``taps``."""
-    phases, n = len(taps), len(taps[0])
-    step = ((width << 14) + to // 2) // to
-    place = F.sequence(F.lit(0), F.lit(to - 1))
-    at = lambda x: (x * step + step // 2 - (1 << 13))
-    asked = frame.select("frame", "y").distinct().select("frame", "y", F.explode(place).alias("ox"))
-    asked = asked.withColumn("pos", at(F.col("ox")))
-    asked = asked.withColumn("phase", fx.shr(fx.band(F.col("pos"), (1 << 14) - 1) * phases, 14).cast("int")).withColumn("x0", fx.shr(F.col("pos"), 14))
-    asked = asked.select("frame", "y", "ox", "phase", "x0", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    weights = F.array(*[F.array(*[F.lit(t) for t in row]) for row in taps])
-    asked = asked.select("frame", "y", "ox", F.get(F.get(weights, F.col("phase")), F.col("k")).alias("w"), fx.clip3(F.lit(0).cast("long"), F.lit(width - 1).cast("long"), F.col("x0") + F.col("k") - (n // 2 - 1)).alias("x"))
-    joined = asked.join(frame.select("frame", "y", F.col("x").cast("long").alias("x"), "s"), ["frame", "y", "x"])
-    return joined.groupBy("frame", "y", F.col("ox").alias("x")).agg(fx.clip3(F.lit(0).cast("long"), F.lit(255).cast("long"), fx.round2(F.sum(F.col("w") * F.col("s")), 7)).alias("out"))

@@ -126,7 +126,8 @@ SELECT blk, arg_min(dy, (sad + 4 * (abs(dy) + abs(dx)), dy, dx)) AS dy, arg_min(
 )
 def motion_full(spark: SparkSession, folder: str) -> DataFrame:
     """Whole-sample motion search in the frame before: blocks meet by frame, and each vector is a shift of the plane before."""
-    return frames.with_past(A.blocks(spark, folder), lambda now, past: frames.motion(now, past, REACH, 4), ["dy", "dx", "cost"])
+    found = frames.with_past(A.blocks(spark, folder), lambda now, past, there: frames.motion(now, past, REACH, 4, there), ["dy", "dx", "cost"])
+    return found.where("cost >= 0")  # what reaches a sample of that frame
 
 
 _BITS = "CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + 2.0::DOUBLE * (e + CAST(abs(d) + 2 - (1 << e) AS DOUBLE) / CAST(1 << e AS DOUBLE)) END"

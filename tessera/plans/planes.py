@@ -13,11 +13,6 @@ from tessera.plans.scalars import WITH as DIGESTS, _hex
 WITH = f"WITH {A.PIXELS.replace('pixels AS (', 'pixels AS MATERIALIZED (')}"
 
 
-def _digest(frame: DataFrame, value: str = "out") -> DataFrame:
-    """Sums of each frame that follow from every sample and its place."""
-    return frame.groupBy("frame").agg(F.sum(value).cast("long").alias("total"), F.sum(F.col(value) * (F.col("y") * 80 + F.col("x") + 1)).cast("long").alias("weighted"))
-
-
 _DIGEST = "SELECT frame, CAST(sum(o) AS BIGINT) AS total, CAST(sum(o * (y * 80 + x + 1)) AS BIGINT) AS weighted FROM {t} GROUP BY frame"
 
 
@@ -36,7 +31,7 @@ _TAPS = ", ".join(f"({f}, {k}, {w})" for f, row in enumerate(TAPS) for k, w in e
 def interpolation(spark: SparkSession, folder: str) -> DataFrame:
     """Samples between samples, both ways: the phases of a block (its number modulo 16, and over 16) choose among filters of eight taps."""
 
-    def run(samples):
+    def run(samples, there):
         number = np.arange(samples.size // 64).reshape(samples.shape[0] // 8, samples.shape[1] // 8)
         return R.interpolated(samples, number // 16 % 16, number % 16, TAPS)
 
@@ -51,8 +46,8 @@ def wiener(spark: SparkSession, folder: str) -> DataFrame:
     return R.digests(A.blocks(spark, folder), _wiener)
 
 
-def _wiener(samples):
-    return R.wiener(samples, P.wiener_taps(VERTICAL), P.wiener_taps(HORIZONTAL))
+def _wiener(samples, there):
+    return R.wiener(samples, there, P.wiener_taps(VERTICAL), P.wiener_taps(HORIZONTAL))
 
 
 _WIENER = f"{_fir_sql('pixels', 's', 'x', P.wiener_taps(HORIZONTAL), 'h')}, g AS (SELECT frame, y, x, s, greatest(-2048, least(8191 - 2048, (f + 4) >> 3)) AS t FROM h), {_fir_sql('g', 't', 'y', P.wiener_taps(VERTICAL), 'v')}"
@@ -61,7 +56,7 @@ _WIENER = f"{_fir_sql('pixels', 's', 'x', P.wiener_taps(HORIZONTAL), 'h')}, g AS
 @query("h9_restoration", f"{WITH}, {_WIENER}, r AS (SELECT frame, y, x, CASE WHEN x // 40 % 2 = 1 THEN greatest(0, least(255, (f + 1024) >> 11)) ELSE s END AS o FROM v) {_DIGEST.format(t='r')}")
 def restoration(spark: SparkSession, folder: str) -> DataFrame:
     """Units of 40 columns: every other one is restored by the symmetric filter, which looks across the units' borders."""
-    return R.digests(A.blocks(spark, folder), lambda samples: R.restored(samples, _wiener(samples), 40, lambda unit: unit % 2 == 1))
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.restored(samples, _wiener(samples, there), 40, lambda unit: unit % 2 == 1))
 
 
 GUIDES, SHARES = (140, 3236), (31, 64)
@@ -80,14 +75,13 @@ def _box_sql(name: str, radius: int, strength: int, row: str, shift: str) -> str
 @query("h11_self_guided", f"{WITH}, grid AS MATERIALIZED (SELECT frame, y, x FROM (SELECT DISTINCT frame FROM pixels), (SELECT unnest(range(-1, 41)) AS y), (SELECT unnest(range(-1, 81)) AS x)), {_box_sql('f0', 2, GUIDES[0], 'CASE WHEN (y + dy + 2) % 2 = 1 THEN CASE WHEN dx = 0 THEN 6 ELSE 5 END ELSE 0 END', 'CAST(9 - y % 2 AS INTEGER)')}, {_box_sql('f1', 1, GUIDES[1], 'CASE WHEN dy = 0 OR dx = 0 THEN 4 ELSE 3 END', '9')}, r AS (SELECT f0.frame, f0.y, f0.x, greatest(0, least(255, ({SHARES[1]} * (f0.s * 16) + {SHARES[0]} * f0.f + {128 - sum(SHARES)} * f1.f + 1024) >> 11)) AS o FROM f0 JOIN f1 ON f1.frame = f0.frame AND f1.y = f0.y AND f1.x = f0.x) {_DIGEST.format(t='r')}")
 def self_guided(spark: SparkSession, folder: str) -> DataFrame:
     """Both box filters and their projection, with strengths and weights given."""
-    return R.digests(A.blocks(spark, folder), lambda samples: R.self_guided(samples, GUIDES, SHARES))
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.self_guided(samples, there, GUIDES, SHARES))
 
 
 @query("h11_box_filter", f"{WITH}, b AS (SELECT a.frame, a.y, a.x, a.s, count(*) AS n, CAST(sum(b.s) AS BIGINT) AS t, CAST(sum(b.s * b.s) AS BIGINT) AS q FROM pixels a JOIN pixels b ON b.frame = a.frame AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY ALL), z AS (SELECT *, (greatest(0, q * n - t * t) * 140 + 524288) >> 20 AS z FROM b), r AS (SELECT frame, y, x, CASE WHEN z >= 255 THEN 256 WHEN z = 0 THEN 1 ELSE (z * 256 + z // 2) // (z + 1) END AS o FROM z) {_DIGEST.format(t='r')}")
 def box_filter(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights of the self-guided filter with radius 1, from box sums by two running windows."""
-    own = P.box_sums(A.pixels(spark, folder), 1)
-    return _digest(own.withColumn("out", P.guide(F.col("n"), F.col("total"), F.col("squares"), 140)).select("frame", "y", "x", "out"))
+    """Weights of the self-guided filter with radius 1, from the sums of the samples that a box has."""
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.box_guides(samples, there, 140))
 
 
 LIMITS = (20, 60, 2, 12)  # of neighbours, of the edge, of high variance, of what is flat
@@ -145,7 +139,7 @@ def _edges_of(size: int) -> None:
     @query(f"h4_edge_filter{size}", f"{CALM}, {_edge_sql('calm', 'n', size)} {_DIGEST.format(t='n').replace('sum(o', 'sum(s')}")
     def wide_filter(spark: SparkSession, folder: str) -> DataFrame:
         """The filters of more samples, across all vertical edges."""
-        return R.digests(A.blocks(spark, folder), lambda samples: R.edges(_calm(samples), size, *LIMITS))
+        return R.digests(A.blocks(spark, folder), lambda samples, there: R.edges(_calm(samples), there, size, *LIMITS))
 
 
 for _size in (6, 8, 16):
@@ -155,7 +149,7 @@ for _size in (6, 8, 16):
 @query("h1_loop_filter", f"{CALM}, {_edge_sql('calm', 'n', 8)}, {_edge_sql('n', 'o', 8, 'y')} {_DIGEST.format(t='o').replace('sum(o', 'sum(s')}")
 def loop_filter(spark: SparkSession, folder: str) -> DataFrame:
     """All vertical edges of a frame, then all horizontal ones of what that gave."""
-    return R.digests(A.blocks(spark, folder), lambda samples: R.loop_filter(_calm(samples), 8, *LIMITS))
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.loop_filter(_calm(samples), there, 8, *LIMITS))
 
 
 SIZES = {"a": (0, 3), "b": (3, 3), "skip": (6, 1)}
@@ -190,9 +184,9 @@ def cdef_filter(spark: SparkSession, folder: str) -> DataFrame:
     own = A.blocks(spark, folder)
 
     def run(number):
-        def one(samples):
+        def one(samples, there):
             direction = (number + np.arange(samples.size // 64).reshape(samples.shape[0] // 8, samples.shape[1] // 8)) % 8
-            return R.cdef(samples, direction, np.full_like(direction, PRIMARY), np.full_like(direction, SECONDARY), DAMPING)
+            return R.cdef(samples, there, direction, np.full_like(direction, PRIMARY), np.full_like(direction, SECONDARY), DAMPING)
 
         return one
 
@@ -210,7 +204,7 @@ way AS MATERIALIZED (SELECT b.blk, b.d, CASE WHEN (best - cost) >> 16 = 0 THEN 0
 a AS MATERIALIZED (SELECT frame, y, x, blk, s, d, pri FROM pixels JOIN way USING (blk)), {_cdef_sql('a')}, k AS (SELECT frame, y, x, CASE WHEN blk % 50 % 4 = 3 THEN s ELSE o END AS o FROM r) {_DIGEST.format(t='k')}""")
 def cdef_driver(spark: SparkSession, folder: str) -> DataFrame:
     """The filter along the directions that the blocks themselves have, weaker where they vary little; every fourth block is skipped."""
-    return R.digests(A.blocks(spark, folder), lambda samples: R.directed(samples, PRIMARY, SECONDARY, DAMPING, lambda number: number % 4 == 3))
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.directed(samples, there, PRIMARY, SECONDARY, DAMPING, lambda number: number % 4 == 3))
 
 
 PHASES = [[0, 128, 0, 0], [-4, 116, 18, -2], [-8, 72, 72, -8], [-2, 18, 116, -4]]
@@ -220,7 +214,7 @@ _STEP = ((80 << 14) + 64) // 128
 @query("h8_superres_upscale", f"{WITH}, w AS (SELECT * FROM (VALUES {', '.join(f'({p}, {k}, {t})' for p, row in enumerate(PHASES) for k, t in enumerate(row))}) t(phase, k, w)), a AS (SELECT CAST(range AS INTEGER) AS ox, range * {_STEP} + {_STEP // 2} - 8192 AS pos FROM range(128)), r AS (SELECT p.frame, p.y, a.ox AS x, greatest(0, least(255, (CAST(sum(w.w * p.s) AS BIGINT) + 64) >> 7)) AS o FROM a JOIN w ON w.phase = ((a.pos & 16383) * 4) >> 14 JOIN pixels p ON p.x = greatest(0, least(79, (a.pos >> 14) + w.k - 1)) GROUP BY p.frame, p.y, a.ox) {_DIGEST.format(t='r')}")
 def superres_upscale(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of 80 samples resampled to 128 with four phases of four taps, given."""
-    return _digest(P.upscaled(A.pixels(spark, folder).select("frame", "y", "x", "s"), 80, 128, PHASES))
+    return R.digests(A.blocks(spark, folder), lambda samples, there: R.upscaled(samples, 128, PHASES))
 
 
 @query("h9_restoration_units", f"{WITH} SELECT frame, (y + 8) // 16 AS stripe, x // 40 AS unit, count(*) AS n, CAST(sum(s) AS BIGINT) AS total FROM pixels GROUP BY ALL")

@@ -189,12 +189,13 @@ def block_warp(spark: SparkSession, folder: str) -> DataFrame:
 def inter_driver(spark: SparkSession, folder: str) -> DataFrame:
     """Blocks predicted from the frame before, each with its own vector (a function of its number)."""
 
-    def error(now, past):
+    def error(now, past, there):
         number = np.arange(now.size // 64).reshape(now.shape[0] // 8, now.shape[1] // 8)  # frames of 50 blocks: modulo 5 and, with the frame, modulo 3
-        return {f"e{k}": frames.block_errors(now, frames.moved(past, k - 1, frames.spread(number % 5 - 2))) for k in range(3)}
+        at = lambda plane, k: frames.moved(plane, k - 1, frames.spread(number % 5 - 2))
+        return {f"e{k}": frames.block_errors(now, at(past, k), at(there, k)) for k in range(3)}
 
     found = frames.with_past(A.blocks(spark, folder), error, ["e0", "e1", "e2"])
-    return found.select("blk", F.get(F.array("e0", "e1", "e2"), (F.col("blk") % 3).cast("int")).alias("error"))
+    return found.select("blk", F.get(F.array("e0", "e1", "e2"), (F.col("blk") % 3).cast("int")).alias("error")).where("error >= 0")
 
 
 @query("f17_wedge_masks", f"WITH {A.PAIRS}, m AS (SELECT *, greatest(0, least(64, 32 + 8 * CASE blk % 4 WHEN 0 THEN j - 4 WHEN 1 THEN i - 4 WHEN 2 THEN i + j - 7 ELSE i - j END)) AS m FROM pairs) SELECT blk, blk % 4 AS direction, CAST(sum((m * s + (64 - m) * r + 32) >> 6) AS BIGINT) AS total FROM m GROUP BY blk")

@@ -87,9 +87,14 @@ def bits_model(k: Column, complexity: Column, pixels: Column, step: Column) -> C
 
 
 def finest_step(cost, budget: Column, top: int = 255) -> Column:
-    """The least q from 1 to ``top`` whose cost, a function of q, is within the budget; ``top`` without one."""
-    fits = F.filter(F.sequence(F.lit(1), F.lit(top)), lambda q: cost(q.cast("double")) <= budget)
-    return F.coalesce(F.get(fits, F.lit(0)), F.lit(top))
+    """The least q from 1 to ``top`` whose cost, a function of q, is within the budget; ``top`` without one.
+
+    Costs fall as q grows, or are within the budget from the first one on: bit by bit the search finds the last q that is not.
+    """
+    over = lambda q: (q <= top) & ~F.coalesce(cost(q.cast("double")) <= budget, F.lit(False))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(top.bit_length()))])
+    last = F.aggregate(steps, F.lit(0), lambda q, step: F.when(over(q + step), q + step).otherwise(q))
+    return F.least(last + 1, F.lit(top))
 
 
 def smoothed(values: Column, start: float, weight: float = 0.5) -> Column:

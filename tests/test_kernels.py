@@ -5,9 +5,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.functions import adapters as A
-from tessera.operators import coder, coefficients, frames, kernels, presets, transforms as T
+from tessera.operators import coder, coefficients, frames, kernels, presets, streams, transforms as T
 from tessera.plans import registry
 
 
@@ -191,3 +192,13 @@ def test_palettes_hold_the_colours_of_small_blocks(spark, data):
             assert colours == ",".join(map(str, sorted(set(v))))
         else:
             assert 2 <= n <= 8 and all(min(v) <= int(c) <= max(v) for c in colours.split(","))
+
+
+@pytest.mark.parametrize("top", [255, 200, 1])
+def test_finest_step_tries_a_step_for_each_bit(spark, top):
+    """The first step within the budget, or the last one; costs that are null are within none. Not every step is tried."""
+    budgets = [(k, None if k == 7 else float(13**k % 4001 - 40)) for k in range(60)]
+    rows = spark.createDataFrame(budgets, "k int, a double")
+    found = {r.k: r.q for r in rows.select("k", streams.finest_step(lambda q: F.col("a") / F.pow(q, F.lit(1.3)), F.lit(2.0), top).alias("q")).collect()}
+    assert found == {k: next((q for q in range(1, top + 1) if a is not None and a / q**1.3 <= 2.0), top) for k, a in budgets}
+    assert "sequence" not in rows.select(streams.finest_step(lambda q: F.col("a") / q, F.lit(2.0), top))._jdf.queryExecution().analyzed().toString()
